@@ -5,12 +5,13 @@ from __future__ import annotations
 from navloom.llm.language import op3_language
 from navloom.llm.quality import op7_quality
 from navloom.llm.simhash import op6_simhash
+from navloom.llm.substring import OP4_SQL, op4_substring
 from navloom.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_language, op6_simhash, op7_quality)}
+    return {f.__name__: f for f in (op2_toxicity, op3_language, op4_substring, op6_simhash, op7_quality)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op4_substring": OP4_SQL}
