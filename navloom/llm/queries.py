@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from navloom.llm.bpe import op8_bpe
 from navloom.llm.language import op3_language
+from navloom.llm.packing import op9_packing
 from navloom.llm.quality import op7_quality
 from navloom.llm.simhash import op6_simhash
 from navloom.llm.substring import OP4_SQL, op4_substring
@@ -10,7 +12,7 @@ from navloom.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_language, op4_substring, op6_simhash, op7_quality)}
+    return {f.__name__: f for f in (op2_toxicity, op3_language, op4_substring, op6_simhash, op7_quality, op8_bpe, op9_packing)}
 
 
 def oracle_sql() -> dict:
