@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
 
+from navloom.plans.base import QUERIES, SQL
+from navloom.session import ready
+
+for _module in ("tiles", "geometry", "mesh", "terrain", "results", "routes"):
+    importlib.import_module(f"navloom.plans.{_module}")
+
 
 def entry(spark: SparkSession) -> DataFrame:
-    return spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(1)
+    """Route distances over the synthetic world at the smallest scale."""
+    return QUERIES["route_distance"](ready(spark), "/root/testdata/sf0.001")
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
