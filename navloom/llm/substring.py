@@ -18,7 +18,7 @@ words has an anchor in a middle zone, and two equal windows have it at the same
    a 96-bit name, and equal names are compared by (doc_id, start): all but the earliest are repeats;
 3. cut: the words covered by a repeat are removed.
 
-Shuffled rows are packed: one row for each block and partition, or for each document and partition.
+Shuffled rows are packed: one row for each block or partition that sends and partition that gets.
 The texts are shuffled once, by document, for steps 2 and 3 together. Nothing is collected.
 
 Defined results: a null or empty text has no words and keeps none. Rows without an id count as one
@@ -135,27 +135,42 @@ def _packed(rows: list[list]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "id", "start", "key"])
 
 
-def _marks(doc: np.ndarray, start: np.ndarray, check: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each document: its id, and its (start, check) pairs as 8 bytes each."""
-    if not len(doc):
-        return
-    order = np.argsort(doc, kind="stable")
-    doc = doc[order]
-    pairs = np.stack([start[order].astype(np.uint32), check[order].astype(np.uint32)], 1)
-    ids, first = np.unique(doc, return_index=True)
-    for a in range(0, len(ids), 8192):
-        b = min(a + 8192, len(ids))
-        ends = np.append(first[a:b], first[b] if b < len(ids) else len(doc)).astype(np.int64)
-        data = np.ascontiguousarray(pairs[ends[0] : ends[-1]])
-        column = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(((ends - ends[0]) * 8).astype(np.int32)), pa.py_buffer(data)])
-        yield pa.record_batch([pa.array(ids[a:b]), column], [_ID, "mark"])
+def _marks(parts: int, doc: np.ndarray, start: np.ndarray, check: np.ndarray) -> list[list]:
+    """Marks (start, check) of documents, packed by the part that a document's id names."""
+    return list(_by_part((mix(doc.view(U64)) % U64(parts)).astype(np.int32), parts, doc, start, [check.astype(np.uint32)])) if len(doc) else []
+
+
+def gathered(packed: DataFrame) -> DataFrame:
+    """(_ID, _MARKS): a row for each document with marks, its (start, check) pairs as 8 bytes each."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, start, check = [], [], []
+        for d, s, k in _unpack(batches, ["u4"]):
+            for out, x in zip((doc, start, check), (d, s, k[0]), strict=True):
+                out.append(x)
+        if not doc:
+            return
+        doc = np.concatenate(doc)
+        order = np.argsort(doc, kind="stable")
+        doc = doc[order]
+        pairs = np.stack([np.concatenate(start)[order], np.concatenate(check)[order]], 1)
+        ids, first = np.unique(doc, return_index=True)
+        for a in range(0, len(ids), 1024):
+            b = min(a + 1024, len(ids))
+            ends = np.append(first[a:b], first[b] if b < len(ids) else len(doc)).astype(np.int64)
+            data = np.ascontiguousarray(pairs[ends[0] : ends[-1]])
+            column = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(((ends - ends[0]) * 8).astype(np.int32)), pa.py_buffer(data)])
+            yield pa.record_batch([pa.array(ids[a:b]), column], [_ID, _MARKS])
+
+    parts = shuffle_partitions(packed.sparkSession)
+    return packed.repartition(parts, "part").mapInArrow(merge, f"{_ID} long, {_MARKS} binary")
 
 
 def _marked(column: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word position in the block, check) of each mark in a list<binary> column; marks beyond a document are left out."""
-    lists = [b"".join(x or ()) for x in column.to_pylist()]
-    pairs = np.frombuffer(b"".join(lists), np.uint32).reshape(-1, 2)
-    doc = np.repeat(np.arange(len(lists)), [len(x) // 8 for x in lists])
+    """(word position in the block, check) of each mark in the column; marks beyond a document are left out."""
+    data, offsets = string_buffer(column)
+    pairs = np.frombuffer(data.tobytes(), np.uint32).reshape(-1, 2)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets) // 8)
     fits = pairs[:, 0] < np.diff(first)[doc]
     return (first[:-1][doc] + pairs[:, 0])[fits], pairs[:, 1][fits]
 
@@ -193,7 +208,7 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
         doc, start, keys = [], [], []
         for d, s, k in _unpack(batches, ["u4", "u1"]):
             if k is None:
-                yield from _marks(d, s, np.zeros(len(d)))
+                yield _packed(_marks(parts, d, s, np.zeros(len(d))))
             else:
                 doc.append(d)
                 start.append(s)
@@ -205,7 +220,8 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
             twice = np.zeros(len(key), bool)
             twice[order[1:][same]] = True
             twice[order[:-1][same]] = True
-            yield from _marks(doc[twice], start[twice], np.zeros(int(twice.sum())))
+            if twice.any():
+                yield _packed(_marks(parts, doc[twice], start[twice], np.zeros(int(twice.sum()))))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -234,22 +250,19 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
         doc, start, one, two = [], [], [], []
         for d, s, k in _unpack(batches, ["u8", "u4"]):
             if k is None:
-                yield from _marks(d, s[: len(d)], s[len(d) :])
+                yield _packed(_marks(parts, d, s[: len(d)], s[len(d) :]))
             else:
                 for out, x in zip((doc, start, one, two), (d, s, *k), strict=True):
                     out.append(x)
         if doc:
             doc, start, one, two = (np.concatenate(x) for x in (doc, start, one, two))
             _, later = _earliest(one, two, doc, start)
-            yield from _marks(doc[later], start[later], one[later].astype(np.uint32))
-
-    def gathered(marks: DataFrame) -> DataFrame:
-        return marks.groupBy(_ID).agg(F.collect_list("mark").alias(_MARKS))
+            if len(later):
+                yield _packed(_marks(parts, doc[later], start[later], one[later]))
 
-    mark = f"{_ID} long, mark binary"
-    found = docs.select(_ID, "text").mapInArrow(reveal, _PACKED).repartition(parts, "part").mapInArrow(shared, mark)
+    found = docs.select(_ID, "text").mapInArrow(reveal, _PACKED).repartition(parts, "part").mapInArrow(shared, _PACKED)
     marked = by_document(docs.select(_ID, "text")).join(gathered(found).hint("shuffle_hash"), _ID)
-    return gathered(marked.select(_ID, "text", _MARKS).mapInArrow(windows, _PACKED).repartition(parts, "part").mapInArrow(compare, mark))
+    return gathered(marked.select(_ID, "text", _MARKS).mapInArrow(windows, _PACKED).repartition(parts, "part").mapInArrow(compare, _PACKED))
 
 
 def by_document(docs: DataFrame) -> DataFrame:
