@@ -98,27 +98,34 @@ def _parse(text: pa.Array, rounds: int) -> tuple[Words, np.ndarray, np.ndarray]:
 
 
 def _squeeze(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+    """Numbers that mostly ascend by little: differences, byte plane by byte plane, compressed."""
+    steps = np.diff(values, prepend=values.dtype.type(0))
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(len(steps), -1).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unsqueeze(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
 
 
 def _by_part(part: np.ndarray, parts: int, doc: np.ndarray, start: np.ndarray, key: list[np.ndarray]) -> Iterator[list]:
     """[part, packed ids, packed starts, keys] for each part that has entries."""
     order = np.argsort(part, kind="stable")
-    part, doc, start, key = part[order], doc[order], start[order], [k[order] for k in key]
+    part, doc, start, key = part[order], doc[order], start[order].astype(np.uint32), [k[order] for k in key]
     there, first = np.unique(part, return_index=True)
     for p, a, b in zip(there.tolist(), first.tolist(), [*first[1:].tolist(), len(part)], strict=True):
-        yield [p, _squeeze(np.diff(doc[a:b], prepend=0)), _squeeze(start[a:b].astype(np.uint32)), b"".join(k[a:b].tobytes() for k in key)]
+        yield [p, _squeeze(doc[a:b]), _squeeze(start[a:b]), b"".join(k[a:b].tobytes() for k in key)]
 
 
 def _unpack(rows: Iterator[pa.RecordBatch], kinds: list[str]) -> Iterator[tuple]:
-    """(ids, starts, keys or None) of each packed row; keys are one array for each of `kinds`."""
-    plain = zstandard.ZstdDecompressor()
+    """(ids, starts, keys) of each packed row; keys are one array for each of `kinds`, or the raw bytes of a row of marks."""
     for batch in rows:
         for i, s, k in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-            doc = np.cumsum(np.frombuffer(plain.decompress(i), np.int64))
-            start = np.frombuffer(plain.decompress(s), np.uint32)
-            if not k:
-                yield doc, start, None
+            doc, start = _unsqueeze(i, "i8"), _unsqueeze(s, "u4")
+            if len(k) != len(doc) * sum(np.dtype(x).itemsize for x in kinds):
+                yield doc, start, k
                 continue
             keys, at = [], 0
             for kind in kinds:
@@ -135,44 +142,50 @@ def _packed(rows: list[list]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "id", "start", "key"])
 
 
-def _marks(parts: int, doc: np.ndarray, start: np.ndarray, check: np.ndarray) -> list[list]:
-    """Marks (start, check) of documents, packed by the part that a document's id names."""
-    return list(_by_part((mix(doc.view(U64)) % U64(parts)).astype(np.int32), parts, doc, start, [check.astype(np.uint32)])) if len(doc) else []
+def _marks(parts: int, doc: np.ndarray, start: np.ndarray, check: np.ndarray | None) -> list[list]:
+    """Marks (start and, with a window's mark, 16 bits of its name) of documents, packed by the part that a document's id names."""
+    if not len(doc):
+        return []
+    return list(_by_part((mix(doc.view(U64)) % U64(parts)).astype(np.int32), parts, doc, start, [] if check is None else [check.astype(np.uint16)]))
 
 
 def gathered(packed: DataFrame) -> DataFrame:
-    """(_ID, _MARKS): a row for each document with marks, its (start, check) pairs as 8 bytes each."""
+    """(_ID, _MARKS): a row for each document with marks: their packed starts, after the checks if they have them."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, start, check = [], [], []
-        for d, s, k in _unpack(batches, ["u4"]):
-            for out, x in zip((doc, start, check), (d, s, k[0]), strict=True):
+        got: list[list] = [[], [], []]
+        for d, s, k in _unpack(batches, ["u2"]):
+            for out, x in zip(got, (d, s, k[0] if k else None), strict=True):
                 out.append(x)
-        if not doc:
+        if not got[0]:
             return
-        doc = np.concatenate(doc)
-        order = np.argsort(doc, kind="stable")
-        doc = doc[order]
-        pairs = np.stack([np.concatenate(start)[order], np.concatenate(check)[order]], 1)
+        doc, start = np.concatenate(got[0]), np.concatenate(got[1])
+        check = np.concatenate(got[2]) if got[2][0] is not None else np.zeros(0, np.uint16)
+        order = np.lexsort((start, doc))
+        doc, start = doc[order], start[order]
+        check = check[order] if len(check) else check
         ids, first = np.unique(doc, return_index=True)
-        for a in range(0, len(ids), 1024):
-            b = min(a + 1024, len(ids))
-            ends = np.append(first[a:b], first[b] if b < len(ids) else len(doc)).astype(np.int64)
-            data = np.ascontiguousarray(pairs[ends[0] : ends[-1]])
-            column = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(((ends - ends[0]) * 8).astype(np.int32)), pa.py_buffer(data)])
-            yield pa.record_batch([pa.array(ids[a:b]), column], [_ID, _MARKS])
+        ends = np.append(first, len(doc)).tolist()
+        for i in range(0, len(ids), 1024):
+            marks = [np.uint32(len(check[a:b])).tobytes() + check[a:b].tobytes() + _squeeze(start[a:b]) for a, b in zip(ends[i : i + 1024], ends[i + 1 : i + 1025], strict=False)]
+            yield pa.record_batch([pa.array(ids[i : i + 1024]), pa.array(marks, pa.binary())], [_ID, _MARKS])
 
     parts = shuffle_partitions(packed.sparkSession)
     return packed.repartition(parts, "part").mapInArrow(merge, f"{_ID} long, {_MARKS} binary")
 
 
 def _marked(column: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word position in the block, check) of each mark in the column; marks beyond a document are left out."""
-    data, offsets = string_buffer(column)
-    pairs = np.frombuffer(data.tobytes(), np.uint32).reshape(-1, 2)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets) // 8)
-    fits = pairs[:, 0] < np.diff(first)[doc]
-    return (first[:-1][doc] + pairs[:, 0])[fits], pairs[:, 1][fits]
+    """(word position in the block, check or 0) of each mark in the column; marks beyond a document are left out."""
+    places, checks = [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
+    for i, marks in enumerate(column.to_pylist()):
+        if marks:
+            n = int.from_bytes(marks[:4], "little")
+            start = _unsqueeze(marks[4 + 2 * n :], "u4").astype(np.int64)
+            check = np.frombuffer(marks[4 : 4 + 2 * n], np.uint16) if n else np.zeros(len(start), np.uint16)
+            fits = start < first[i + 1] - first[i]
+            places.append(first[i] + start[fits])
+            checks.append(check[fits])
+    return np.concatenate(places), np.concatenate(checks)
 
 
 def _starts(doc_of: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -201,14 +214,14 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
             rows = list(_by_part((mix(key[one]) % U64(parts)).astype(np.int32), parts, ids[one], starts[one], [key[one].astype(np.uint32), (key[one] >> U64(32)).astype(np.uint8)]))
             twice = np.flatnonzero(times[back] > 1)
             if len(twice):
-                rows.append([int(key[0] % U64(parts)), _squeeze(np.diff(ids[twice], prepend=0)), _squeeze(starts[twice].astype(np.uint32)), b""])
+                rows.append([int(key[0] % U64(parts)), _squeeze(ids[twice]), _squeeze(starts[twice].astype(np.uint32)), b""])
             yield _packed(rows)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, start, keys = [], [], []
         for d, s, k in _unpack(batches, ["u4", "u1"]):
-            if k is None:
-                yield _packed(_marks(parts, d, s, np.zeros(len(d))))
+            if not k:
+                yield _packed(_marks(parts, d, s, None))
             else:
                 doc.append(d)
                 start.append(s)
@@ -221,7 +234,7 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
             twice[order[1:][same]] = True
             twice[order[:-1][same]] = True
             if twice.any():
-                yield _packed(_marks(parts, doc[twice], start[twice], np.zeros(int(twice.sum()))))
+                yield _packed(_marks(parts, doc[twice], start[twice], None))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -243,14 +256,14 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
             lead, later = _earliest(one, two, doc, start)
             rows = list(_by_part((mix(one[lead]) % U64(parts)).astype(np.int32), parts, doc[lead], start[lead], [one[lead], two[lead]]))
             if len(later):
-                rows.append([int(one[0] % U64(parts)), _squeeze(np.diff(doc[later], prepend=0)), _squeeze(np.concatenate([start[later], one[later].astype(np.uint32)]).astype(np.uint32)), b""])
+                rows.append([int(one[0] % U64(parts)), _squeeze(doc[later]), _squeeze(start[later].astype(np.uint32)), one[later].astype(np.uint16).tobytes()])
             yield _packed(rows)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, start, one, two = [], [], [], []
         for d, s, k in _unpack(batches, ["u8", "u4"]):
-            if k is None:
-                yield _packed(_marks(parts, d, s[: len(d)], s[len(d) :]))
+            if isinstance(k, bytes):
+                yield _packed(_marks(parts, d, s, np.frombuffer(k, np.uint16)))
             else:
                 for out, x in zip((doc, start, one, two), (d, s, *k), strict=True):
                     out.append(x)
@@ -277,7 +290,7 @@ def _earliest(one: np.ndarray, two: np.ndarray, doc: np.ndarray, start: np.ndarr
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     lead = order[new][np.cumsum(new) - 1]
     later = (doc[order] != doc[lead]) | (start[order] != start[lead])
-    return order[new], order[later]
+    return np.sort(order[new]), np.sort(order[later])
 
 
 def substring_dedup(docs: DataFrame, size: int = 20) -> DataFrame:
@@ -334,7 +347,7 @@ def _removed(words: Words, marks: pa.Array, size: int) -> np.ndarray:
     only = Words(words.data, words.start[some], words.end[some], words.first)
     names = np.zeros(n, U64)
     names[some] = hash_words(only, 5)
-    true = (_hash_at(names, at, size, 0x9E3779B97F4A7C15).astype(np.uint32) == check) & (doc[at] == doc[at + size - 1])
+    true = (_hash_at(names, at, size, 0x9E3779B97F4A7C15).astype(np.uint16) == check) & (doc[at] == doc[at + size - 1])
     steps = np.zeros(n + 1, np.int32)
     np.add.at(steps, at[true], 1)
     np.add.at(steps, at[true] + size, -1)
