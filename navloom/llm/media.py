@@ -259,15 +259,19 @@ def _header(stream: bytes) -> tuple[int, bytes, np.ndarray, int]:
             if body[:4] != BLOCK.to_bytes(2, "big") * 2 or (word >> 41) & 7 or (word >> 36) & 31 != 7:
                 raise FlacError("not one channel of 8-bit samples in blocks of 576")
             samples, md5 = word & ((1 << 36) - 1), body[18:34]
+            least, most = int.from_bytes(body[4:7], "big"), int.from_bytes(body[7:10], "big")
         elif kind == 3:
             points.append(np.frombuffer(body, [("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")]))
         at += 4 + size
     if samples is None or not points:
         raise FlacError("no stream information or seek table")
     table = np.concatenate(points)
-    if samples % BLOCK or len(table) != samples // BLOCK or (table["sample"] != np.arange(len(table)) * BLOCK).any():
+    if not samples or samples % BLOCK or len(table) != samples // BLOCK or (table["sample"] != np.arange(len(table)) * BLOCK).any() or (table["size"] != BLOCK).any():
         raise FlacError("the seek table does not list every frame")
-    return samples, md5, table["offset"].astype(np.int64) + at, at
+    offsets = table["offset"].astype(np.int64) + at
+    if offsets[0] != at or offsets[-1] >= len(stream) or (sizes := np.diff(np.append(offsets, len(stream)))).min() != least or sizes.max() != most:
+        raise FlacError("the frames are not as long as the stream information says")
+    return samples, md5, offsets, at
 
 
 class _Bits:
@@ -375,7 +379,7 @@ def _predicted(bits: _Bits, x: np.ndarray, which: np.ndarray, order: np.ndarray,
     for i in range(most):
         at = which[order[which] > i]
         x[i, at] = bits.read_signed(8, at)
-    weight, shift = np.zeros((max(most, 1), x.shape[1]), np.int64), np.zeros(x.shape[1], np.int64)
+    weight, shift = np.zeros((max(most, 4), x.shape[1]), np.int64), np.zeros(x.shape[1], np.int64)
     for o in range(1, 5):
         at = which[~linear[which] & (order[which] == o)]
         weight[:o, at] = np.array(_FIXED[o])[:, None]
@@ -447,7 +451,7 @@ def pcm_blocks(stream: bytes, from_sample: int = 0, to_sample: int | None = None
     samples, _, offsets, _ = _header(stream)
     to_sample = samples if to_sample is None else min(to_sample, samples)
     a, b = from_sample // BLOCK, -(-to_sample // BLOCK)
-    if a >= b:
+    if from_sample >= to_sample:
         return []
     ends = np.append(offsets[1:], len(stream))
     got = decode_frames(np.frombuffer(stream, np.uint8), offsets[a:b], ends[a:b], np.arange(a, b))
