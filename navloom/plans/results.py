@@ -25,12 +25,13 @@ def ways(spark, d) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_custkey").alias("path_id"), k.alias("seq"), ((k * 7919) % 34133 / 10.0).alias("x"), (F.col("o_totalprice") / 1000).alias("y"), ((k * 104729) % 34133 / 10.0).alias("z"))
 
 
-_BY = Window.partitionBy("path_id").orderBy("seq")
+def _by():
+    return Window.partitionBy("path_id").orderBy("seq")
 
 
 def with_previous(way: DataFrame) -> DataFrame:
     """`way` and the point before: prev_x, prev_y, prev_z."""
-    return way.select("*", *(F.lag(c).over(_BY).alias(f"prev_{c}") for c in "xyz"))
+    return way.select("*", *(F.lag(c).over(_by()).alias(f"prev_{c}") for c in "xyz"))
 
 
 @query(f"WITH {_WAY}, p AS (SELECT *, lag(x) OVER w AS a, lag(y) OVER w AS b, lag(z) OVER w AS c FROM way WINDOW w AS (PARTITION BY path_id ORDER BY seq)) SELECT path_id, count(*) AS n, round(coalesce(sum(sqrt((x-a)*(x-a)+(y-b)*(y-b)+(z-c)*(z-c))), 0.0), 5) AS length FROM p GROUP BY 1")
@@ -42,13 +43,13 @@ def polyline_length(spark, d):
 @query(f"WITH {_WAY} SELECT path_id, seq, lag(seq) OVER (PARTITION BY path_id ORDER BY seq) AS prev_seq, coalesce(lag(seq) OVER (PARTITION BY path_id ORDER BY seq), max(seq) OVER (PARTITION BY path_id)) AS wrapped FROM way")
 def previous_point(spark, d):
     last = F.max("seq").over(Window.partitionBy("path_id"))
-    return ways(spark, d).select("path_id", "seq", F.lag("seq").over(_BY).alias("prev_seq"), F.coalesce(F.lag("seq").over(_BY), last).alias("wrapped"))
+    return ways(spark, d).select("path_id", "seq", F.lag("seq").over(_by()).alias("prev_seq"), F.coalesce(F.lag("seq").over(_by()), last).alias("wrapped"))
 
 
 @query(f"WITH {_WAY}, s AS (SELECT path_id, seq, floor(x / 900) AS x, floor(z / 1700) AS z FROM way), p AS (SELECT *, lag(x) OVER w AS a, lag(z) OVER w AS b FROM s WINDOW w AS (PARTITION BY path_id ORDER BY seq)) SELECT path_id, seq, x, z FROM p WHERE a IS NULL OR (x-a)*(x-a)+(z-b)*(z-b) >= (1.0/16384.0)*(1.0/16384.0)")
 def waypoints_dedupe(spark, d):
     w = ways(spark, d).select("path_id", "seq", F.floor(F.col("x") / 900).cast("double").alias("x"), F.floor(F.col("z") / 1700).cast("double").alias("z"))
-    w = w.select("*", F.lag("x").over(_BY).alias("a"), F.lag("z").over(_BY).alias("b"))
+    w = w.select("*", F.lag("x").over(_by()).alias("a"), F.lag("z").over(_by()).alias("b"))
     return w.where(F.col("a").isNull() | ~g.same_point(("a", "b"), ("x", "z"))).select("path_id", "seq", "x", "z")
 
 

@@ -36,15 +36,15 @@ def mesh_links(spark, d) -> DataFrame:
 
 
 def od_pairs(spark, d) -> DataFrame:
-    """(pair_id, sp, sx, sy, sz, gp, gx, gy, gz) of all orders: cells by order and customer, repeated for orders of a customer on one day of the month."""
+    """(pair_id, sp, sx, sy, sz, gp, gx, gy, gz) of all orders: from the customer's cell to one at most twelve cells away, by customer and day of the month."""
     w = width(spark, d)
-    o = table(spark, d, "orders")
-    a, b = F.col("o_custkey") * 7 % (w * w), (F.col("o_custkey") * 13 + F.dayofmonth("o_orderdate")) % (w * w)
-    at = lambda c, f: (f + 0.25 + (c % 3) / 8.0).cast("double")
-    o = o.select(F.col("o_orderkey").alias("pair_id"), a.alias("a"), b.alias("b"))
-    cell = lambda c: (F.col(c) % w, F.floor(F.col(c) / w))
-    (aq, ar), (bq, br) = cell("a"), cell("b")
-    o = o.select("pair_id", F.col("a"), F.col("b"), at(F.col("a"), aq).alias("sx"), F.lit(0.0).alias("sy"), at(F.col("a"), ar).alias("sz"), at(F.col("b"), bq).alias("gx"), F.lit(0.0).alias("gy"), at(F.col("b"), br).alias("gz"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("pair_id"), F.col("o_custkey").alias("c"), F.dayofmonth("o_orderdate").alias("day"))
+    a, shift = F.col("c") * 7 % (w * w), F.col("c") * 13 + F.col("day")
+    near = lambda c, f: g.clamp(F.col(c) + (shift * f) % 25 - 12, F.lit(0).cast("long"), F.lit(w - 1).cast("long"))
+    o = o.select("pair_id", "c", "day", (a % w).alias("aq"), F.floor(a / w).cast("long").alias("ar"))
+    o = o.select("pair_id", "aq", "ar", near("aq", 1).alias("bq"), near("ar", 7).alias("br"))
+    inner = lambda c, k: (F.col(c) + 0.25 + (F.col(k) % 3) / 8.0).cast("double")
+    o = o.select("pair_id", (F.col("ar") * w + F.col("aq")).alias("a"), (F.col("br") * w + F.col("bq")).alias("b"), inner("aq", "ar").alias("sx"), F.lit(0.0).alias("sy"), inner("ar", "aq").alias("sz"), inner("bq", "br").alias("gx"), F.lit(0.0).alias("gy"), inner("br", "bq").alias("gz"))
     p = polys(spark, d).where((F.col("ptype") == 0) & RULES.passes()).select("pid")
     o = o.join(p.select(F.col("pid").alias("sp")), F.col("a") == F.col("sp"), "left").join(p.select(F.col("pid").alias("gp")), F.col("b") == F.col("gp"), "left")
     return o.select("pair_id", "sp", "sx", "sy", "sz", "gp", "gx", "gy", "gz")

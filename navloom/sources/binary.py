@@ -179,7 +179,7 @@ def _detail_rows(m: int, t: dict) -> Iterator[tuple]:
             yield m, int(h["x"]), int(h["y"]), int(h["layer"]), i, k, *_points(at), flags
 
 
-def _tiles(spark: SparkSession, folder: str, schema: str, rows_of, kinds: list) -> DataFrame:
+def _tiles(spark: SparkSession, folder: str, schema: str, rows_of, kinds: list, glob: str = "*.mmtile") -> DataFrame:
     names = [x.strip().split()[0] for x in schema.replace("<x:double,y:double,z:double>", "").split(",")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,15 +190,15 @@ def _tiles(spark: SparkSession, folder: str, schema: str, rows_of, kinds: list)
                 if rows:
                     yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return _files(spark, folder, "*.mmtile").select("map_id", "content").mapInArrow(work, schema)
+    return _files(spark, folder, glob).select("map_id", "content").mapInArrow(work, schema)
 
 
 _I, _F = pa.int64(), pa.float64()
 
 
-def polygons(spark: SparkSession, folder: str) -> DataFrame:
-    """POLYS of all mesh tile files."""
-    return _tiles(spark, folder, POLYS, _poly_rows, [_I] * 5 + [_F, pa.list_(_CORNER), pa.list_(pa.int32()), _I, _I, _I])
+def polygons(spark: SparkSession, folder: str, glob: str = "*.mmtile") -> DataFrame:
+    """POLYS of the mesh tile files whose names match."""
+    return _tiles(spark, folder, POLYS, _poly_rows, [_I] * 5 + [_F, pa.list_(_CORNER), pa.list_(pa.int32()), _I, _I, _I], glob)
 
 
 def connections(spark: SparkSession, folder: str) -> DataFrame:
@@ -211,8 +211,8 @@ def details(spark: SparkSession, folder: str) -> DataFrame:
     return _tiles(spark, folder, DETAILS, _detail_rows, [_I] * 6 + [_CORNER] * 3 + [_I])
 
 
-def terrain(spark: SparkSession, folder: str) -> DataFrame:
-    """(map_id, tx, ty, mode, base, scale, v9, v8, holes) of all terrain files."""
+def terrain(spark: SparkSession, folder: str, glob: str = "*.map") -> DataFrame:
+    """(map_id, tx, ty, mode, base, scale, v9, v8, holes) of the terrain files whose names match."""
     schema = "map_id long, tx long, ty long, mode string, base double, scale double, v9 array<double>, v8 array<double>, holes array<int>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +223,7 @@ def terrain(spark: SparkSession, folder: str) -> DataFrame:
                     kinds = (_I, _I, _I, pa.string(), _F, _F, pa.list_(_F), pa.list_(_F), pa.list_(pa.int32()))
                     yield pa.record_batch([pa.array([v], k) for v, k in zip((m, x, y, *t.values()), kinds, strict=True)], ["map_id", "tx", "ty", *t])
 
-    return _files(spark, folder, "*.map").select("map_id", "tx", "ty", "content").mapInArrow(work, schema)
+    return _files(spark, folder, glob).select("map_id", "tx", "ty", "content").mapInArrow(work, schema)
 
 
 # --- links between decoded tiles --------------------------------------------------------------

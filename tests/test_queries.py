@@ -28,3 +28,13 @@ def test_no_nested_loops(name, spark):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["finite_check"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,value:double>" in plan and "PushedFilters: []" not in plan
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    from tests.conftest import ROOT
+
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and int(done.stdout.split()[0]) > 80, done.stderr[-500:]

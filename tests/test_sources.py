@@ -166,3 +166,18 @@ def test_relax_against_brute_force(spark):
     best = search.relax(links, sources, 10)
     assert {r["node"]: r["cost"] for r in best.collect()} == {0: 0.0, 1: 3.0, 2: 1.0, 3: 8.0}
     assert {r["node"]: r["path"] for r in search.chains(best, 10).collect()}[3] == [0, 2, 1, 3]
+
+
+def test_command_line_route(spark, tmp_path):
+    """Two cells of ten units joined by an edge, flat ground; world x is mesh z."""
+    from navloom.__main__ import find
+
+    big = lambda x: [(x, 0, -10), (x, 0, 0), (x + 10, 0, 0), (x + 10, 0, -10)]
+    (tmp_path / "0003232.mmtile").write_bytes(tile(0, 0, [(big(-20), [0, 0, 2, 0], 1), (big(-10), [1, 0, 0, 0], 1)]))
+    head = np.array([b.TERRAIN_MAGIC, b.TERRAIN_VERSION, 0, 0, 40, 0, 0, 0, 0, 0], "<u4")
+    (tmp_path / "0003232.map").write_bytes(head.tobytes() + np.array([b.HEIGHT_MAGIC, 1], "<u4").tobytes() + np.zeros(2, "<f4").tobytes())
+    d, way = find(spark, str(tmp_path), 0, -2.0, -18.0, -8.0, -2.0)
+    assert d == pytest.approx((36 + 256) ** 0.5) and way == [(-2.0, -18.0), (-8.0, -2.0)]
+    assert find(spark, str(tmp_path), 0, -2.0, -18.0, 20000.0, 0.0) == (-1.0, [])  # out of the world
+    assert find(spark, str(tmp_path), 0, -2.0, -18.0, 900.0, 0.0) == (-1.0, [])  # no terrain there
+    assert find(spark, str(tmp_path), 0, -2.0, -18.0, -200.0, -200.0) == (-1.0, [])  # no polygon near
