@@ -76,7 +76,7 @@ def raw_scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np
     return np.bincount(key >> BITS, weights[key & ((1 << BITS) - 1)], len(offsets) - 1)
 
 
-def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, ones: float = 1.5) -> ToxicityModel:
+def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, ones: float = 1.0) -> ToxicityModel:
     """FTRL-proximal, one row after another (McMahan et al. 2013); a row of label 1 weighs `ones` times a row of label 0."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias, seen = float(np.log((y.sum() + 1) / ((1 - y).sum() + 1))), 1.0
