@@ -38,3 +38,17 @@ def test_entry_imports_without_a_session():
 
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=ROOT, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0 and int(done.stdout.split()[0]) > 80, done.stderr[-500:]
+
+
+def test_works_without_the_training_data_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    from tests.conftest import ROOT
+
+    shutil.copytree(ROOT / "navloom", tmp_path / "navloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries())"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "HOME": "/root"}, capture_output=True, text=True, timeout=120)
+    names = done.stdout.split()
+    assert done.returncode == 0 and "route_distance" in names and "pipeline" not in names and not any(n.startswith("op1") for n in names), done.stderr[-500:]

@@ -181,3 +181,21 @@ def test_command_line_route(spark, tmp_path):
     assert find(spark, str(tmp_path), 0, -2.0, -18.0, 20000.0, 0.0) == (-1.0, [])  # out of the world
     assert find(spark, str(tmp_path), 0, -2.0, -18.0, 900.0, 0.0) == (-1.0, [])  # no terrain there
     assert find(spark, str(tmp_path), 0, -2.0, -18.0, -200.0, -200.0) == (-1.0, [])  # no polygon near
+
+
+def test_sources_are_interchangeable(spark, folder, tmp_path):
+    from navloom.operators.tiles import inventory
+    from navloom.sources.protocol import FolderSource, RecordingSource, StoreSource, write_manifest
+
+    files = FolderSource(spark, folder)
+    wanted = spark.createDataFrame([(0, x, 0) for x in (0, 1, 9)], "map_id long, tx long, ty long")
+    blobs_ = files.blobs(wanted, "nav")
+    store.write_store(blobs_.withColumn("kind", F.lit("nav")), str(tmp_path / "store"))
+    kept = StoreSource(store.read_store(spark, str(tmp_path / "store")).withColumn("map_id", F.col("map_id").cast("long")), files.params())
+    assert {r["status"] for r in store.differences(blobs_, kept.blobs(wanted, "nav"), ["map_id", "tx", "ty"]).collect()} == {"equal"}
+    assert kept.params().count() == 1
+    for source in (files, kept):
+        assert {(r["tx"], r["present"]) for r in RecordingSource(source).record(wanted, "nav").collect()} == {(0, True), (1, True), (9, False)}
+    write_manifest(wanted.select(F.format_string("mmaps/%03d%02d%02d.mmtile", "map_id", "tx", "ty").alias("path")), str(tmp_path / "manifest"))
+    lines = spark.read.text(str(tmp_path / "manifest"))
+    assert {(r["kind"], r["map_id"], r["tx"], r["ty"]) for r in inventory(lines).collect()} == {("nav", 0, x, 0) for x in (0, 1, 9)}
