@@ -130,19 +130,28 @@ def counters(data: np.ndarray, offsets: np.ndarray, words: Words) -> dict[str, n
     return {k: np.asarray(v, np.int64) for k, v in out.items()}
 
 
-def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 150, rate: float = 1.0, l2: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Full-batch logistic regression with per-coordinate (AdaGrad) rates; classes weigh the same."""
-    first = np.concatenate([[0], np.cumsum([len(i) for i, _ in rows])]).astype(np.int64)
-    index = np.concatenate([i for i, _ in rows]).astype(np.int64)
-    value = np.concatenate([v for _, v in rows])
-    used, index = np.unique(index, return_inverse=True)
-    whose = np.repeat(np.arange(len(rows)), np.diff(first))
+def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 150, rate: float = 1.0, l2: float = 1e-6, least_rows: int = 3) -> tuple[np.ndarray, float]:
+    """Full-batch logistic regression with per-coordinate (AdaGrad) rates; classes weigh the same.
+
+    N-grams of fewer than `least_rows` rows get no weight.
+    """
+    seen_in = np.zeros(1 << BITS, np.int32)
+    for i, _ in rows:
+        seen_in[i] += 1
+    used = np.flatnonzero(seen_in >= min(least_rows, len(rows)))
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    kept = [place[i] >= 0 for i, _ in rows]
+    index = np.concatenate([place[i[k]] for (i, _), k in zip(rows, kept, strict=True)])
+    value = np.concatenate([v[k] for (_, v), k in zip(rows, kept, strict=True)])
+    sizes = np.array([int(k.sum()) for k in kept])
+    first = np.concatenate([[0], np.cumsum(sizes)])
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     w, b, seen, seen_b = np.zeros(len(used)), 0.0, np.full(len(used), 1e-12), 1e-12
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(run_sums(value * w[index], first) + b, -60, 60)))
+        p = 1 / (1 + np.exp(-np.clip(run_sums(value * w.astype(np.float32)[index], first) + b, -60, 60)))
         error = (p - y) * weight
-        g = np.bincount(index, value * error[whose], len(used)) + l2 * w
+        g = np.bincount(index, value * np.repeat(error.astype(np.float32), sizes), len(used)) + l2 * w
         seen += g * g
         w -= rate * g / np.sqrt(seen)
         seen_b += error.sum() ** 2
@@ -170,12 +179,12 @@ def platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(theta[0], 1e-3) / unit), float(theta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, test_folds: int = 5) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 3000, test_folds: int = 5) -> QualityModel:
     """Fit on at most `most_rows` labelled rows outside fold 0 of `test_folds` (that fold is left for measuring)."""
     sample = labelled_sample(docs, labels, "quality", most_rows, lambda c: fold(c, test_folds) != 0)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", 1 << 19):
             data, offsets = string_buffer(block.column(2))
             got = features(data, offsets, find_words(data, offsets))
             yield pa.record_batch([block.column(0), block.column(1), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], ["doc_id", "label", "at", "value"])
@@ -210,7 +219,7 @@ def quality(docs: DataFrame, model: QualityModel, threshold: float = 0.5, least_
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", 2 << 20):
             data, offsets = string_buffer(block.column(block.schema.get_field_index("text")))
             words = find_words(data, offsets)
             c = counters(data, offsets, words)
