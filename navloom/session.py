@@ -7,6 +7,7 @@ session's settings and fall back to values that suit a local test run.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -35,14 +36,18 @@ def ready(spark: SparkSession) -> SparkSession:
 
     The workers get the folder this package was imported from in PYTHONPATH; a cluster
     that ships the package with --py-files needs nothing more. The checkpoint folder is the
-    one named in spark.checkpoint.dir; only where that is unset (tests) a fresh local one is made.
+    one named in spark.checkpoint.dir. Where that is unset it lies in the warehouse, which a cluster
+    shares, and for a local master (tests) in a fresh temporary folder.
     """
     sc = spark.sparkContext
     paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="navloom-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and re.fullmatch(r"local(\[[^,]*\])?", sc.master):
+            folder = tempfile.mkdtemp(prefix="navloom-checkpoint-")
+        sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return spark
 
 
