@@ -103,10 +103,10 @@ def fit(docs: DataFrame, learn=None, most_rows: int = 20000, most_words: int = 5
                 gram, word = _grams(chars.code, start, end, order)
                 parts.append((order, gram, of[word], times[word]))
             for order, key, of, times in parts:
-                both, back = np.unique(np.stack([key.view(np.int64), of]), axis=1, return_inverse=True)
-                if both.shape[1]:
-                    n = np.bincount(back.ravel(), times, both.shape[1]).astype(np.int64)
-                    yield pa.record_batch([pa.array(np.full(len(n), order, np.int32)), pa.array(names[both[1]].tolist(), pa.string()), pa.array(both[0]), pa.array(n)], ["size", "lang", "gram", "n"])
+                _, one, back = np.unique(mix(key + of.astype(U64) * U64(0xD6E8FEB86659FD93)), return_index=True, return_inverse=True)
+                if len(one):
+                    n = np.bincount(back, times, len(one)).astype(np.int64)
+                    yield pa.record_batch([pa.array(np.full(len(n), order, np.int32)), pa.array(names[of[one]].tolist(), pa.string()), pa.array(key[one].view(np.int64)), pa.array(n)], ["size", "lang", "gram", "n"])
 
     counts = docs.mapInArrow(count, "size int, lang string, gram long, n long").groupBy("size", "lang", "gram").agg(F.sum("n").alias("n"))
     # The n-th largest count of each language and order, without one task that sees all of it: counts of counts first.
