@@ -27,6 +27,7 @@ from navloom.session import ready
 
 ORDERS = (4, 3, 2, 1)
 FOLDS, HELD_OUT = 3, 1
+MOST_NUMBERS = 4_000_000  # entries times languages of an order
 _EDGE = np.uint32(0x110000)  # stands before and after a word, and is no code point
 
 
@@ -112,8 +113,9 @@ def fit(docs: DataFrame, learn=None, most_rows: int = 20000, most_words: int = 5
     # The n-th largest count of each language and order, without one task that sees all of it: counts of counts first.
     times = counts.groupBy("size", "lang", "n").agg(F.count("*").alias("m")).toArrow().to_pylist()
     least: dict[tuple[int, str], int] = {}
+    n_languages = max(1, len({r["lang"] for r in times}))
     for size, lang in {(r["size"], r["lang"]) for r in times}:
-        room = most_words if size == 0 else most_grams
+        room = min(most_words if size == 0 else most_grams, MOST_NUMBERS // n_languages**2)
         least[size, lang] = 1
         for r in sorted((r for r in times if (r["size"], r["lang"]) == (size, lang)), key=lambda r: -r["n"]):
             room -= r["m"]
