@@ -36,8 +36,8 @@ WHOLE = frozenset("html body article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 CLASSES = frozenset(
     "nav navbar navigation menu sidebar footer header masthead banner ad ads advert advertisement adsbygoogle sponsor sponsored promo promotion "
-    "cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup share sharing social related recommended "
-    "breadcrumb breadcrumbs pagination pager comment comments disqus reply replies respond widget toolbar login search form hidden".split()
+    "cookie cookies consent gdpr notice alert announcement popup modal overlay newsletter subscribe subscription signup share sharing social related recommended "
+    "breadcrumb breadcrumbs pagination pager comment comments disqus reply replies respond widget toolbar topbar sidenav subnav login search form hidden".split()
 )
 #: a class "header" with one of these is the article's own
 OWN_HEADER = frozenset("article entry post story content title".split())
@@ -71,6 +71,7 @@ def _is_cut(tag: str, attributes: str, in_article: bool) -> bool:
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             words = {w.lower() for w in _WORD.findall(value)}
+            words |= {w[:-1] for w in words if w.endswith("s")}
             if words & CLASSES and not ("header" in words and words & CLASSES == {"header"} and (words & OWN_HEADER or in_article)):
                 return True
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES):

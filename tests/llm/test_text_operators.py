@@ -65,7 +65,7 @@ PAGE = """<html><head><title>no</title><style>p{}</style></head><body class="has
 second&nbsp;line<p>Unclosed &lt;tags&gt;, as &#8220;they&#8221; are<ul><li>one, <li>two</ul><form><p>Name, please</p></form></div>
 <div class="comments"><p>I, too, have an opinion, a long one, about this.</p></div></div>
 <aside><p>By the way, this is beside the point, is it not?</p></aside><div role="complementary">x, y</div><script>var a = "</p>";</script>
-<div class="promotion">Buy, buy, buy</div><footer>&copy; 2024, all of it</footer></body></html>"""
+<div class="promotion">Buy, buy, buy</div><section class="siteNotices"><p>All of this, and more, is a notice, of sorts.</p></section><footer>&copy; 2024, all of it</footer></body></html>"""
 
 
 def test_a_page_with_everything():
