@@ -6,16 +6,17 @@ with what improved. Steps are bounded by the caller; lineage is cut by reliable
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navloom.session import ready
 
 
-def relax(links: DataFrame, sources: DataFrame, steps: int) -> DataFrame:
+def relax(links: DataFrame, sources: DataFrame, steps: int, within: Column | None = None) -> DataFrame:
     """(source, node, cost, parent): the cheapest way from each source (source, node) within `steps` links (src, dst, cost).
 
-    Ties: the smallest parent. Stops early when nothing improves.
+    `within` is a condition on (source, node) that reached nodes must meet, such as a circle or a shape
+    around the source. Ties: the smallest parent. Stops early when nothing improves.
     """
     ready(links.sparkSession)
     best = sources.select("source", "node", F.lit(0).cast("double").alias("cost"), F.lit(None).cast("long").alias("parent"))
@@ -23,6 +24,7 @@ def relax(links: DataFrame, sources: DataFrame, steps: int) -> DataFrame:
     links = links.select(F.col("src").alias("node"), "dst", F.col("cost").cast("double").alias("step")).checkpoint()
     for _ in range(steps):
         reached = frontier.join(links, "node").select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.col("node").alias("parent"))
+        reached = reached if within is None else reached.where(within)
         reached = reached.groupBy("source", "node").agg(F.min(F.struct("cost", "parent")).alias("b")).select("source", "node", "b.*")
         old = best.select("source", "node", F.col("cost").alias("__old"), F.col("parent").alias("__parent"))
         both = old.join(reached, ["source", "node"], "full_outer")

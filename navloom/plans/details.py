@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from navloom.operators import details as dt
 from navloom.operators import mesh as m
-from navloom.operators.polygons import corners
+from navloom.operators.polygons import corners, edge_distances
 from navloom.plans.base import query, r6
 from navloom.plans.geometry import _EDGES, _QUAD, on_cells
 from navloom.plans.mesh import _AT, _WALL, at_cells
@@ -41,6 +41,18 @@ def poly_height(spark, d):
     return _details(spark, d).select("event_id", "pid", r6(F.col("height")).alias("height"))
 
 
+@query(
+    f"WITH {_TRIS}, nb AS (SELECT event_id, pid, any_value(px) AS px, any_value(pz) AS pz, count(*) FILTER (crosses) % 2 = 1 AS inside_poly, arg_min({{'x': ax+p*(bx-ax), 'z': az+p*(bz-az)}}, (dd, e)) AS m FROM k GROUP BY 1, 2) "
+    "SELECT event_id, pid, inside_poly AS over_it, round(CASE WHEN inside_poly THEN px ELSE m.x END, 6) AS x, round(coalesce(inside, eh), 6) + 0.0 AS y, round(CASE WHEN inside_poly THEN pz ELSE m.z END, 6) AS z FROM nb JOIN fi USING (event_id, pid) JOIN ed USING (event_id, pid)",
+    ("points", "polys"),
+)
+def closest_point(spark, d):
+    """The nearest point of the polygon: the point itself if it lies over it, else on the border; the height is the detail height."""
+    t = edge_distances(_details(spark, d), "quad")
+    keep = lambda own, edge: F.round(F.when(F.col("inside"), F.col(own)).otherwise(F.col(edge)), 6)
+    return t.select("event_id", "pid", F.col("inside").alias("over_it"), keep("px", "edge_x").alias("x"), r6(F.col("height")).alias("y"), keep("pz", "edge_z").alias("z"))
+
+
 @query(f"WITH {_TRIS} SELECT event_id, pid, round(eh, 6) + 0.0 AS edge_height, round(dd, 6) AS edge_dist_sqr FROM ed", ("points", "polys"))
 def detail_edges(spark, d):
     return _details(spark, d).select("event_id", "pid", r6(F.col("edge_height")).alias("edge_height"), F.round("edge_dist_sqr", 6).alias("edge_dist_sqr"))

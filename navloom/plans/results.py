@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from navloom.functions import geometry as g
-from navloom.functions import status as st
 from navloom.operators import mesh as m
 from navloom.operators import search, store
-from navloom.plans.base import query, r6
+from navloom.plans.base import query
 from navloom.plans.mesh import _INNER, _PORTAL
 from navloom.plans.tiles import nav_tiles
 from navloom.session import ready, table
-from navloom.sources.world import polys
+from navloom.sources.world import polys, width
 
 _WAY = """way AS (SELECT o_custkey AS path_id, o_orderkey AS seq, o_orderkey * 7919 % 34133 / 10.0 AS x, o_totalprice / 1000 AS y, o_orderkey * 104729 % 34133 / 10.0 AS z FROM orders)"""
 
@@ -129,6 +128,15 @@ def dijkstra_bounded(spark, d):
     return search.relax(costed_links(spark, d), _corners(spark, d), 6).select("source", "node", "cost")
 
 
+@query(f"WITH RECURSIVE {{world}}, {_LINKS}, t AS ({_START} UNION SELECT source, dst, t.cost + l.cost, n + 1 FROM t JOIN l ON src = node, size WHERE n < 6 AND pow(dst % w - source % w, 2) + pow(dst // w - source // w, 2) <= 10.0) SELECT source, node, min(cost) AS cost FROM t GROUP BY 1, 2", ("polys",))
+def polygons_around(spark, d):
+    """Polygons that can be reached inside a circle around the source, and at what cost."""
+    w = width(spark, d)
+    row = lambda c: F.floor(F.col(c) / w)
+    near = g.sqr((F.col("node") % w - F.col("source") % w).cast("double")) + g.sqr((row("node") - row("source")).cast("double")) <= 10.0
+    return search.relax(costed_links(spark, d), _corners(spark, d), 6, near).select("source", "node", "cost")
+
+
 @query(f"WITH RECURSIVE {{world}}, {_LINKS}, t AS (SELECT pid AS source, pid AS node, 0 AS n FROM polys WHERE ptype = 0 UNION SELECT source, dst, n + 1 FROM t JOIN l ON src = node WHERE n < 3) SELECT source, node, min(n)::DOUBLE AS hops FROM t GROUP BY 1, 2", ("polys",))
 def reachability(spark, d):
     p = polys(spark, d).where("ptype = 0").select(F.col("pid").alias("source"), F.col("pid").alias("node"))
@@ -157,6 +165,3 @@ def store_roundtrip(spark, d):
     store.write_store(t.withColumn("kind", F.lit("nav")).withColumn("blob", blob), path)
     found = store.look_up(store.read_store(spark, path).withColumn("map_id", F.col("map_id").cast("long")), t, "nav")
     return found.select("map_id", "tx", "ty", F.length("blob").cast("long").alias("size"), F.sha2("blob", 256).alias("digest"))
-
-
-_ = (r6, st)

@@ -80,6 +80,3 @@ def stream_routes(spark, d):
     from navloom.streaming.requests import run_to_end
 
     return run_to_end(spark, od_pairs(spark, d), lambda batch: routes(batch, mesh_polys(spark, d), mesh_links(spark, d), RULES).select("pair_id", r6(F.col("distance")).alias("distance"), "is_partial"))
-
-
-_ = g

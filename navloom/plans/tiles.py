@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from navloom.functions import geometry as g
 from navloom.operators.tiles import cover, inventory, present, store_counts
-from navloom.plans.base import query, r6
+from navloom.plans.base import query
 from navloom.session import table
 from navloom.sources.world import pairs, points
 
@@ -198,6 +198,3 @@ def path_strings(spark, d):
     norm = F.replace(raw, F.lit("\\"), F.lit("/"))
     rel = F.when(F.startswith(norm, F.lit("C:/data/")), F.expr("substr(replace(concat('C:/data/', event_type, '/', event_id), '\\\\', '/'), 9)")).otherwise(norm)
     return table(spark, d, "events").select("event_id", norm.alias("norm"), rel.alias("rel"), F.lpad(F.hex("event_id"), 8, "0").alias("key"), F.substring("event_type", 2, 3).alias("part"), F.format_string("%.4f", F.round("value", 4)).alias("shown"))
-
-
-_ = r6
