@@ -17,7 +17,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from navloom.llm.sample import fold, labelled_sample
 from navloom.llm.text import IS_SEPARATOR, U64, Words, blocks, code_points, find_words, hash_words, mix, run_sums, sequence_hash, string_buffer

@@ -1,6 +1,5 @@
 """Substring dedup and SimHash against brute force."""
 
-import hashlib
 import random
 
 import numpy as np
@@ -181,6 +180,3 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 200), (301, 300), (300, 301)]
     got = {r["node"]: r["label"] for r in comp.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(61)} == {0} and {got[100 + i] for i in range(40)} == {100} and got[301] == 300 and 200 not in got
-
-
-_ = hashlib

@@ -4,7 +4,7 @@ import corpus_pipeline as pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from navloom.llm import packing, quality, substring, toxicity
+from navloom.llm import quality, toxicity
 from tests.conftest import SF
 from tests.llm.test_dedup import brute_substring
 from tests.llm.test_encoding import check_packing
@@ -51,6 +51,3 @@ def test_run(spark):
     rows = pipeline.run(spark, SF)
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and rows.count() > 50
     assert [n for n, _ in pipeline.STAGES] == ["quality_rules", "toxicity", "near_duplicates", "substring_dedup", "packing"]
-
-
-_ = (packing, substring)
