@@ -33,7 +33,7 @@ from navloom.session import ready
 
 # The piece pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 250_000  # chunks in a generation; half as many pieces
+REMEMBERED = 600_000  # chunks in a generation; half as many pieces
 
 
 def byte_letters() -> dict[str, int]:
