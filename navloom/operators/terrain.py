@@ -37,6 +37,7 @@ def heights(points: DataFrame, terrain: DataFrame) -> DataFrame:
     """`points` (event_id, wx, wy), mode, hole and height: null without terrain; a hole has none either."""
     row, column, u, v = g.terrain_cell("wx", "wy")
     p = points.select("event_id", g.tile_of("wx").alias("tx"), g.tile_of("wy").alias("ty"), (row * SIDE + column).alias("at"), u.alias("u"), v.alias("v"))
+    terrain = terrain.join(p.select("tx", "ty").distinct(), ["tx", "ty"], "left_semi")  # only tiles with points are unfolded
     modes = terrain.select("tx", "ty", "mode")
     p = p.join(modes, ["tx", "ty"], "left").withColumn("cell", F.when(F.col("mode") == "flat", F.lit(-1).cast("long")).otherwise(F.col("at"))).drop("mode")
     t = p.join(cells(terrain), ["tx", "ty", "cell"], "left")
