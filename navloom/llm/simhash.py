@@ -153,9 +153,7 @@ def links(reps: DataFrame, most_bits: int, cut: list[Segment], known: bool = Fal
         return np.frombuffer(string_buffer(column)[0].tobytes(), ">u8").astype(U64).reshape(-1, words)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (b.slice(i, 2048) for b in batches for i in range(0, len(b), 2048)):
             label, fp = np.asarray(batch.column(0)), fps(batch.column(1))
             code, where = [], []
             for s, segment in enumerate(cut):
