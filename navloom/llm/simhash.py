@@ -37,14 +37,11 @@ SEED = 42
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: bytes, size: int, words: int = 1) -> bytes:
-    """The SimHash of a text's shingles of `size` words, 64 bits for each of `words`; A-Z count as a-z.
-
-    The first 64 bits come from the shingles' XXH64, more come from mixing that with other constants.
-    """
+def shingles(text: bytes, size: int) -> np.ndarray:
+    """XXH64 of every shingle of `size` words, in text order; A-Z count as a-z."""
     tokens = text.translate(_LOWER).split()
     if not tokens:
-        return bytes(8 * words)
+        return np.zeros(0, U64)
     joined = b" ".join(tokens)
     if len(tokens) <= size:
         hashes = xxhash.xxh64_digest(joined, SEED)
@@ -54,7 +51,20 @@ def fingerprint(text: bytes, size: int, words: int = 1) -> bytes:
         starts = ends - sizes - 1
         digest = xxhash.xxh64_digest
         hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[: len(tokens) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)])
-    h = np.frombuffer(hashes, ">u8").astype(U64)
+    return np.frombuffer(hashes, ">u8").astype(U64)
+
+
+def fingerprint(text: bytes, size: int, words: int = 1) -> bytes:
+    """The SimHash of a text's shingles of `size` words, 64 bits for each of `words`; A-Z count as a-z.
+
+    The first 64 bits come from the shingles' XXH64, more come from mixing that with other constants.
+    """
+    return _simhash(shingles(text, size), words)
+
+
+def _simhash(h: np.ndarray, words: int) -> bytes:
+    if not len(h):
+        return bytes(8 * words)
     out = []
     for w in range(words):
         bits = (h if w == 0 else mix(h + U64(w) * U64(0x9E3779B97F4A7C15))).astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -242,17 +252,119 @@ def near_components(fps: DataFrame, most_bits: int = 4, cut: list[Segment] | Non
     return fps.join(owner, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 2) -> DataFrame:
-    """(doc_id, component_id): groups of documents whose shingles of `size` words have about that Jaccard similarity or more.
+def _key(text: bytes) -> bytes:
+    """128 bits that tell word sequences apart; texts with the same one have the same shingles."""
+    return xxhash.xxh128_digest(b" ".join(text.translate(_LOWER).split()), SEED)
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For every two of `sets` (each of distinct hashes) whether their Jaccard similarity is at least `similarity`."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.float64)
+    who = np.repeat(np.arange(n), sizes.astype(np.int64))
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    kept = shared[column]
+    who, column = who[kept], place[column[kept]]
+    order = np.argsort(column, kind="stable")
+    who, column = who[order], column[order]
+    both = np.zeros((n, n))
+    for k in range(0, int(shared.sum()), 4096):
+        i, j = np.searchsorted(column, (k, k + 4096))
+        has = np.zeros((n, 4096), np.float32)
+        has[who[i:j], column[i:j] - k] = 1
+        both += has @ has.T
+    np.fill_diagonal(both, sizes)
+    either = sizes[:, None] + sizes - both
+    return (both >= similarity * either - 1e-9) & (both > 0)
+
+
+def verified_links(members: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b): a spanning forest, in each group, of the pairs of texts with at least `similarity`.
+
+    members: (part, lot, doc_id, key, text); rows of one (part, lot) are compared, all with all. Rows whose
+    text has another key belong to another row of that id and are left out.
+    """
+    parts = shuffle_partitions(ready(members.sparkSession))
 
-    Sets of equal size with Jaccard similarity s have the cosine 2s / (1 + s), and a SimHash bit of
-    theirs differs with probability arccos(cosine) / pi; fingerprints link up to the expected number
-    of differing bits. 128 bits in eight segments of 16 with balls of radius 1 meet 93 % of the
-    pairs that lie right at 0.8, 99 % of those at 0.87, and all but a few in ten thousand at 0.95.
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[int, int], dict[tuple[int, bytes], bytes]] = {}
+        for batch in batches:
+            for part, lot, doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                groups.setdefault((part, lot), {})[doc, key] = (text or "").encode()
+        found: list[tuple[int, int]] = []
+        while groups:
+            rows = sorted((k, t) for k, t in groups.popitem()[1].items() if _key(t) == k[1])
+            if len(rows) < 2:
+                continue
+            near = alike([np.unique(shingles(t, size)) for _, t in rows], similarity)
+            left = np.arange(len(rows))
+            while len(left):
+                front, left = [left[0]], left[1:]
+                while front and len(left):
+                    at = front.pop()
+                    hit = near[at, left]
+                    found += [(rows[at][0][0], rows[x][0][0]) for x in left[hit]]
+                    front.extend(left[hit].tolist())
+                    left = left[~hit]
+        yield pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    rows = members.select("part", "lot", "doc_id", "key", "text")
+    return rows.repartition(parts, "part", "lot").mapInArrow(verify, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, tables: int = 2, block: int = 256) -> DataFrame:
+    """(doc_id, component_id): documents connected by pairs whose sets of `size`-word shingles have that Jaccard similarity or more.
+
+    SimHash only finds candidates. Sets of equal size with Jaccard similarity s have the cosine
+    2s / (1 + s), and a SimHash bit of theirs differs with probability arccos(cosine) / pi. Each of
+    `tables` independent fingerprints of 128 bits, in eight segments of 16 with balls of radius 1,
+    yields the pairs up to the 99 % quantile of the number of differing bits (28 for 0.8). Within each
+    candidate component the shingle sets themselves are compared, and only pairs that reach `similarity` link.
+
+    A component of more than `block` texts is compared in lots: every lot holds the component's first
+    text too, and only if that leaves it in several pieces does every two lots' texts meet.
     """
+    ready(docs.sparkSession)
     flips = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    most_bits = int(flips * 64 * words)
-    return near_components(fingerprints(docs, size, words), most_bits, even_segments(words, 16, 1), twice=True).select("doc_id", "component_id")
+    most_bits = int(128 * flips + 2.326 * np.sqrt(128 * flips * (1 - flips)))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text"):
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            fps = [_simhash(shingles(t, size), 2 * tables) for t in texts]
+            yield pa.record_batch([batch.column(0), pa.array([_key(t) for t in texts], pa.binary()), pa.array(fps, pa.binary())], ["doc_id", "key", "fp"])
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.mapInArrow(work, "doc_id long, key binary, fp binary").checkpoint()
+    units = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")).where("doc_id IS NOT NULL").checkpoint()
+    cut = even_segments(2, 16, 1)
+    for known, segment in ((False, [(w, shift, bits, 0) for w, shift, bits, _ in cut]), (True, cut)):
+        met = units.withColumn("part", F.col("doc_id")) if not known else units.join(labels, units["doc_id"] == labels["node"], "left").select(*units.columns, F.coalesce("label", "doc_id").alias("part")).checkpoint()
+        found = None
+        for k in range(tables):
+            half = links(met.select(F.col("part").alias("label"), F.expr(f"substring(fp, {16 * k + 1}, 16)").alias("fp")), most_bits, segment, known)
+            found = half if found is None else found.union(half)
+        labels = components(found)
+    above = labels.withColumnRenamed("node", "part")
+    met = met.join(above, "part", "left").select("key", "doc_id", F.coalesce("label", "part").alias("part")).checkpoint()
+    sizes = met.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part", F.ceil(F.col("n") / block).cast("int").alias("lots")).checkpoint()
+    members = met.join(sizes, "part").withColumn("own", F.pmod(F.xxhash64("key"), F.col("lots")).cast("int")).checkpoint()
+    first = F.when(F.col("doc_id") == F.col("part"), F.sequence(F.lit(0), F.col("lots") - 1)).otherwise(F.array("own"))
+    edges = verified_links(members.join(docs, "doc_id").withColumn("lot", F.explode(first)), size, similarity).checkpoint()
+    large = members.where("lots > 1")
+    if not large.isEmpty():
+        labels = components(edges).withColumnRenamed("node", "doc_id")
+        pieces = large.join(labels, "doc_id", "left").groupBy("part").agg(F.min(F.coalesce("label", "doc_id")).alias("low"), F.max(F.coalesce("label", "doc_id")).alias("high"))
+        split = pieces.where("low < high").select("part").checkpoint()
+        # Lots i < j meet under the number i * lots + j.
+        meet = F.expr("transform(filter(sequence(0, lots - 1), x -> x != own), x -> least(x, own) * bigint(lots) + greatest(x, own))")
+        again = large.join(split, "part").join(docs, "doc_id").withColumn("lot", F.explode(meet))
+        edges = edges.union(verified_links(again, size, similarity))
+    labels = components(edges).withColumnRenamed("node", "doc_id")
+    owner = units.join(labels, "doc_id", "left").select("key", F.coalesce("label", "doc_id").alias("component_id"))
+    return rows.join(owner, "key", "left").select("doc_id", "component_id")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

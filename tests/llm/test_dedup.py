@@ -176,6 +176,49 @@ def test_near_copies_are_found_and_others_left(spark):
     assert sum(got[10 * c + k] == 10 * c for c in range(30) for k in (1, 2)) >= 58
 
 
+def _changed(rng, base, jaccard):
+    """A copy of base whose 5-word shingles have a similarity of just `jaccard` or more."""
+    cut = lambda x: {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
+    copy, before = list(base), list(base)
+    while len(cut(base) & cut(copy)) >= jaccard * len(cut(base) | cut(copy)):
+        before = list(copy)
+        copy[rng.randrange(len(base))] = f"new{rng.random()}"
+    return before
+
+
+def test_near_copies_link_by_their_shingles(spark):
+    rng = random.Random(11)
+    rows = []
+    for c in range(60):
+        base = [f"w{c}x{rng.random()}" for _ in range(400)]
+        rows += [(10 * c, base), (10 * c + 1, _changed(rng, base, 0.8)), (10 * c + 2, _changed(rng, base, 0.72))]
+    # One text with twenty near copies, which has a chain to more of them.
+    hub = [f"hub{i}" for i in range(400)]
+    rows += [(5000 + i, _changed(rng, hub, 0.9)) for i in range(20)]
+    chain = hub
+    for i in range(5):
+        chain = _changed(rng, chain, 0.85)
+        rows.append((6000 + i, chain))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, block=7).collect()}
+    cut = {i: {tuple(t[k : k + 5]) for k in range(len(t) - 4)} for i, t in rows}
+    near = {(a, b) for a in cut for b in cut if a < b and abs(a - b) < 2000 and len(cut[a] & cut[b]) >= 0.8 * len(cut[a] | cut[b])}
+    assert all(got[10 * c + 2] == 10 * c + 2 for c in range(60))  # below 0.8: stays
+    assert sum(got[a] == got[b] for a, b in near) >= 0.98 * len(near)
+    for a, b in {(a, b) for a in got for b in got if a != b and got[a] == got[b]}:  # each has a partner at 0.8
+        assert any((min(a, x), max(a, x)) in near for x in got if x != a and got[x] == got[a]), (a, b)
+
+
+def test_alike_by_brute_force():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 40, n).astype(np.uint64)) for n in rng.integers(0, 90, 60)] + [np.arange(10_000, dtype=np.uint64), np.arange(2_000, 10_000, dtype=np.uint64)]
+    near = simhash.alike(sets, 0.8)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            one, two = set(a.tolist()), set(b.tolist())
+            assert near[i, j] == (len(one & two) > 0 and 10 * len(one & two) >= 8 * len(one | two))
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 200), (301, 300), (300, 301)]
     got = {r["node"]: r["label"] for r in comp.components(spark.createDataFrame(edges, "a long, b long")).collect()}
