@@ -129,35 +129,31 @@ def counters(data: np.ndarray, offsets: np.ndarray, words: Words) -> dict[str, n
     return {k: np.asarray(v, np.int64) for k, v in out.items()}
 
 
-def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 150, rate: float = 1.0, l2: float = 1e-6, least_rows: int = 3) -> tuple[np.ndarray, float]:
+def fit_logistic(index: np.ndarray, value: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 1.0, l2: float = 1e-6, block: int = 1 << 20) -> tuple[np.ndarray, float]:
     """Full-batch logistic regression with per-coordinate (AdaGrad) rates; classes weigh the same.
 
-    N-grams of fewer than `least_rows` rows get no weight.
+    Row i has the n-grams index[first[i]:first[i + 1]]; a round goes over about `block` of them at a time.
     """
-    seen_in = np.zeros(1 << BITS, np.int32)
-    for i, _ in rows:
-        seen_in[i] += 1
-    used = np.flatnonzero(seen_in >= min(least_rows, len(rows)))
-    place = np.full(1 << BITS, -1, np.int32)
-    place[used] = np.arange(len(used))
-    kept = [place[i] >= 0 for i, _ in rows]
-    index = np.concatenate([place[i[k]] for (i, _), k in zip(rows, kept, strict=True)])
-    value = np.concatenate([v[k] for (_, v), k in zip(rows, kept, strict=True)])
-    sizes = np.array([int(k.sum()) for k in kept])
-    first = np.concatenate([[0], np.cumsum(sizes)])
+    used = np.zeros(1 << BITS, bool)
+    used[index] = True
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    w, b, seen, seen_b = np.zeros(len(used)), 0.0, np.full(len(used), 1e-12), 1e-12
+    cuts = np.unique(np.concatenate([np.searchsorted(first, np.arange(0, first[-1], block)), [len(y)]])).tolist()
+    w, b, seen, seen_b = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-12), 1e-12
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(run_sums(value * w.astype(np.float32)[index], first) + b, -60, 60)))
-        error = (p - y) * weight
-        g = np.bincount(index, value * np.repeat(error.astype(np.float32), sizes), len(used)) + l2 * w
+        g, total, flat = l2 * w, 0.0, w.astype(np.float32)
+        for i, j in zip([0, *cuts], cuts, strict=False):
+            if i == j:
+                continue
+            at, v, own = index[first[i] : first[j]], value[first[i] : first[j]], first[i : j + 1] - first[i]
+            p = 1 / (1 + np.exp(-np.clip(run_sums(v * flat[at], own) + b, -60, 60)))
+            error = (p - y[i:j]) * weight[i:j]
+            g += np.bincount(at, v * np.repeat(error.astype(np.float32), np.diff(own)), len(w))
+            total += error.sum()
         seen += g * g
         w -= rate * g / np.sqrt(seen)
-        seen_b += error.sum() ** 2
-        b -= 0.1 * rate * error.sum() / np.sqrt(seen_b)
-    dense = np.zeros(1 << BITS, np.float32)
-    dense[used] = w
-    return dense, float(b)
+        seen_b += total**2
+        b -= 0.1 * rate * total / np.sqrt(seen_b)
+    return np.where(used, w, 0).astype(np.float32), float(b)
 
 
 def platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -178,7 +174,7 @@ def platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(theta[0], 1e-3) / unit), float(theta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 3000, test_folds: int = 5) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, test_folds: int = 5) -> QualityModel:
     """Fit on at most `most_rows` labelled rows outside fold 0 of `test_folds` (that fold is left for measuring)."""
     sample = labelled_sample(docs, labels, "quality", most_rows, lambda c: fold(c, test_folds) != 0)
 
@@ -188,17 +184,32 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 3000, test_folds: i
             got = features(data, offsets, find_words(data, offsets))
             yield pa.record_batch([block.column(0), block.column(1), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], ["doc_id", "label", "at", "value"])
 
-    table = sample.mapInArrow(rows, "doc_id long, label int, at binary, value binary").toArrow().sort_by("doc_id")
-    y = np.array(table["label"], float)
+    table = sample.mapInArrow(rows, "doc_id long, label int, at binary, value binary").toArrow()
+    y, ids = np.array(table["label"], float), np.array(table["doc_id"], np.int64)
     if not len(y) or not 0 < y.sum() < len(y):
         p = (y.sum() + 1) / (len(y) + 2)
         return QualityModel(np.zeros(1 << BITS, np.float32), float(np.log(p / (1 - p))))
-    x = [(np.frombuffer(i, np.uint32), np.frombuffer(v, np.float32)) for i, v in zip(table["at"].to_pylist(), table["value"].to_pylist(), strict=True)]
-    held = mix(np.array(table["doc_id"], np.int64).view(U64)) % U64(5) == 0
+    held = mix(ids.view(U64)) % U64(5) == 0
     if not 0 < y[~held].sum() < (~held).sum():
         held[:] = False
-    weights, bias = fit_logistic([r for r, h in zip(x, held, strict=True) if not h], y[~held])
-    raw = np.array([weights[i] @ v for i, v in x])
+    # All rows in flat arrays, by id, those that are not fitted last.
+    order = np.lexsort((ids, held))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    sizes = np.concatenate([np.diff(string_buffer(c)[1]) for c in table["at"].chunks]) // 4
+    first = np.concatenate([[0], np.cumsum(sizes[order])])
+    index, value = np.empty(first[-1], np.int32), np.empty(first[-1], np.float32)
+    row = 0
+    for batch in table.select(["at", "value"]).to_batches():
+        for at, v in zip(batch.column(0), batch.column(1), strict=True):
+            a, b = first[place[row]], first[place[row] + 1]
+            index[a:b], value[a:b] = np.frombuffer(at.as_buffer(), np.uint32), np.frombuffer(v.as_buffer(), np.float32)
+            row += 1
+    del table
+    y, held = y[order], held[order]
+    n = int((~held).sum())
+    weights, bias = fit_logistic(index[: first[n]], value[: first[n]], first[: n + 1], y[:n])
+    raw = np.array([weights[index[a:b]] @ value[a:b] for a, b in zip(first[:-1], first[1:], strict=True)])
     scale, shift = platt(raw[held] + bias, y[held])
     return QualityModel(weights, bias, scale, shift)
 

@@ -185,6 +185,18 @@ def test_quality_of_unseen_rows(spark):
     assert abs(got["quality"].mean() - got["label"].mean()) < 0.05  # calibrated
 
 
+def test_quality_learns_from_every_row_and_ngram(spark):
+    n = 4500
+    word = "concat('only', cast(id as string), 'here')"
+    docs = spark.range(n).selectExpr("id AS doc_id", f"concat({word}, ' ', if(id % 2 = 0, 'good text', 'bad stuff')) AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "cast(id % 2 = 0 as int) AS quality")
+    model = quality.fit(docs, labels)
+    data, offsets = kernels.string_buffer(pa.array([f"only{i}here" for i in range(n)]))
+    words = kernels.find_words(data, offsets)
+    own = model.weights[next(iter(quality._ngrams(data, offsets, words)))[0]]
+    assert (own != 0).sum() > 0.6 * n  # four fifths of the rows outside the held-out fold
+
+
 def test_quality_of_odd_rows(spark):
     docs = odd_docs(spark).withColumn("kept", F.lit("clash")).withColumn("quality", F.lit("clash"))
     labels = spark.createDataFrame([(1, 0, 1), (2, 1, None), (6, None, 0), (6, 1, 1), (None, 1, 1), (12, 0, 0)], "doc_id long, quality int, toxic int")
