@@ -1,7 +1,9 @@
 """Byte-level BPE encoding and decoding with the vocabulary of a public tokenizer file.
 
-Encoding splits a text into pieces by the byte-level pattern. Within a piece an Aho-Corasick
-automaton over all tokens gives, for every place, the longest token that starts there. The encoder
+Encoding splits a text into pieces by the byte-level pattern. Which code points are letters, numbers
+and white space to that pattern depends on the Unicode version of who evaluates it, so the three
+classes are read off the library's own pre-tokenizer (`classes`), once in the driver, and every
+engine gets them spelt out as ranges. Within a piece an Aho-Corasick automaton over all tokens gives, for every place, the longest token that starts there. The encoder
 walks left to right, takes the longest token that is compatible with the one before, falls back to
 the next shorter prefix, and steps back where nothing fits; places that led nowhere are marked, so
 each is tried once and the work is linear in the piece. Two tokens are compatible if merging their
@@ -11,28 +13,31 @@ A bounded table in each worker remembers the ids of pieces and of whole space-se
 Decoding gathers bytes from one table of all tokens by its offsets.
 
 Defined results: a null text is an empty text, with no ids, and decodes to an empty text. The text
-of a special token is encoded as that token. Repeated rows get the same result.
+of a special token is encoded as that token. Repeated rows get the same result. In decoding, null
+ids, null elements of a list and ids outside the table stand for nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from navloom.llm.text import blocks
 from navloom.session import ready
 
-# The piece pattern of byte-level BPE.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The piece pattern of byte-level BPE; L, N and S stand for the classes of code points.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+"
 REMEMBERED = 600_000  # chunks in a generation; half as many pieces
 
 
@@ -43,6 +48,45 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Classes(NamedTuple):
+    """The ranges (first, last) of code points that are letters, numbers and white space to a tokenizer's pattern."""
+
+    letter: tuple[tuple[int, int], ...]
+    number: tuple[tuple[int, int], ...]
+    space: tuple[tuple[int, int], ...]
+
+    def pattern(self, escape: str) -> str:
+        """PATTERN with the classes spelt out; `escape` writes a code point: \\U%08x in Python, \\x{%x} in Rust."""
+        within = {k: "".join(escape % a + ("-" + escape % b if b > a else "") for a, b in own) for k, own in zip("LNS", self, strict=True)}
+        return re.sub(r"(?<=[\[^LNS])[LNS]", lambda m: within[m[0]], PATTERN)
+
+
+@lru_cache(maxsize=4)
+def classes(path: str) -> Classes:
+    """The classes of code points of a tokenizer file's pre-tokenizer, by asking it about every code point.
+
+    All code points in order are split once: a piece is a run of one class, whose first member is then asked for its
+    class by what it is joined to: "a", "1" and "!" stay in one piece with a letter, a number and any other character.
+    """
+    from tokenizers import Tokenizer
+
+    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    points = np.array([*range(0xD800), *range(0xE000, 0x110000)])
+    text = "".join(map(chr, points.tolist()))
+    first = sorted({*range(257), *(a for _, (a, _) in split(text))})  # the first 256 one by one: a space joins what follows
+    asked = [next((k for k, c in enumerate("a1!") if len(split(c + text[a])) == 1), 3) for a in first]
+    out: dict[int, list[tuple[int, int]]] = {0: [], 1: [], 2: [], 3: []}
+    for a, b, kind in zip(first, [*first[1:], len(text)], asked, strict=True):
+        run = points[a:b]
+        for part in np.split(run, np.flatnonzero(np.diff(run) > 1) + 1):
+            own, low, high = out[kind], int(part[0]), int(part[-1])
+            if own and own[-1][1] == low - 1:
+                own[-1] = (own[-1][0], high)
+            else:
+                own.append((low, high))
+    return Classes(tuple(out[0]), tuple(out[1]), tuple(out[3]))
+
+
 class Vocabulary:
     """Tokens, merges and special tokens of a tokenizers JSON file."""
 
@@ -150,9 +194,9 @@ class Vocabulary:
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of the ids; those beyond the table stand for nothing."""
+        """The bytes of the ids; those outside the table stand for nothing."""
         ids = np.asarray(ids, np.int64)
-        ids = ids[ids < len(self.offset) - 1]
+        ids = ids[(ids >= 0) & (ids < len(self.offset) - 1)]
         size = self.offset[ids + 1] - self.offset[ids]
         ends = np.cumsum(size)
         if not len(ids) or not ends[-1]:
@@ -188,10 +232,15 @@ class Remembered(dict):
 class Encoder:
     """Whole texts to ids (packed as little-endian unsigned 32-bit numbers), with bounded memory of chunks and pieces."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, own: Classes):
         self.vocabulary = vocabulary
-        self.pieces = regex.compile(PATTERN)
-        self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True))) if vocabulary.special else None
+        self.pieces = re.compile(own.pattern(r"\U%08x"))
+        self.letters = re.compile(own.pattern(r"\U%08x").split("| ?")[1])
+        self.spaces = frozenset(chr(i) for a, b in own.space for i in range(a, b + 1))
+        space = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in own.space)
+        self.cut = re.compile(f"(?<=[^{space}]) (?=[^{space}])")  # a single space between other characters
+        self.specials = re.compile("|".join(re.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True))) if vocabulary.special else None
+        self.whole_only = any(" " in s for s in vocabulary.special)  # such a special token could cross chunks
         self.piece = Remembered(lambda piece: _packed(vocabulary.encode_piece(piece.encode())), REMEMBERED // 2)
         self.chunk = Remembered(self._chunk, REMEMBERED)
 
@@ -209,30 +258,32 @@ class Encoder:
 
     def _chunk(self, chunk: str) -> bytes | None:
         """The ids of a chunk with the space before it; None if white space at a rim could belong to a neighbour's piece."""
-        if chunk.isalpha():  # one piece, by the pattern
+        if self.letters.fullmatch(chunk):  # one piece, by the pattern
             return self.piece[" " + chunk]
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+        if not chunk or chunk[0] in self.spaces or chunk[-1] in self.spaces:
             return None
         return self._whole(" " + chunk)
 
     def encode(self, text: str) -> bytes:
         """A text without runs of white space around its spaces is encoded chunk by chunk: its pieces never cross a single space."""
         head, *rest = text.split(" ")
-        if head and not head[-1].isspace():
+        if head and head[-1] not in self.spaces and not self.whole_only:
             ids = list(map(self.chunk.__getitem__, rest))
             if None not in ids:
                 return self._whole(head) + b"".join(ids)
         return self._whole(text)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+@lru_cache(maxsize=2)
+def encoder(path: str, own: Classes | None = None) -> Encoder:
+    """The worker's encoder for a tokenizer file; the driver sends the classes along."""
+    return Encoder(Vocabulary(path), own or classes(path))
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(Vocabulary(path))
-    return _ENCODERS[path]
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    """The worker's decoder."""
+    return Vocabulary(path)
 
 
 def default_path() -> str:
@@ -245,9 +296,10 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """`docs` (any columns, with text) and ids (array of int); a column of docs with that name is replaced."""
     ready(docs.sparkSession)
     docs, path = docs.drop("ids"), path or default_path()
+    own = classes(path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, own)
         for block in blocks(batches, "text"):
             ids = [np.frombuffer(enc.encode(t or ""), "<u4").astype(np.int32) for t in block.column(block.schema.get_field_index("text")).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
@@ -263,12 +315,13 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     rows, path = rows.drop("decoded"), path or default_path()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = encoder(path).vocabulary
+        table = vocabulary(path)
         for batch in batches:
             texts = []
             for i in range(len(batch)):
                 own = batch.column(batch.schema.get_field_index("ids"))[i].values
-                texts.append(vocabulary.decode(np.asarray(own) if own is not None else np.zeros(0, int)).decode("utf-8", "replace"))
+                ids = own.drop_null().to_numpy(zero_copy_only=False) if own is not None else np.zeros(0, int)
+                texts.append(table.decode(ids).decode("utf-8", "replace"))
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields), "decoded string"])
@@ -279,9 +332,10 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode, and digest in one pass, keeping no id column."""
     ready(docs.sparkSession)
     path = path or default_path()
+    own = classes(path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, own)
         decimal = np.array([str(i) for i in range(len(enc.vocabulary.offset))], object)
         for block in blocks(batches, "text"):
             n, of_ids, of_text = [], [], []

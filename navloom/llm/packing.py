@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from navloom.llm.bpe import PATTERN, Vocabulary, default_path, encoder
+from navloom.llm.bpe import Classes, Vocabulary, classes, default_path, encoder
 from navloom.llm.text import blocks
 from navloom.session import ready
 
@@ -198,19 +198,33 @@ def places(solution: Fillings) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def _fast(path: str):
-    """The installed compiled BPE over the same tokens: the same ids, for the many that only need to be counted and summed."""
+def _fast(path: str, own: Classes):
+    """The installed compiled BPE over the same tokens and classes: the same ids, for the many that only need to be counted and summed."""
     import tiktoken
 
     v = Vocabulary(path)
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={t: i for i, t in v.token.items()}, special_tokens=v.special)
+    return tiktoken.Encoding("own", pat_str=own.pattern(r"\x{%x}"), mergeable_ranks={t: i for i, t in v.token.items()}, special_tokens=v.special)
 
 
-def token_bytes(path: str, text: str, longest: int = 100_000) -> bytes:
-    """The ids of a text as little-endian unsigned 32-bit numbers; very long texts go through the linear-time encoder."""
-    if len(text) > longest:
-        return encoder(path).encode(text)
-    return np.asarray(_fast(path).encode_to_numpy(text, allowed_special="all")).astype("<u4").tobytes()
+def token_bytes(path: str, own: Classes, text: str, longest: int = 100_000) -> bytes:
+    """The ids of a text as little-endian unsigned 32-bit numbers.
+
+    The compiled BPE gives up on unbroken runs of millions of characters (white space above all), so a text is cut at
+    single spaces between other characters, where no piece and no special token crosses, and a part of more than
+    `longest` characters that has no such place goes through the linear-time encoder. Both give the library's ids.
+    """
+    fast = _fast(path, own)
+    if len(text) <= longest:
+        return np.asarray(fast.encode_to_numpy(text, allowed_special="all")).astype("<u4").tobytes()
+    slow, out, at = encoder(path, own), [], 0
+    while at < len(text):
+        end = len(text)
+        if end - at > longest and not slow.whole_only:
+            end = next((m.start() for m in slow.cut.finditer(text, at + longest // 2)), end)
+        part = text[at:end]
+        out.append(np.asarray(fast.encode_to_numpy(part, allowed_special="all")).astype("<u4").tobytes() if len(part) <= longest else slow.encode(part))
+        at = end
+    return b"".join(out)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -224,6 +238,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0, path:
     """
     ready(docs.sparkSession)
     path = path or default_path()
+    own = classes(path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([separator], "<u4").tobytes()
@@ -232,7 +247,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0, path:
         for block in blocks(batches, "text"):
             rows = []
             for doc, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
-                ids = token_bytes(path, text or "") + end
+                ids = token_bytes(path, own, text or "") + end
                 n = len(ids) // 4
                 start, k = 0, 0
                 while start < n:

@@ -36,6 +36,31 @@ def test_encoding_equals_the_library():
         assert enc.vocabulary.decode(ids).decode("utf-8", "replace") == LIBRARY.decode(ids.tolist(), skip_special_tokens=False)
 
 
+def test_every_code_point_next_to_letters_digits_and_apostrophes():
+    """Both encoders give the library's ids whatever Unicode version stands behind its pattern."""
+    path = bpe.default_path()
+    own = bpe.classes(path)
+    enc = bpe.encoder(path, own)
+    points = [chr(i) for i in (*range(0xD800), *range(0xE000, 0x32000), *range(0x32000, 0x110000, 97), *range(0xE0000, 0xE0200))]  # every assigned one
+    texts = ["".join(f"{x}'s1{x} {x}'t\n" for x in points[i : i + 512]) for i in range(0, len(points), 512)]
+    for t, e in zip(texts, LIBRARY.encode_batch(texts, add_special_tokens=False), strict=True):
+        expected = np.array(e.ids, "<u4").tobytes()
+        assert enc.encode(t) == expected == packing.token_bytes(path, own, t), hex(ord(t[0]))
+
+
+@pytest.mark.parametrize("text", ["\u0558's" * 30000, " " * 150_000 + "a", "a" * 120_000, "\u0558's " * 40000, "x \n" * 50000, "<|endoftext|> " * 12000])
+def test_long_texts_are_encoded_like_short_ones(text):
+    path = bpe.default_path()
+    own = bpe.classes(path)
+    expected = np.array(LIBRARY.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert bpe.encoder(path, own).encode(text) == expected == packing.token_bytes(path, own, text) == packing.token_bytes(path, own, text, 1000)
+
+
+def test_decoding_of_odd_ids(spark):
+    rows = spark.createDataFrame([([-1, 64, None, 10**9, 65],), (None,), ([],), ([None],)], "ids array<long>")
+    assert [r["decoded"] for r in bpe.decode(rows).collect()] == ["ab", "", "", ""]
+
+
 def test_compatibility_by_merging():
     """A pair is compatible exactly if encoding the joined bytes gives that pair."""
     v = bpe.encoder(bpe.default_path()).vocabulary
