@@ -1,6 +1,7 @@
 """HTML, toxicity, language, quality: fixtures, brute force, held-out accuracy."""
 
 import re
+import time
 import zlib
 from html import unescape
 
@@ -72,6 +73,34 @@ def test_a_page_with_everything():
     assert html.main_text(PAGE) == "A é title\nFirst, with bold and a link, and commas, of course. second line\nUnclosed <tags>, as “they” are\none,\ntwo"
 
 
+BODY = "<p>First, of all, this is the text of an article, with commas.</p>" * 5
+BODY_TEXT = "\n".join(["First, of all, this is the text of an article, with commas."] * 5)
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["content has-sidebar", "main-content with-sidebar", "post comments-open", "page no-header", "layout-footer-fixed", "wrap nav-collapsed", "form-page", "article-body hidden-print-none", "article-with-notice", "sidebar", "ad-free widgetized"],
+)
+def test_names_do_not_cut_what_holds_most_of_the_text(name):
+    side = '<div class="sidebar"><p>Beside, the point, of it.</p></div>'
+    for tag in ("div", "section"):
+        assert html.main_text(f'<html><body><{tag} class="{name}">{BODY}{side}</{tag}><p class="cookie-notice">We use, cookies.</p></body></html>') == BODY_TEXT
+        assert html.main_text(f'<body><{tag} id="{name}"><div class="footer">of, it</div>{BODY}</{tag}></body>') == BODY_TEXT
+    assert html.main_text(f"<form id=aspnet>{BODY}<input></form>") == BODY_TEXT
+
+
+def test_comments_longer_than_the_article_go():
+    comments = "".join(f'<article class="comment"><p>I, too, have, {i}, a long opinion, about this, and that, and more.</p></article>' for i in range(9))
+    assert html.main_text(f'<body><article><h1>A title</h1>{BODY}<section class="user-comments">{comments}</section></article></body>') == "A title\n" + BODY_TEXT
+    assert html.main_text(f'<body><div class=post>{BODY}</div><div id="comments-list">{comments}</div></body>') == BODY_TEXT
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<p><table><tr><td>" * 25_000 + "x", "<ul><li>" * 50_000 + "x", "<p>x" + "<b>" * 50_000 + "<div>" * 50_000])
+def test_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    assert html.main_text(page) == "x" and time.process_time() - began < 6
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "x"), (3, None, "<p>", "x"), (4, "u", "plain &amp; <b>text", "x"), (None, "u", "<div>" * 3000 + "deep", "x"), (6, "u", "<p>" + "w, " * 100000, "x"), (6, "u", "<p title=it's>don't", "x")], "page_id long, url string, html string, text string")
     got = [(r["page_id"], r["text"], r["n_chars"]) for r in html.extract(pages).collect()]
