@@ -9,6 +9,12 @@ its share after a softmax of the mean score.
 Defined results: a null text, or one without a letter, gives `und` and score 0. Repeated rows get
 the same result. Ties go to the first language in alphabetical order. A null doc_id is never
 learned from. Without training rows every text with a letter gives `und` and score 0.
+
+Bounds, all documented parameters of `fit`: `rows_per_language` rows are learned from for each language
+(so a rare language is learned as well as a frequent one), `most_words` and `most_grams` entries are kept
+for each language and order, and `most_entries` in all, of which each language and order may have an equal
+part. The model stores the languages that have an entry, not a row for every language, so it grows with
+entries alone, and scoring a block takes memory for its words and for at most 2**22 (document, language) cells.
 """
 
 from __future__ import annotations
@@ -22,30 +28,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from navloom.llm.sample import fold
-from navloom.llm.text import U64, blocks, find_chars, hash_runs, mix, run_sums, string_buffer
+from navloom.llm.text import U64, blocks, find_chars, hash_runs, mix, string_buffer
 from navloom.session import ready
 
 ORDERS = (4, 3, 2, 1)
 FOLDS, HELD_OUT = 3, 1
-MOST_NUMBERS = 4_000_000  # entries times languages of an order
+CELLS = 1 << 22  # documents times languages that are scored at once
 _EDGE = np.uint32(0x110000)  # stands before and after a word, and is no code point
 
 
 @dataclass(frozen=True)
-class LanguageModel:
-    """Sorted hashes with a row of log frequencies for each language: order 0 for words, n for n-grams."""
+class Table:
+    """Of one order: sorted hashes; the languages of each with what its log frequency there is above `rest`, that of absent ones."""
 
-    languages: tuple[str, ...]
-    keys: dict[int, np.ndarray]
-    logs: dict[int, np.ndarray]
+    keys: np.ndarray
+    first: np.ndarray  # of each key's entries, and at last their number
+    language: np.ndarray
+    above: np.ndarray
+    rest: np.ndarray  # of each language
 
-    def look_up(self, order: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, found) of each key."""
-        known = self.keys[order]
-        if not len(known):
+        if not len(self.keys):
             return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-        return at, known[at] == key
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return at, self.keys[at] == key
+
+    def entries(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which of `row`, language, above) of all entries of the rows."""
+        which, at = _expand(self.first[row], self.first[row + 1])
+        return which, self.language[at], self.above[at]
+
+
+def _expand(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) for all j in low[i]:high[i]."""
+    n = high - low
+    i = np.repeat(np.arange(len(n)), n)
+    return i, np.arange(len(i)) - (np.cumsum(n) - n)[i] + low[i]
+
+
+@dataclass(frozen=True)
+class LanguageModel:
+    """A table for each order: 0 for words, n for n-grams."""
+
+    languages: tuple[str, ...]
+    tables: dict[int, Table]
 
 
 def _grams(code: np.ndarray, start: np.ndarray, end: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,25 +102,29 @@ def _unique_words(block: pa.RecordBatch) -> tuple[object, np.ndarray, np.ndarray
     return chars, key, which, inverse
 
 
-def fit(docs: DataFrame, learn=None, most_rows: int = 20000, most_words: int = 50000, most_grams: int = 50000) -> LanguageModel:
-    """Count words and n-grams by language over at most about `most_rows` labelled documents.
+def fit(docs: DataFrame, learn=None, rows_per_language: int = 5000, most_words: int = 50000, most_grams: int = 50000, most_entries: int = 4_000_000) -> LanguageModel:
+    """Count words and n-grams by language over about `rows_per_language` labelled documents of each language at most.
 
-    Which documents: those whose id hashes below most_rows / (labelled rows), so the choice depends
-    on ids alone. For each order and language the `most_words` or `most_grams` most frequent entries
-    are kept, so the model is bounded; the counts are made and cut on the executors.
+    Which documents: those whose id hashes below that share of the language's rows, so the choice depends on ids
+    alone. For each order and language the `most_words` or `most_grams` most frequent entries are kept (of equally
+    frequent ones at the bound those with smaller hashes), or most_entries / (orders * languages) where that is less.
+    The counts are made and cut on the executors, in one pass that is checkpointed; the driver sees counts of counts
+    and the kept entries.
     """
-    ready(docs.sparkSession)
+    spark = ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     if learn is not None:
         docs = docs.where(learn(F.col("doc_id")))
-    total = docs.count()
-    if total > most_rows:
-        docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * most_rows / total)))
+    rows = docs.groupBy("lang").agg(F.count("*").alias("n")).toArrow().to_pylist()  # a row for each language
+    languages = tuple(sorted(r["lang"] for r in rows))
+    shares = [(r["lang"], languages.index(r["lang"]), min(2**63 - 1, 2**63 * rows_per_language // r["n"])) for r in rows]
+    shares = spark.createDataFrame(shares, "lang string, of int, most long")
+    docs = docs.join(F.broadcast(shares), "lang").where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= F.col("most")).select("of", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            names, lang = np.unique(np.array(block.column(1).to_pylist(), object).astype(str), return_inverse=True)
+            names, lang = np.unique(np.asarray(block.column(0)), return_inverse=True)
             chars, _, which, inverse = _unique_words(block)
             of_word = np.repeat(lang, np.diff(chars.first))
             pair, times = np.unique(inverse.astype(np.int64) * len(names) + of_word, return_counts=True)
@@ -107,69 +138,83 @@ def fit(docs: DataFrame, learn=None, most_rows: int = 20000, most_words: int = 5
                 _, one, back = np.unique(mix(key + of.astype(U64) * U64(0xD6E8FEB86659FD93)), return_index=True, return_inverse=True)
                 if len(one):
                     n = np.bincount(back, times, len(one)).astype(np.int64)
-                    yield pa.record_batch([pa.array(np.full(len(n), order, np.int32)), pa.array(names[of[one]].tolist(), pa.string()), pa.array(key[one].view(np.int64)), pa.array(n)], ["size", "lang", "gram", "n"])
+                    yield pa.record_batch([pa.array(np.full(len(n), order, np.int32)), pa.array(names[of[one]], pa.int32()), pa.array(key[one].view(np.int64)), pa.array(n)], ["size", "of", "gram", "n"])
 
-    counts = docs.mapInArrow(count, "size int, lang string, gram long, n long").groupBy("size", "lang", "gram").agg(F.sum("n").alias("n"))
+    counts = docs.mapInArrow(count, "size int, of int, gram long, n long").groupBy("size", "of", "gram").agg(F.sum("n").alias("n")).checkpoint()
     # The n-th largest count of each language and order, without one task that sees all of it: counts of counts first.
-    times = counts.groupBy("size", "lang", "n").agg(F.count("*").alias("m")).toArrow().to_pylist()
-    least: dict[tuple[int, str], int] = {}
-    n_languages = max(1, len({r["lang"] for r in times}))
-    for size, lang in {(r["size"], r["lang"]) for r in times}:
-        room = min(most_words if size == 0 else most_grams, MOST_NUMBERS // n_languages**2)
-        least[size, lang] = 1
-        for r in sorted((r for r in times if (r["size"], r["lang"]) == (size, lang)), key=lambda r: -r["n"]):
-            room -= r["m"]
-            if room < 0:
-                least[size, lang] = r["n"] + 1
-                break
-    languages = tuple(sorted({lang for _, lang in least}))
-    totals = {}
-    for r in times:
-        totals[r["size"], r["lang"]] = totals.get((r["size"], r["lang"]), 0) + r["n"] * r["m"]
-    keep = F.lit(False)
-    for (size, lang), n in sorted(least.items()):
-        keep = keep | ((F.col("size") == size) & (F.col("lang") == lang) & (F.col("n") >= n))
-    table = counts.where(keep).toArrow() if least else pa.table({"size": pa.array([], pa.int32()), "lang": pa.array([], pa.string()), "gram": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    sizes, grams, numbers = (np.array(table[c]) for c in ("size", "gram", "n"))
-    of = np.searchsorted(np.array(languages, str), np.array(table["lang"].to_pylist(), str)) if languages else np.zeros(0, int)
-    keys, logs = {}, {}
+    times = counts.groupBy("size", "of", "n").agg(F.count("*").alias("m")).toArrow()
+    size, of, n, m = (np.asarray(times[c]) for c in ("size", "of", "n", "m"))
+    order = np.lexsort((-n, of, size))
+    size, of, n, m = (x[order] for x in (size, of, n, m))
+    every = np.zeros((1 + max(ORDERS), len(languages)))
+    np.add.at(every, (size, of), n * m)
+    least = []
+    part = most_entries // ((1 + len(ORDERS)) * max(1, len(languages)))
+    new = np.flatnonzero(np.diff(size, prepend=-1) | np.diff(of, prepend=-1)).tolist()
+    for a, b in zip(new, [*new[1:], len(n)][: len(new)], strict=True):
+        room = max(1, min(most_words if size[a] == 0 else most_grams, part))
+        got = np.cumsum(m[a:b])
+        k = min(int(np.searchsorted(got, room)), b - a - 1)  # the last count that is kept, wholly or in part
+        left = room - int(got[k] - m[a + k])
+        least.append((int(size[a]), int(of[a]), int(n[a + k]), min(2**63 - 1, 2**63 * left // int(m[a + k]))))
+    least = F.broadcast(spark.createDataFrame(least, "size int, of int, least long, most long"))
+    kept = counts.join(least, ["size", "of"]).where((F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & (F.shiftrightunsigned("gram", 1) <= F.col("most"))))
+    table = kept.select("size", "of", "gram", "n").toArrow()
+    sizes, ofs, grams, numbers = (np.asarray(table[c]) for c in ("size", "of", "gram", "n"))
+    tables = {}
     for size in (0, *ORDERS):
-        mine = sizes == size
-        key, at = np.unique(grams[mine].view(U64), return_inverse=True)
-        counted = np.zeros((len(key), len(languages)))
-        counted[at, of[mine]] = numbers[mine]
-        every = np.array([totals.get((size, x), 0) for x in languages], float)
-        keys[size], logs[size] = key, np.log((counted + 0.1) / (every + 0.1 * max(len(key), 1))).astype(np.float32)
-    return LanguageModel(languages, keys, logs)
-
-
-def word_scores(model: LanguageModel, code: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """The row of log frequencies of each word, by the longest unit that is known."""
-    at, found = model.look_up(0, key)
-    out = np.zeros((len(key), len(model.languages)), np.float32)
-    out[found] = model.logs[0][at[found]]
+        mine = np.flatnonzero(sizes == size)
+        mine = mine[np.lexsort((ofs[mine], grams[mine].view(U64)))]
+        key, first = np.unique(grams[mine].view(U64), return_index=True)
+        rest = np.log(0.1 / (every[size] + 0.1 * max(len(key), 1)))
+        above = np.log((numbers[mine] + 0.1) / 0.1).astype(np.float32)
+        tables[size] = Table(key, np.append(first, len(mine)), ofs[mine].astype(np.int32), above, rest)
+    return LanguageModel(languages, tables)
+
+
+def word_entries(model: LanguageModel, code: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first, language, above): of each word the longest unit that is known (-1: none), and its entries from first[word] on.
+
+    A word that is known by n-grams has the mean over its known ones.
+    """
+    at, found = model.tables[0].look_up(key)
+    order = np.where(found, 0, -1)
+    which, lang, above = model.tables[0].entries(at[found])
+    parts = [(np.flatnonzero(found)[which], lang, above.astype(np.float64))]
     left = np.flatnonzero(~found)
-    for order in ORDERS:
+    for size in ORDERS:
         if not len(left):
             break
-        gram, word = _grams(code, start[left], end[left], order)
-        at, known = model.look_up(order, gram)
+        gram, word = _grams(code, start[left], end[left], size)
+        at, known = model.tables[size].look_up(gram)
         word, at = word[known], at[known]
         if len(word):
             n = np.bincount(word, minlength=len(left))
-            first = np.concatenate([[0], np.cumsum(n)])
-            for k in range(len(model.languages)):
-                total = run_sums(model.logs[order][at, k], first)
-                out[left[n > 0], k] = (total[n > 0] / n[n > 0]).astype(np.float32)
+            which, lang, above = model.tables[size].entries(at)
+            parts.append((left[word[which]], lang, above / n[word[which]]))
+            order[left[n > 0]] = size
             left = left[n == 0]
-    return out
+    word, lang, above = (np.concatenate(x) for x in zip(*parts, strict=True))
+    sort = np.argsort(word, kind="stable")
+    return order, np.searchsorted(word[sort], np.arange(len(key) + 1)), lang[sort], above[sort]
+
+
+def mean_scores(model: LanguageModel, order: np.ndarray, entries: tuple[np.ndarray, np.ndarray, np.ndarray], word: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """The mean score of the documents' words (their places in `order`) for every language."""
+    first, lang, above = entries
+    n = len(model.languages)
+    which, at = _expand(first[word], first[word + 1])
+    out = np.bincount(doc[which] * n + lang[at], above[at], docs * n).reshape(docs, n)
+    for size, table in model.tables.items():
+        out += np.bincount(doc[order[word] == size], minlength=docs)[:, None] * table.rest
+    return out / np.maximum(np.bincount(doc, minlength=docs), 1)[:, None]
 
 
 def language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """`docs` (any columns, with text) and lang_pred, score; columns of docs with these names are replaced."""
     spark = ready(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
-    shared = spark.sparkContext.broadcast(model)  # bounded by most_words and most_grams for each language
+    shared = spark.sparkContext.broadcast(model)  # at most most_entries entries
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -178,10 +223,13 @@ def language(docs: DataFrame, model: LanguageModel) -> DataFrame:
             n = np.diff(chars.first)
             best, share = np.full(len(block), -1), np.zeros(len(block))
             if m.languages and len(key):
-                rows = word_scores(m, chars.code, chars.start[which], chars.end[which], key)
-                mean = np.stack([run_sums(rows[inverse, k], chars.first) for k in range(len(m.languages))], 1) / np.maximum(n, 1)[:, None]
-                e = np.exp(mean - mean.max(1, keepdims=True))
-                best, share = np.where(n > 0, mean.argmax(1), -1), np.where(n > 0, e.max(1) / e.sum(1), 0.0)
+                order, *entries = word_entries(m, chars.code, chars.start[which], chars.end[which], key)
+                step = max(1, CELLS // len(m.languages))
+                for a in range(0, len(block), step):
+                    own = n[a : a + step]
+                    mean = mean_scores(m, order, entries, inverse[chars.first[a] : chars.first[a + len(own)]], np.repeat(np.arange(len(own)), own), len(own))
+                    e = np.exp(mean - mean.max(1, keepdims=True))
+                    best[a : a + step], share[a : a + step] = np.where(own > 0, mean.argmax(1), -1), np.where(own > 0, e.max(1) / e.sum(1), 0.0)
             names = np.array([*m.languages, "und"], object)[best]
             yield pa.record_batch([*block.columns, pa.array(names.tolist(), pa.string()), pa.array(share)], [*block.schema.names, "lang_pred", "score"])
 

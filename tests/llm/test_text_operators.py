@@ -171,16 +171,94 @@ def test_language_of_odd_rows(spark):
     assert language.language(empty_docs(spark), model).count() == 0
 
 
+def brute_language(train, texts):
+    """Language and score of each text by dictionaries over strings, for models that keep every entry."""
+    letters = lambda t: re.findall(r"[^\W\d_]+", t or "")
+    lower = lambda w: "".join(c.lower() if len(c.lower()) == 1 else c for c in w)
+    grams = lambda w, n: [w] if n == 0 else list(w) if n == 1 else [("\0" + w + "\0")[i : i + n] for i in range(len(w) + 3 - n)]
+    languages = sorted({lang for lang, _ in train})
+    count = {n: {x: {} for x in languages} for n in range(5)}
+    for lang, text in train:
+        for w in map(lower, letters(text)):
+            for n in range(5):
+                for g in grams(w, n):
+                    count[n][lang][g] = count[n][lang].get(g, 0) + 1
+    known = {n: set().union(*count[n].values()) for n in range(5)}
+    log = lambda n, g, x: np.log((count[n][x].get(g, 0) + 0.1) / (sum(count[n][x].values()) + 0.1 * len(known[n])))
+    seen = {}
+
+    def word(w):
+        if w not in seen:
+            seen[w] = np.zeros(len(languages))
+            for n in (0, 4, 3, 2, 1):
+                own = [g for g in grams(w, n) if g in known[n]]
+                if own:
+                    seen[w] = np.mean([[log(n, g, x) for x in languages] for g in own], axis=0)
+                    break
+        return seen[w]
+
+    out = []
+    for t in texts:
+        words = [word(lower(w)) for w in letters(t)]
+        if not words:
+            out.append(("und", 0.0))
+            continue
+        mean = np.mean(words, axis=0)
+        e = np.exp(mean - mean.max())
+        out.append((languages[int(mean.argmax())], e.max() / e.sum()))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(90).collect()
+    train = spark.createDataFrame([(r["doc_id"], r["text"][:600], r["lang"]) for r in docs[:40] if r["lang"]], "doc_id long, text string, lang string")
+    texts = [r["text"][:3000] for r in docs[40:]] + ["Zyx wvu", "qqq", "ΑΒΓ", "İstanbul straße", "12 34", ""]
+    expected = brute_language([(r["lang"], r["text"]) for r in train.collect()], texts)
+    new = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = language.language(new, language.fit(train)).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in rows] == [x for x, _ in expected]
+    assert np.allclose([r["score"] for r in rows], [x for _, x in expected], atol=1e-4)
+
+
+@pytest.mark.parametrize(("n", "entries"), [(12, 4_000_000), (300, 4_000_000), (2100, 4_000_000), (12, 600)])
+def test_many_languages_keep_their_entries(spark, n, entries):
+    """Each language has five words of its own; every one is told from the others, also by a bounded model."""
+    letters = lambda i: "".join(chr(97 + int(c)) for c in str(10000 + i))
+    rows = [(3 * i + k, " ".join(letters(5 * i + j) for j in range(5)), f"l{i:04}") for i in range(n) for k in range(2)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_entries=entries)
+    assert len(model.languages) == n and sum(len(t.above) for t in model.tables.values()) <= max(entries, 5 * n)
+    assert {len(set(np.repeat(t.keys, np.diff(t.first))[t.language == 0])) for k, t in model.tables.items() if k == 0} == {5}
+    got = language.language(spark.createDataFrame([(i, letters(5 * i) + " " + letters(5 * i + 4)) for i in range(n)], "doc_id long, text string"), model).collect()
+    assert all(r["lang_pred"] == f"l{r['doc_id']:04}" for r in got)
+
+
+def test_a_rare_language_is_learned_beside_a_frequent_one(spark):
+    rows = [(i, "the house and the garden", "en") for i in range(3000)] + [(9999, "das haus und der garten", "de")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_language=20)
+    assert model.languages == ("de", "en") and len(model.tables[0].keys) == 9
+    learned = np.exp(model.tables[0].above).max() * 0.1
+    assert 10 <= learned <= 2 * 60  # about 20 of 3000 rows, each with two "the"
+
+
+def test_of_equally_frequent_entries_as_many_as_fit_are_kept(spark):
+    words = " ".join("".join(chr(97 + int(c)) for c in str(100000 + i)) for i in range(4000))
+    model = language.fit(spark.createDataFrame([(1, words, "x")], "doc_id long, text string, lang string"), most_words=1000)
+    assert 850 <= len(model.tables[0].keys) <= 1150
+
+
 def test_backoff_by_hand():
     """Known word first, then the longest known n-grams of an unseen word."""
     code = np.array([ord(c) for c in "abcabd"], np.uint32)
     start, end = np.array([0, 3]), np.array([3, 6])
     key = kernels.hash_runs(code, start, end)
-    two = language._grams(code, start[1:], end[1:], 2)[0]
-    keys = {0: key[:1], 4: np.zeros(0, np.uint64), 3: np.zeros(0, np.uint64), 2: np.sort(two[:2]), 1: np.zeros(0, np.uint64)}
-    logs = {0: np.array([[-1.0, -2.0]], np.float32), 2: np.array([[-3.0, -4.0], [-5.0, -6.0]], np.float32)}
-    model = language.LanguageModel(("a", "b"), keys, {**logs, 4: np.zeros((0, 2)), 3: np.zeros((0, 2)), 1: np.zeros((0, 2))})
-    assert language.word_scores(model, code, start, end, key).tolist() == [[-1.0, -2.0], [-4.0, -5.0]]
+    two = np.sort(language._grams(code, start[1:], end[1:], 2)[0][:2])
+    one = lambda keys, above: language.Table(keys, np.arange(len(keys) + 1), np.zeros(len(keys), np.int32), np.array(above, np.float32), np.array([-9.0, -9.0]))
+    none = one(np.zeros(0, np.uint64), [])
+    model = language.LanguageModel(("a", "b"), {0: one(key[:1], [8.0]), 4: none, 3: none, 2: one(two, [6.0, 4.0]), 1: none})
+    order, first, lang, above = language.word_entries(model, code, start, end, key)
+    assert order.tolist() == [0, 2] and first.tolist() == [0, 1, 3] and lang.tolist() == [0, 0, 0] and sorted(above.tolist()) == [2.0, 3.0, 8.0]
+    got = language.mean_scores(model, order, (first, lang, above), np.array([0, 1, 1]), np.array([0, 0, 1]), 2)
+    assert got.tolist() == [[(-1.0 - 4.0) / 2, -9.0], [-4.0, -9.0]]
 
 
 # --- quality ---
