@@ -10,8 +10,12 @@ it enumerates the small Hamming ball around that value, fetches the entries it m
 and the whole distance of every candidate is verified. Tables and probes are partitioned by
 (segment, value); copies of one text are one fingerprint from the start.
 
+How many segments, and how wide, follows from the number of distinct fingerprints: the cover with the
+least work of probing and of checking unrelated candidates, so candidates do not grow with the square.
 A group of thousands of fingerprints under one value is not expanded into pairs: it is searched
-from one fingerprint after another, breadth first, and only the edges of a spanning forest are kept.
+from one fingerprint after another, breadth first, and only the edges of a spanning forest are kept;
+if the group turns out to be sparsely linked, the same method is applied within it to the bits that the
+group does not share.
 Components over all edges are found by Spark rounds (navloom.llm.components).
 
 Defined results: a text without a word (or null) has fingerprint 0, which links like any other;
@@ -22,6 +26,9 @@ component; an id of null is never the smallest of its component.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -88,33 +95,53 @@ def fingerprints(docs: DataFrame, size: int = 4, words: int = 1) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, fp binary")
 
 
-Segment = tuple[int, int, int, int]
+Segment = tuple[int, int, int]  # word, mask of its bits, radius
 
 
-def segments(most_bits: int) -> list[Segment]:
-    """(word, shift, bits, radius) of each segment of a 64-bit fingerprint; the radii plus one sum to most_bits + 1.
+@lru_cache(maxsize=256)
+def ball(mask: int, radius: int) -> np.ndarray:
+    """What a value may be XORed with: all sets of at most `radius` bits of the mask, none first."""
+    bits = [1 << i for i in range(64) if mask >> i & 1]
+    return np.array([sum(x) for r in range(radius + 1) for x in combinations(bits, r)], U64)
 
-    As many segments of radius 1 as fit, and for an even most_bits one of radius 0, which is
-    shorter because it is only looked up at its own value.
+
+def _ball_size(bits: int, radius: int) -> int:
+    return sum(comb(bits, r) for r in range(radius + 1))
+
+
+def segments(most_bits: int, n: int = 1 << 16, mask: int = (1 << 64) - 1) -> list[Segment]:
+    """Segments of the bits of `mask` whose radii plus one sum to most_bits + 1, for n fingerprints.
+
+    Two fingerprints within most_bits agree within its radius in one segment. Of the covers by few segments (so that
+    they have radii, unless most_bits is small) that with the least work: an entry for each element of each ball, and
+    n / 2**width unrelated candidates for each, which cost a fiftieth of an entry.
     """
-    pairs, single = divmod(most_bits + 1, 2)
-    exact = max(1, 64 // (pairs + single) - 3) if single and pairs else 64 * single
-    sizes = [(64 - exact) // pairs + (i < (64 - exact) % pairs) for i in range(pairs)]
-    out, shift = [], 0
-    for bits, radius in [*((b, 1) for b in sizes), *([(exact, 0)] * single)]:
-        out.append((0, shift, bits, radius))
-        shift += bits
+    places = [i for i in range(64) if mask >> i & 1]
+    best: tuple[float, list[tuple[int, int]]] = (float("inf"), [])
+    for m in range(1, min(len(places), most_bits // 2 + 1) + 1):
+        low, more = divmod(most_bits + 1, m)
+        for narrow in range(1, len(places) // m + 1):
+            rest, wide = len(places) - narrow * (m - more), []
+            if more:
+                wide = [(rest // more + (i < rest % more), low) for i in range(more)]
+            elif rest:
+                continue
+            own = [*wide, *([(narrow, low - 1)] * (m - more))]
+            work = sum(_ball_size(w, r) * (1 + n / 2**w / 50) for w, r in own)
+            best = min(best, (work, own))
+        if not more and len(places) % m:  # equal radii, widths that differ by one
+            own = [(len(places) // m + (i < len(places) % m), low - 1) for i in range(m)]
+            best = min(best, (sum(_ball_size(w, r) * (1 + n / 2**w / 50) for w, r in own), own))
+    out, at = [], 0
+    for width, radius in best[1]:
+        out.append((0, sum(1 << i for i in places[at : at + width]), radius))
+        at += width
     return out
 
 
 def even_segments(words: int, bits: int, radius: int) -> list[Segment]:
     """Equal segments of a fingerprint of several words."""
-    return [(w, shift, bits, radius) for w in range(words) for shift in range(0, 64 - bits + 1, bits)]
-
-
-def _value(fp: np.ndarray, segment: Segment) -> np.ndarray:
-    word, shift, bits, _ = segment
-    return (fp[:, word] >> U64(shift)) & U64((1 << bits) - 1)
+    return [(w, ((1 << bits) - 1) << shift, radius) for w in range(words) for shift in range(0, 64 - bits + 1, bits)]
 
 
 def _distance(fp: np.ndarray, i, j) -> np.ndarray:
@@ -134,25 +161,73 @@ def _pairs(low: np.ndarray, high: np.ndarray, most: int = 1 << 19) -> Iterator[t
         i = j
 
 
-def _forest(fp: np.ndarray, most_bits: int) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of the links among fp, breadth first; one row of distances at a time."""
-    left = np.arange(len(fp))
+def _forest(fp: np.ndarray, most_bits: int, patience: int = 1 << 30) -> list[tuple[int, int]] | None:
+    """Edges of a spanning forest of the links among fp, breadth first; one row of distances at a time.
+
+    None if after `patience` rows fewer than eight fingerprints a row have been met: the group is sparsely linked.
+    """
+    left, edges, rows = np.arange(len(fp)), [], 0
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):
             at = front.pop()
             near = _distance(fp, left, at) <= most_bits
-            for x in left[near]:
-                yield at, int(x)
+            edges += [(at, x) for x in left[near].tolist()]
             front.extend(left[near].tolist())
             left = left[~near]
+            rows += 1
+            if rows == patience and len(fp) - len(left) < 8 * patience:
+                return None
+    return edges
+
+
+def _within(fp: np.ndarray, most_bits: int, mask: int, large: int) -> np.ndarray:
+    """Edges (i, j), i < j, with the components of the links among fp, 64-bit fingerprints that differ in bits of `mask` only."""
+    if len(fp) < max(large, 512) or not mask:
+        return np.array(_forest(fp[:, None], most_bits), np.int64).reshape(-1, 2)
+    edges = _forest(fp[:, None], most_bits, max(1, large // 8))
+    if edges is not None:
+        return np.array(edges, np.int64).reshape(-1, 2)
+    found = [np.zeros((0, 2), np.int64)]
+    for _, own, radius in segments(most_bits, len(fp), mask):
+        value = fp & U64(own)
+        order = np.argsort(value, kind="stable")
+        table = value[order]
+        start, end = np.searchsorted(table, table, "left"), np.searchsorted(table, table, "right")
+        for a in np.unique(start[end - start > 1]):
+            group = order[a : end[a]]
+            found.append(group[_within(fp[group], most_bits, mask & ~own, large)])
+        for flip in ball(own, radius)[1:]:
+            low, high = np.searchsorted(table, table ^ flip, "left"), np.searchsorted(table, table ^ flip, "right")
+            for i, j in _pairs(low, high):
+                near = _distance(fp[:, None], order[i], order[j]) <= most_bits
+                found.append(np.stack([order[i][near], order[j][near]], 1))
+    return np.concatenate(found)
+
+
+def thin(edges: np.ndarray) -> np.ndarray:
+    """Fewer edges (node, least node it reaches) with the same components."""
+    nodes, ends = np.unique(edges, return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[ends[:, 0]], label[ends[:, 1]])
+        before = label.copy()
+        for k in range(2):
+            np.minimum.at(label, ends[:, k], least)
+            np.minimum.at(label, before[ends[:, k]], least)
+        label = label[label]
+        if (label == before).all():
+            break
+    rest = label != np.arange(len(nodes))
+    return np.stack([nodes[label[rest]], nodes[rest]], 1)
 
 
 def links(reps: DataFrame, most_bits: int, cut: list[Segment], known: bool = False, large: int = 64) -> DataFrame:
     """(a, b), a < b: labels of fingerprints that differ in at most most_bits bits, or fewer edges with the same components.
 
     reps: (label, fp), each fp once. From groups of `large` fingerprints on, a spanning forest replaces
-    the group's own pairs; that changes the work, not the components. With `known`, fingerprints that
+    the group's own pairs; that changes the work, not the components. What a task finds is thinned to a forest. With `known`, fingerprints that
     share a segment's value have been linked before and only those under a neighbouring value are, if
     their labels differ.
     """
@@ -162,18 +237,22 @@ def links(reps: DataFrame, most_bits: int, cut: list[Segment], known: bool = Fal
     def fps(column: pa.Array) -> np.ndarray:
         return np.frombuffer(string_buffer(column)[0].tobytes(), ">u8").astype(U64).reshape(-1, words)
 
+    balls = [ball(mask, radius) for _, mask, radius in cut]
+    segment_of = np.repeat(np.arange(len(cut)), [len(x) for x in balls])
+    flip_of, word_of = np.concatenate(balls), np.array([x[0] for x in cut])[segment_of]
+    mask_of, own_of = np.array([x[1] for x in cut], U64)[segment_of], np.concatenate([np.arange(len(x)) == 0 for x in balls])
+    salt_of = mix(segment_of.astype(U64) + U64(1))
+    if len(flip_of) > 1 << 16:
+        raise ValueError("more than 65,536 table entries a fingerprint")
+    rows = max(1, (1 << 19) // len(flip_of))
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 2048) for b in batches for i in range(0, len(b), 2048)):
+        for batch in (b.slice(i, rows) for b in batches for i in range(0, len(b), rows)):
             label, fp = np.asarray(batch.column(0)), fps(batch.column(1))
-            code, where = [], []
-            for s, segment in enumerate(cut):
-                for flip in range(segment[2] * segment[3] + 1):
-                    value = _value(fp, segment) ^ U64(1 << (flip - 1) if flip else 0)
-                    where.append((mix(value + U64(s << 58)) % U64(parts)).astype(np.int32))
-                    code.append(np.full(len(fp), s * 65 + flip, np.uint16))
-            code, where, who = np.concatenate(code), np.concatenate(where), np.tile(np.arange(len(fp)), len(code))
+            key = mix(((fp[:, word_of] & mask_of) ^ flip_of) ^ salt_of).ravel()
+            where = (key % U64(parts)).astype(np.int32)
             order = np.argsort(where, kind="stable")
-            code, who, where = code[order], who[order], where[order]
+            code, who, where = (order % len(flip_of)).astype(np.uint16), order // len(flip_of), where[order]
             there, first = np.unique(where, return_index=True)
             ends = [*first[1:].tolist(), len(where)]
             blobs: list[list[bytes]] = [[], [], []]
@@ -188,63 +267,67 @@ def links(reps: DataFrame, most_bits: int, cut: list[Segment], known: bool = Fal
             for out, name in zip(got, ("label", "fp", "code"), strict=True):
                 out.extend(batch.column(batch.schema.get_field_index(name)).to_pylist())
         label, fp, code = (np.frombuffer(b"".join(x), kind) for x, kind in zip(got, (np.int64, np.uint64, np.uint16), strict=True))
-        fp, flip = fp.reshape(-1, words), code % 65
-        key = np.zeros(len(fp), U64)
-        for s, segment in enumerate(cut):
-            mine = code // 65 == s
-            value = _value(fp[mine], segment)
-            moved = flip[mine].astype(U64)
-            value ^= np.where(moved > 0, U64(1) << np.maximum(moved, U64(1)) - U64(1), U64(0))
-            key[mine] = mix(value) ^ mix(np.full(len(value), s + 1, U64))  # a clash only adds candidates
-        entry, probe = np.flatnonzero(flip == 0), np.flatnonzero(flip > 0)
+        del got
+        fp = fp.reshape(-1, words)
+        # A clash of keys only adds candidates.
+        key = mix(((fp[np.arange(len(fp)), word_of[code]] & mask_of[code]) ^ flip_of[code]) ^ salt_of[code])
+        entry, probe = np.flatnonzero(own_of[code]), np.flatnonzero(~own_of[code])
         entry = entry[np.lexsort((label[entry], key[entry]))]
         table = key[entry]
-        edges = [np.zeros((0, 2), np.int64)]
+        edges, many = [np.zeros((0, 2), np.int64)], 0
 
-        def keep(i, j):
-            near = (label[i] != label[j]) & (_distance(fp, i, j) <= most_bits)
-            i, j = label[i[near]], label[j[near]]
-            edges.append(np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], 1), axis=0))
+        def keep(e: np.ndarray) -> None:
+            nonlocal edges, many
+            edges.append(e)
+            many += len(e)
+            if many > 1 << 21:
+                edges = [thin(np.concatenate(edges))]
+                many = len(edges[0])
+
+        def check(i, j) -> None:
+            i, j = (x[label[i] != label[j]] for x in (i, j))
+            near = _distance(fp, i, j) <= most_bits
+            keep(np.stack([label[i[near]], label[j[near]]], 1))
 
         if not known:
             start, end = np.searchsorted(table, table, "left"), np.searchsorted(table, table, "right")
             big = end - start >= large
             for i, j in _pairs(np.arange(len(entry)) + 1, np.where(big, 0, end)):
-                keep(entry[i], entry[j])
+                check(entry[i], entry[j])
             for a in np.unique(start[big]):
                 group = entry[a : end[a]]
-                for i, j in _forest(fp[group], most_bits):
-                    edges.append(np.sort(label[group[[i, j]]])[None])
+                mask = ~int(mask_of[code[group[0]]]) & (1 << 64) - 1
+                found = _within(fp[group, 0], most_bits, mask, large) if words == 1 else np.array(_forest(fp[group], most_bits), np.int64).reshape(-1, 2)
+                keep(label[group[found]])
         low, high = np.searchsorted(table, key[probe], "left"), np.searchsorted(table, key[probe], "right")
         hit = high > low
         # Entries of a value are in order of their labels, so one look shows a group that has the probe's label alone.
         hit[hit] = (label[entry[low[hit]]] != label[probe[hit]]) | (label[entry[high[hit] - 1]] != label[probe[hit]])
         for i, j in _pairs(low[hit], high[hit]):
-            keep(probe[hit][i], entry[j])
-        e = np.unique(np.concatenate(edges), axis=0)
-        e = e[e[:, 0] != e[:, 1]]
+            check(probe[hit][i], entry[j])
+        e = thin(np.concatenate(edges))
         for k in range(0, len(e), 1 << 16):
             yield pa.record_batch([pa.array(e[k : k + (1 << 16), 0]), pa.array(e[k : k + (1 << 16), 1])], ["a", "b"])
 
     packed = reps.select("label", "fp").mapInArrow(emit, "part int, label binary, fp binary, code binary")
-    return packed.repartition(parts, "part").mapInArrow(find, "a long, b long")
+    return packed.repartitionById(parts, "part").mapInArrow(find, "a long, b long")
 
 
 def near_components(fps: DataFrame, most_bits: int = 4, cut: list[Segment] | None = None, twice: bool = False) -> DataFrame:
     """(doc_id, fp, component_id) for each row of fps (doc_id, fp).
 
-    `twice` finds the links within equal segment values first and then only those between their
+    Without `cut` the segments are those for the number of distinct fingerprints. `twice` finds the links within equal segment values first and then only those between their
     components: for wide fingerprints, whose near copies share many segment values.
     """
     ready(fps.sparkSession)
-    cut = cut or segments(most_bits)
     fps = fps.checkpoint()
     reps = fps.groupBy("fp").agg(F.min("doc_id").alias("node")).checkpoint()
+    cut = cut or segments(most_bits, reps.count())
     nodes = reps.where(F.col("node").isNotNull()).select(F.col("node").alias("label"), "fp")
     if not twice:
         labels = components(links(nodes, most_bits, cut))
     else:
-        first = components(links(nodes, most_bits, [(w, s, b, 0) for w, s, b, _ in cut]))
+        first = components(links(nodes, most_bits, [(w, mask, 0) for w, mask, _ in cut]))
         near = nodes.withColumnRenamed("label", "node").join(first, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "fp").checkpoint()
         second = components(links(near, most_bits, cut, known=True)).select(F.col("node").alias("label"), F.col("label").alias("above"))
         labels = near.join(second, "label", "left").select("node", F.coalesce("above", "label").alias("label"))
@@ -314,14 +397,25 @@ def verified_links(members: DataFrame, size: int, similarity: float) -> DataFram
     return rows.repartition(parts, "part", "lot").mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, tables: int = 2, block: int = 256) -> DataFrame:
+def cover(n: int, flips: float, missed: float = 0.005) -> tuple[int, int]:
+    """(bits, segments): the width of the segments for n fingerprints, and how many of radius 1 leave out `missed` of the pairs at most.
+
+    The width grows with log2(n), so a value has a bounded number of unrelated entries; the number of segments follows
+    from the probability that a pair whose bits differ with probability `flips` agrees within the radius in one of them.
+    """
+    bits = min(32, max(16, ceil(log(max(n, 1), 2)) - 4))
+    one = (1 - flips) ** bits * (1 + bits * flips / (1 - flips))
+    return bits, ceil(log(missed) / log(1 - one))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, block: int = 256) -> DataFrame:
     """(doc_id, component_id): documents connected by pairs whose sets of `size`-word shingles have that Jaccard similarity or more.
 
     SimHash only finds candidates. Sets of equal size with Jaccard similarity s have the cosine
-    2s / (1 + s), and a SimHash bit of theirs differs with probability arccos(cosine) / pi. Each of
-    `tables` independent fingerprints of 128 bits, in eight segments of 16 with balls of radius 1,
-    yields the pairs up to the 99 % quantile of the number of differing bits (28 for 0.8). Within each
-    candidate component the shingle sets themselves are compared, and only pairs that reach `similarity` link.
+    2s / (1 + s), and a SimHash bit of theirs differs with probability arccos(cosine) / pi. The segments
+    of `cover` lie in independent fingerprints of 128 bits each; each yields the pairs up to the 99 % quantile
+    of the number of differing bits (28 for 0.8). Within each candidate component the shingle sets themselves are
+    compared, and only pairs that reach `similarity` link.
 
     A component of more than `block` texts is compared in lots: every lot holds the component's first
     text too, and only if that leaves it in several pieces does every two lots' texts meet.
@@ -329,6 +423,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, tab
     ready(docs.sparkSession)
     flips = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     most_bits = int(128 * flips + 2.326 * np.sqrt(128 * flips * (1 - flips)))
+    bits, needed = cover(docs.count(), flips)
+    tables = ceil(needed / (2 * (64 // bits)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
@@ -339,8 +435,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, tab
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = docs.mapInArrow(work, "doc_id long, key binary, fp binary").checkpoint()
     units = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")).where("doc_id IS NOT NULL").checkpoint()
-    cut = even_segments(2, 16, 1)
-    for known, segment in ((False, [(w, shift, bits, 0) for w, shift, bits, _ in cut]), (True, cut)):
+    cut = even_segments(2, bits, 1)
+    for known, segment in ((False, [(w, mask, 0) for w, mask, _ in cut]), (True, cut)):
         met = units.withColumn("part", F.col("doc_id")) if not known else units.join(labels, units["doc_id"] == labels["node"], "left").select(*units.columns, F.coalesce("label", "doc_id").alias("part")).checkpoint()
         found = None
         for k in range(tables):

@@ -131,6 +131,69 @@ def test_links_of_clustered_fingerprints(spark, most, large):
     assert [labels.get(i, i) for i in range(len(fps))] == brute_components(fps, range(len(fps)), most)
 
 
+@pytest.mark.parametrize("mask", [(1 << 64) - 1, 0x0FFF0FFF0FFF0FFF])
+@pytest.mark.parametrize("n", [1, 1 << 16, 1 << 24, 1 << 36])
+def test_segments_cover_every_pair(mask, n):
+    for most in range(8):
+        cut = simhash.segments(most, n, mask)
+        assert sum(r + 1 for _, _, r in cut) == most + 1 and sum(m for _, m, _ in cut) == mask
+        if most == 4:
+            assert sum(len(simhash.ball(m, r)) for _, m, r in cut) <= 1 << 16
+    widths = [min(m.bit_count() for _, m, _ in simhash.segments(4, k)) for k in (1 << 16, 1 << 24, 1 << 36)]
+    assert widths[-1] > widths[0]
+
+
+def test_one_hot_value_of_unlinked_fingerprints():
+    """6,000 fingerprints that share 32 bits, and are hardly linked, are not compared all with all."""
+    rng = np.random.default_rng(3)
+    low = rng.integers(0, 1 << 32, 6000, dtype=np.uint64) & rng.integers(0, 1 << 32, 6000, dtype=np.uint64)
+    fp = np.unique(np.concatenate([low, low[:50] ^ np.uint64(5), low[100:110] ^ np.uint64(0x10101)]))
+    edges = simhash._within(fp, 4, (1 << 32) - 1, 64)
+    label = np.arange(len(fp))
+    for a, b in simhash.thin(edges):
+        label[b] = a
+    assert label.tolist() == [min(x) for x in brute_groups(fp, 4)]
+
+
+def brute_groups(fp, most):
+    near = np.bitwise_count(fp[:, None] ^ fp[None]) <= most
+    label = np.arange(len(fp))
+    while True:
+        new = np.array([label[row].min() for row in near])
+        if (new == label).all():
+            return [[x] for x in label]
+        label = new
+
+
+def test_thinned_edges_have_the_same_components():
+    rng = np.random.default_rng(4)
+    for n, m in ((10, 8), (200, 150), (50, 400)):
+        e = rng.integers(0, n, (m, 2)) * 7
+        t = simhash.thin(e)
+        parent = {int(x): int(x) for x in e.ravel()}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in e.tolist():
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+        assert dict(zip(t[:, 1].tolist(), t[:, 0].tolist(), strict=True)) == {x: find(x) for x in parent if find(x) != x}
+
+
+def test_recall_of_the_cover_holds_at_every_size():
+    """Simulated: at least 99 % of pairs whose bits differ with the probability of similarity 0.8 meet in a segment."""
+    flips = np.arccos(1.6 / 1.8) / np.pi
+    rng = np.random.default_rng(5)
+    for n in (1000, 1 << 22, 1 << 30):
+        bits, needed = simhash.cover(n, flips)
+        assert bits >= 16 and n / 2**bits <= 16
+        differ = (rng.random((2000, needed, bits)) < flips).sum(2)
+        assert (differ <= 1).any(1).mean() > 0.99
+
+
 def test_two_passes_equal_one(spark):
     rng = random.Random(5)
     rows = []
