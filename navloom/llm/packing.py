@@ -5,8 +5,8 @@ packing problem is the histogram of lengths: at most `capacity` numbers, whateve
 is all that the driver sees. There, bin completion fills sequences: depth first, each step takes the
 largest length left, enumerates the undominated fillings of the room beside it, and uses one as often
 as the counts allow; a branch is pruned when what it has wasted shows that it cannot beat the best
-solution so far. Best-fit decreasing gives the first best solution, and the search stops at the lower
-bound. The answer is a short list of (filling, how often).
+solution so far. Best-fit decreasing gives the first best solution, and the search goes on until the best
+solution is proved (it meets the lower bound, or everything was tried) or a stated budget of steps is spent. The answer is a short list of (filling, how often).
 
 The pieces then find their places in parallel: a piece's rank among the pieces of its length comes
 from its rank in its partition plus a prefix sum over (partition, length) counts, and the rank falls
@@ -18,10 +18,12 @@ packed one by one. An empty table gives no piece.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -86,98 +88,127 @@ def best_fit(count: np.ndarray, capacity: int) -> Fillings:
     return [x for own in open_.values() for x in own]
 
 
-def fillings(count: np.ndarray, room: int, width: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room` by lengths with counts, least waste first, at most `width`.
+def _smear(mask: int, low: int, high: int) -> int:
+    """The bits of `mask` moved up by each of low..high."""
+    out, width = mask << low, 1
+    while width < high - low + 1:
+        step = min(width, high - low + 1 - width)
+        out |= out << step
+        width += step
+    return out
+
+
+def fillings(count: list[int], room: int) -> Iterator[tuple[tuple[int, ...], bool]]:
+    """All fillings of `room` by lengths with counts, least waste first, longer lengths first, and whether each is undominated.
 
-    Exact over sets of up to three lengths (of the third, the largest `width` * 8 candidates), each
-    also after greedy prefixes, so that rooms for many short pieces are completed as well. A filling
-    is dominated if another one has, place by place, lengths that are no shorter.
+    A filling is dominated if some of its lengths, two or more, fit into an unused length that takes their place within
+    the waste, or one of them gives way to a longer one: whoever uses the other filling loses nothing.
     """
-    found: dict[tuple[int, ...], int] = {}
-    count = count.copy()
-    prefix: tuple[int, ...] = ()
-    while True:
-        sizes = np.flatnonzero(count[: room + 1])
-        if not len(sizes):
-            found.setdefault(prefix, room)
-            break
-        largest = np.zeros(room + 1, np.int64)
-        largest[sizes] = sizes
-        largest = np.maximum.accumulate(largest)
-        one = int(sizes[-1])
-        found[(*prefix, one)] = room - one
-        # Pairs: each length with the largest that fits beside it.
-        beside = largest[room - sizes]
-        ok = (beside > 0) & (beside <= sizes) & ((beside != sizes) | (count[sizes] > 1))
-        waste = np.where(ok, room - sizes - beside, room + 1)
-        for i in np.argsort(waste, kind="stable")[:width]:
-            if ok[i]:
-                found[(*prefix, int(sizes[i]), int(beside[i]))] = int(waste[i])
-        if min(found.values()) == 0:
-            break
-        for a in sizes[::-1][: width * 8].tolist():
-            count[a] -= 1
-            b = sizes[: np.searchsorted(sizes, min(a, room - a), "right")]
-            b = b[count[b] > 0]
-            c = largest[room - a - b]
-            ok = (c > 0) & (c <= b) & (count[c] > (c == b))
-            if ok.any():
-                waste = np.where(ok, room - a - b - c, room + 1)
-                i = int(np.argmin(waste))
-                found.setdefault((*prefix, a, int(b[i]), int(c[i])), int(waste[i]))
-            count[a] += 1
-            if 0 in found.values():
-                break
-        if min(found.values()) == 0:
-            break
-        # Greedy: fix the largest that fits and complete the rest.
-        prefix, room = (*prefix, one), room - one
-        count[one] -= 1
-    order = sorted((waste, tuple(sorted(x, reverse=True))) for x, waste in found.items())
-    out: list[tuple[int, ...]] = []
-    for _, x in order:
-        if not any(len(y) >= len(x) and all(p >= q for p, q in zip(y, x, strict=False)) for y in out):
-            out.append(x)
-        if len(out) == width:
-            break
-    return out
+    sizes = [s for s in range(min(room, len(count) - 1), 0, -1) if count[s] > 0]
+    limit = (1 << room + 1) - 1
+    reach = [1]  # from each size on, the sums that smaller ones can make
+    for s in reversed(sizes):
+        sums, left, each = reach[-1], min(count[s], room // s), 1
+        while left:
+            use = min(each, left)
+            sums |= (sums << s * use) & limit
+            left, each = left - use, each * 2
+        reach.append(sums)
+    reach.reverse()
+
+    def exact(at: int, total: int, used: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield used
+            return
+        for j in range(at, len(sizes)):
+            if not reach[j] >> total & 1:
+                return
+            s = sizes[j]
+            for k in range(min(count[s], total // s), 0, -1):
+                if reach[j + 1] >> (total - k * s) & 1:
+                    yield from exact(j + 1, total - k * s, (*used, *(s,) * k))
+
+    for waste in range(room + 1):
+        if not reach[0] >> (room - waste) & 1:
+            continue
+        for x in exact(0, room - waste, ()):
+            unused = sum(1 << s for s in sizes if s > x.count(s) and count[s] > x.count(s)) if x else sum(1 << s for s in sizes)
+            one, more = 0, 0  # sums of one and of two or more of x
+            for s in x:
+                more |= (one << s) | (more << s)
+                one |= 1 << s
+            better = _smear(one, 1, waste) if waste else 0
+            yield x, not unused & (better | _smear(more, 0, waste)) and not (not x and unused)
 
 
-def complete(count: np.ndarray, capacity: int, width: int = 4, most_nodes: int = 6000) -> Fillings:
-    """Bin completion: a list of (filling, how often) that uses every piece once, with as few sequences as found.
+class Packing(NamedTuple):
+    """A list of (filling, how often) that uses every piece once; no packing has fewer than `bound` sequences."""
 
-    `most_nodes` bounds the search; the best solution so far is the answer when it ends.
+    fillings: Fillings
+    bound: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.fillings)
+
+
+def complete(count: np.ndarray, capacity: int, most_steps: int = 50_000) -> Packing:
+    """Bin completion, depth first: the largest length left, every undominated filling beside it, as often as possible, then less often.
+
+    The search ends with a proof: when the best solution meets the lower bound, or when nothing is left to try (then the
+    best solution is the bound). `most_steps` is the budget of fillings that are looked at; where it ends the search, the
+    result is the best solution so far with the bound that is known. Choices are undone in place, so memory is that of
+    one path and of the states seen.
     """
     best = best_fit(count, capacity)
     fewest, bound = sum(n for _, n in best), lower_bound(count, capacity)
-    size = np.arange(len(count))
-    nodes = 0
-    stack: list[tuple[np.ndarray, int, tuple | None, tuple | None]] = [(count.copy(), 0, None, None)]
-    while stack and fewest > bound and nodes < most_nodes:
-        left, used, above, step = stack.pop()
-        nodes += 1
-        path = (above, step) if step is not None else None
-        rest = int(left @ size)
-        if used + lower_bound(left, capacity) >= fewest:  # the waste so far leaves no room to win
-            continue
-        if not rest:
-            best, fewest = [], used
-            while path is not None:
-                path, step = path
-                best.append(step)
-            continue
+    left, size, used, path, steps = count.copy(), np.arange(len(count)), 0, [], 0
+    seen: dict[bytes, int] = {}
+
+    def choices() -> Iterator[tuple[tuple[int, ...], int] | None]:
+        """(filling, how often) of the present state, None for one that is left out."""
         s = int(np.flatnonzero(left)[-1])
         left[s] -= 1
-        options = fillings(left, capacity - s, width)
+        own = left.tolist()
         left[s] += 1
-        for x in reversed(options):
-            filling = (s, *x)
-            which, often = np.unique(filling, return_counts=True)
-            times = int((left[which] // often).min())
-            after = left.copy()
-            after[which] -= often * times
-            stack.append((after, used + times, path, (filling, times)))
-    return best
+        for x, undominated in fillings(own, capacity - s):
+            if not undominated:
+                yield None
+                continue
+            which, often = np.unique((s, *x), return_counts=True)
+            for times in range(int((left[which] // often).min()), 0, -1):
+                yield (s, *x), times
+
+    stack = [choices()] if fewest > bound else []
+    while stack and fewest > bound and steps < most_steps:
+        got = next(stack[-1], False)
+        if got is False:
+            stack.pop()
+            if path:
+                filling, times = path.pop()
+                np.add.at(left, list(filling), times)
+                used -= times
+            continue
+        steps += 1
+        if got is None:
+            continue
+        filling, times = got
+        np.subtract.at(left, list(filling), times)
+        used += times
+        rest = int(left @ size)
+        if not rest:
+            if used < fewest:
+                best, fewest = [*path, got], used
+        elif used + lower_bound(left, capacity) < fewest:  # the waste so far leaves room to win
+            state = hashlib.blake2b(left.tobytes(), digest_size=16).digest()
+            if seen.get(state, fewest) > used:
+                seen[state] = used
+                path.append(got)
+                stack.append(choices())
+                continue
+        np.add.at(left, list(filling), times)
+        used -= times
+    return Packing(best, bound if stack and fewest > bound else fewest)
 
 
 def places(solution: Fillings) -> np.ndarray:
@@ -269,7 +300,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     count = np.zeros(capacity + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).toArrow().to_pylist():  # at most `capacity` rows
         count[r["length"]] = r["n"]
-    table = spark.sparkContext.broadcast(places(complete(count, capacity)))  # a few places for each length
+    table = spark.sparkContext.broadcast(places(complete(count, capacity).fillings))  # a few places for each length
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
 

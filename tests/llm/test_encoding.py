@@ -139,18 +139,50 @@ def test_small_problems_are_solved_optimally():
     for _ in range(60):
         sizes = sorted(rng.integers(1, 21, rng.integers(1, 11)).tolist(), reverse=True)
         count = np.bincount(sizes, minlength=21)
-        solution = packing.complete(count, 20)
+        found = packing.complete(count, 20)
         fewest = optimum(sizes, 20)
-        assert valid(solution, count, 20) and sum(n for _, n in solution) == fewest >= packing.lower_bound(count, 20)
+        assert valid(found.fillings, count, 20) and found.sequences == found.bound == fewest >= packing.lower_bound(count, 20)
 
 
 @pytest.mark.parametrize(("n", "high"), [(3000, 2049), (500, 300), (1, 2049), (0, 5), (5000, 3)])
 def test_large_problems(n, high):
     count = np.bincount(np.random.default_rng(n).integers(1, high, n), minlength=2049)
-    solution = packing.complete(count, 2048)
-    assert valid(solution, count, 2048)
-    assert sum(k for _, k in solution) <= sum(k for _, k in packing.best_fit(count, 2048))
-    assert sum(k for _, k in solution) <= packing.lower_bound(count, 2048) * 1.01 + 1
+    found = packing.complete(count, 2048, 500)
+    assert valid(found.fillings, count, 2048)
+    assert found.sequences <= sum(k for _, k in packing.best_fit(count, 2048))
+    assert found.bound <= found.sequences <= packing.lower_bound(count, 2048) * 1.01 + 1
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_lengths_where_best_fit_is_not_optimal(seed):
+    """Sequences are cut into pieces without waste, so the optimum is known; best-fit needs more, the search proves the optimum."""
+    rng = np.random.default_rng(seed)
+    while True:
+        sizes = []
+        for _ in range(14):
+            cuts = np.sort(rng.choice(np.arange(1, 60), rng.integers(2, 4), replace=False))
+            sizes += np.diff([0, *cuts, 60]).tolist()
+        count = np.bincount(sizes, minlength=61)
+        if sum(k for _, k in packing.best_fit(count, 60)) > 14:
+            break
+    found = packing.complete(count, 60, 100_000)
+    assert valid(found.fillings, count, 60) and found.sequences == found.bound == 14
+
+
+def test_every_filling_is_enumerated_and_dominance_is_safe():
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        count = np.bincount(rng.integers(1, 9, 7), minlength=13).tolist()
+        room = int(rng.integers(1, 13))
+        every = set()
+        for k in itertools.product(*(range(min(c, room // s) + 1) for s, c in enumerate(count) if s)):
+            x = tuple(s for s in range(12, 0, -1) for _ in range(k[s - 1]))
+            if sum(x) <= room:
+                every.add(x)
+        got = list(packing.fillings(count, room))
+        assert {x for x, _ in got} == every and len(got) == len(every)
+        wastes = [room - sum(x) for x, _ in got]
+        assert wastes == sorted(wastes) and any(ok for _, ok in got)
 
 
 def check_packing(rows, docs, capacity=2048):
