@@ -2,17 +2,20 @@
 
 Encoding: a payload of bytes becomes one channel of 8-bit samples in frames of 576. Every frame is
 written as a constant, as a fixed predictor of order 0 to 4, as a quantised linear predictor of order
-4, or verbatim, whichever is shortest, with Rice-coded residuals. A seek table has one point a frame.
+4, or verbatim, whichever is shortest, with Rice-coded residuals. The one seek table has a point for every
+frame, or for every k-th frame of a stream whose frames are more than a table can list.
 
 Decoding starts from the stream's bytes alone. The seek table gives the offset of every frame, so
 the frames of many streams are decoded in lock step: one numpy operation advances all of them by one
-sample. Frame headers are checked (sync, number, CRC-8), every frame's CRC-16 is verified, the end
+sample, a bounded number of frames at a time; frames between two seek points are found by their headers and
+checksums. The samples are written as PCM blocks, each with the offset of its first sample. Frame headers are checked (sync, number, CRC-8), every frame's CRC-16 is verified, the end
 of each frame must be the start of the next, and the MD5 of the samples must be the one in the header.
-The decoder takes any Rice partition order, 4- and 5-bit parameters, all fixed orders and linear
-predictors of any order; escaped (raw) partitions, several channels and other sample sizes are refused.
+The decoder takes any Rice partition order, 4- and 5-bit parameters, escaped (raw) partitions, all fixed
+orders and linear predictors of any order; several channels and other sample sizes are refused.
 
 Defined results: a null text is an empty text, whose payload is one block of 576 bytes of 255; equal
-texts give equal streams. Repeated rows get the same result. A damaged stream raises FlacError.
+texts give equal streams. Repeated rows get the same result. A null stream has null payload, blocks and
+feature. A damaged stream raises FlacError.
 """
 
 from __future__ import annotations
@@ -30,6 +33,9 @@ from navloom.session import ready
 
 BLOCK = 576
 RATE = 8000
+POINTS = 900_000  # seek points at most: a metadata block has less than 2**24 bytes, a point 18
+FRAMES = 4096  # that are decoded at a time
+PCM_FRAMES = 64  # in a PCM block
 _LPC_ORDER, _LPC_BITS, _LPC_SHIFT = 4, 9, 7
 
 
@@ -209,6 +215,9 @@ def pad(data: bytes) -> bytes:
     return data + b"\xff" * (-len(data) % BLOCK if data else BLOCK)
 
 
+_POINT = [("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")]
+
+
 def encode(payloads: list[bytes]) -> list[bytes]:
     """A FLAC stream for each payload (a positive multiple of 576 bytes)."""
     joined = np.frombuffer(b"".join(payloads), np.uint8)
@@ -228,13 +237,11 @@ def encode(payloads: list[bytes]) -> list[bytes]:
             + ((RATE << 44) | (0 << 41) | (7 << 36) | (int(b - a) * BLOCK)).to_bytes(8, "big")
             + hashlib.md5(samples[a:b].tobytes()).digest()
         )
-        # Seek points, as many as a metadata block can hold at most in one table (2**24 / 18); one a frame otherwise.
-        points = np.zeros(b - a, [("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")])
-        points["sample"], points["offset"], points["size"] = np.arange(b - a) * BLOCK, offset[a:b] - offset[a], BLOCK
-        tables = [points[j : j + 900_000].tobytes() for j in range(0, len(points), 900_000)]
-        head = b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info
-        for j, table in enumerate(tables):
-            head += bytes([3 | (0x80 if j == len(tables) - 1 else 0)]) + len(table).to_bytes(3, "big") + table
+        step = -(-int(b - a) // POINTS)
+        points = np.zeros(len(range(0, b - a, step)), _POINT)
+        points["sample"], points["offset"], points["size"] = np.arange(0, b - a, step) * BLOCK, offset[a:b:step] - offset[a], BLOCK
+        table = points.tobytes()
+        head = b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table
         out.append(head + data[offset[a] : offset[b]].tobytes())
     return out
 
@@ -246,7 +253,7 @@ def _header(stream: bytes) -> tuple[int, bytes, np.ndarray, int]:
     """(samples, MD5, frame offsets, start of the frames) of a stream."""
     if stream[:4] != b"fLaC":
         raise FlacError("no FLAC stream")
-    at, last, samples, md5, points = 4, False, None, b"", []
+    at, last, samples, md5, points = 4, False, None, b"", None
     while not last:
         if at + 4 > len(stream):
             raise FlacError("metadata ends early")
@@ -260,20 +267,46 @@ def _header(stream: bytes) -> tuple[int, bytes, np.ndarray, int]:
                 raise FlacError("not one channel of 8-bit samples in blocks of 576")
             samples, md5 = word & ((1 << 36) - 1), body[18:34]
             least, most = int.from_bytes(body[4:7], "big"), int.from_bytes(body[7:10], "big")
+        elif kind == 3 and points is not None:
+            raise FlacError("more than one seek table")
         elif kind == 3:
-            points.append(np.frombuffer(body, [("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")]))
+            points = np.frombuffer(body[: size - size % 18], _POINT)
         at += 4 + size
-    if samples is None or not points:
-        raise FlacError("no stream information or seek table")
-    table = np.concatenate(points)
-    if not samples or samples % BLOCK or len(table) != samples // BLOCK or (table["sample"] != np.arange(len(table)) * BLOCK).any() or (table["size"] != BLOCK).any():
-        raise FlacError("the seek table does not list every frame")
-    offsets = table["offset"].astype(np.int64) + at
+    if samples is None or points is None or not samples or samples % BLOCK:
+        raise FlacError("no stream information or seek table, or no whole blocks")
+    points = points[points["sample"] != 2**64 - 1]  # placeholders
+    frames, step = samples // BLOCK, max(1, -(-samples // BLOCK // max(len(points), 1)))
+    if len(points) != len(range(0, frames, step)) or (points["sample"] != np.arange(0, frames, step) * BLOCK).any() or (points["size"] != BLOCK).any():
+        raise FlacError("the seek table does not list every frame, or every k-th")
+    offsets = _between(stream, points["offset"].astype(np.int64) + at, frames, step)
     if offsets[0] != at or offsets[-1] >= len(stream) or (sizes := np.diff(np.append(offsets, len(stream)))).min() != least or sizes.max() != most:
         raise FlacError("the frames are not as long as the stream information says")
     return samples, md5, offsets, at
 
 
+def _between(stream: bytes, points: np.ndarray, frames: int, step: int) -> np.ndarray:
+    """The offsets of all frames, those between seek points by their headers: a header starts a frame if the bytes before it have their CRC-16."""
+    if step == 1:
+        return points
+    data, out = np.frombuffer(stream, np.uint8), np.zeros(frames, np.int64)
+    out[::step] = points
+    for i in np.flatnonzero(np.arange(frames) % step):
+        utf, size = (x[0] for x in _number_bytes(np.array([i])))
+        header = b"\xff\xf8\x20\x02" + bytes(utf[:size].astype(np.uint8).tolist())
+        header += bytes([int(_crc(np.frombuffer(header, np.uint8), np.zeros(1, np.int64), np.array([len(header)]), 8)[0])])
+        before, at = out[i - 1], int(out[i - 1]) + 9
+        while True:
+            at = stream.find(header, at)
+            if at < 0:
+                raise FlacError("a frame is missing")
+            crc = _crc(data, np.array([before]), np.array([at - before - 2]), 16)[0]
+            if crc == int.from_bytes(stream[at - 2 : at], "big"):
+                break
+            at += 1
+        out[i] = at
+    return out
+
+
 class _Bits:
     """Bit cursors into one run of bytes, one for each frame."""
 
@@ -401,69 +434,107 @@ def _predicted(bits: _Bits, x: np.ndarray, which: np.ndarray, order: np.ndarray,
     weight, shift = weight[:, which], shift[which]
     out, at, far = x[:, which], bits.at[which], bits.end
     left = (63 - k).astype(np.uint64)
+    raw = np.full(len(which), -1)  # bits of a sample in an escaped partition
     for i in range(BLOCK):
         if i % smallest == 0:
             new = np.flatnonzero(i % each == 0)
             bits.at[which] = at
             k[new] = bits.read(4 + method[new], which[new])
+            escaped = new[k[new] == np.where(method[new] == 1, 31, 15)]
+            raw[new] = -1
+            raw[escaped], k[escaped] = bits.read(5, which[escaped]), 0
             at = bits.at[which]
-            if (k[new] == np.where(method[new] == 1, 31, 15)).any():
-                raise FlacError("an escaped partition")
             left = (63 - k).astype(np.uint64)
             if (at > far).any():
                 raise FlacError("a frame ends early")
-        if i < most:
-            on = np.flatnonzero(own_order <= i)
+        if i < most or (raw >= 0).any():
+            on = np.flatnonzero((own_order <= i) & (raw < 0))
+            plain = np.flatnonzero((own_order <= i) & (raw >= 0))
             u, at[on] = bits.rice(at[on], k[on], left[on])
         else:
-            on = slice(None)
+            on, plain = slice(None), None
             u, at = bits.rice(np.minimum(at, far), k, left)
         total = np.zeros(len(which), np.int64)
         for j in range(min(most, i)):
             total += weight[j] * out[i - 1 - j]
         total >>= shift
         out[i, on] = ((u >> 1) ^ -(u & 1)) + total[on]
+        if plain is not None and len(plain):
+            bits.at[which[plain]] = np.minimum(at[plain], far)
+            out[i, plain] = bits.read_signed(raw[plain], which[plain]) + total[plain]
+            at[plain] = bits.at[which[plain]]
     bits.at[which] = at
     x[:, which] = out
 
 
-def decode(streams: list[bytes]) -> list[bytes]:
-    """The payload of each stream."""
+def _samples(data: np.ndarray, start: np.ndarray, end: np.ndarray, number: np.ndarray) -> Iterator[np.ndarray]:
+    """The samples of frames, FRAMES of them at a time."""
+    for i in range(0, len(start), FRAMES):
+        a, b = start[i : i + FRAMES], end[i : i + FRAMES]
+        low = int(a[0])
+        yield decode_frames(data[low : int(b[-1])], a - low, b - low, number[i : i + FRAMES])
+
+
+def _pcm(samples: np.ndarray) -> bytes:
+    return (samples.view(np.uint8) ^ np.uint8(128)).tobytes()
+
+
+def decode_blocks(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
+    """The PCM blocks (first sample, bytes) of each stream, in order; frames of short streams are decoded together. The MD5 is verified."""
     parsed = [_header(s) for s in streams]
     base = np.concatenate([[0], np.cumsum([len(s) for s in streams])])
     start = np.concatenate([p[2] + b for p, b in zip(parsed, base, strict=False)])
     end = np.concatenate([np.append(p[2][1:], len(s)) + b for p, s, b in zip(parsed, streams, base, strict=False)])
     frames = [len(p[2]) for p in parsed]
     number = np.concatenate([np.arange(n) for n in frames])
-    samples = decode_frames(np.frombuffer(b"".join(streams), np.uint8), start, end, number)
-    first = np.concatenate([[0], np.cumsum(frames)])
-    out = []
-    for i, (_, md5, _, _) in enumerate(parsed):
-        own = samples[first[i] : first[i + 1]]
-        if hashlib.md5(own.tobytes()).digest() != md5:
-            raise FlacError("the MD5 of the samples is wrong")
-        out.append((own.astype(np.int16) + 128).astype(np.uint8).tobytes())
-    return out
+    data = np.frombuffer(streams[0] if len(streams) == 1 else b"".join(streams), np.uint8)
+    out: list[list[tuple[int, bytes]]] = [[]]
+    digest, done = hashlib.md5(), 0
+    for got in _samples(data, start, end, number):
+        at = 0
+        while at < len(got):
+            n = min(len(got) - at, frames[len(out) - 1] - done, PCM_FRAMES - done % PCM_FRAMES)
+            own = got[at : at + n]
+            digest.update(own)
+            if done % PCM_FRAMES:
+                out[-1][-1] = (out[-1][-1][0], out[-1][-1][1] + _pcm(own))
+            else:
+                out[-1].append((done * BLOCK, _pcm(own)))
+            at, done = at + n, done + n
+            if done == frames[len(out) - 1]:
+                if digest.digest() != parsed[len(out) - 1][1]:
+                    raise FlacError("the MD5 of the samples is wrong")
+                digest, done = hashlib.md5(), 0
+                out.append([])
+    return out[:-1]
+
+
+def decode(streams: list[bytes]) -> list[bytes]:
+    """The payload of each stream."""
+    return [b"".join(x for _, x in own) for own in decode_blocks(streams)] if streams else []
 
 
 def pcm_blocks(stream: bytes, from_sample: int = 0, to_sample: int | None = None) -> list[tuple[int, bytes]]:
-    """(sample offset, PCM bytes) of the frames that hold samples from_sample to to_sample; only those are decoded."""
+    """(first sample, PCM bytes) of the PCM blocks that hold samples from_sample to to_sample; only their frames are decoded."""
     samples, _, offsets, _ = _header(stream)
     to_sample = samples if to_sample is None else min(to_sample, samples)
-    a, b = from_sample // BLOCK, -(-to_sample // BLOCK)
     if from_sample >= to_sample:
         return []
+    size = BLOCK * PCM_FRAMES
+    a, b = from_sample // size * PCM_FRAMES, min(-(-to_sample // size) * PCM_FRAMES, len(offsets))
     ends = np.append(offsets[1:], len(stream))
-    got = decode_frames(np.frombuffer(stream, np.uint8), offsets[a:b], ends[a:b], np.arange(a, b))
-    return [((a + i) * BLOCK, (x.astype(np.int16) + 128).astype(np.uint8).tobytes()) for i, x in enumerate(got)]
+    got = _samples(np.frombuffer(stream, np.uint8), offsets[a:b], ends[a:b], np.arange(a, b))
+    return [(a * BLOCK + j * FRAMES * BLOCK + i * BLOCK, _pcm(x[i : i + PCM_FRAMES])) for j, x in enumerate(got) for i in range(0, len(x), PCM_FRAMES)]
 
 
 def feature(payload: bytes) -> str:
     """Integer features of the decoded samples: sum of squares, sign changes, peak, and 8 bands of sample values."""
-    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
-    bands = np.bincount((x + 128) >> 5, minlength=8)
-    changes = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    return f"energy={int((x * x).sum())};changes={changes};peak={int(np.abs(x).max(initial=0))};bands={','.join(map(str, bands.tolist()))}"
+    x = np.frombuffer(payload, np.uint8)
+    counts = np.bincount(x, minlength=256)
+    value = np.arange(256) - 128
+    changes = int(np.count_nonzero((x[1:] ^ x[:-1]) & 128))
+    peak = int(np.abs(value[counts > 0]).max(initial=0))
+    return f"energy={int((counts * value * value).sum())};changes={changes};peak={peak};bands={','.join(map(str, counts.reshape(8, 32).sum(1).tolist()))}"
 
 
 # --- Spark --------------------------------------------------------------------------------------
@@ -483,25 +554,33 @@ def media(docs: DataFrame) -> DataFrame:
 
 
 def read_media(rows: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media, payload, feature): the streams decoded and verified."""
+    """(doc_id, n_bytes, media, payload, blocks, feature): the streams decoded and verified.
+
+    The payload is written as one run of PCM blocks; blocks is the offset of the first sample of each, which with one
+    byte a sample is also its place in the payload.
+    """
     ready(rows.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "media", 1 << 21):
-            payloads = decode(block.column(2).to_pylist())
-            yield pa.record_batch([*block.columns, pa.array(payloads, pa.binary()), pa.array([feature(p) for p in payloads], pa.string())], ["doc_id", "n_bytes", "media", "payload", "feature"])
+            streams = block.column(2).to_pylist()
+            found = iter(decode_blocks([s for s in streams if s is not None]) if any(s is not None for s in streams) else [])
+            pcm = [next(found) if s is not None else None for s in streams]
+            payloads = [b"".join(x for _, x in own) if own is not None else None for own in pcm]
+            new = [pa.array(payloads, pa.binary()), pa.array([[a for a, _ in own] if own is not None else None for own in pcm], pa.list_(pa.int64())), pa.array([feature(p) if p is not None else None for p in payloads], pa.string())]
+            yield pa.record_batch([*block.columns, *new], [*block.schema.names, "payload", "blocks", "feature"])
 
-    return rows.select("doc_id", "n_bytes", "media").mapInArrow(work, "doc_id long, n_bytes long, media binary, payload binary, feature string")
+    return rows.select("doc_id", "n_bytes", "media").mapInArrow(work, "doc_id long, n_bytes long, media binary, payload binary, blocks array<long>, feature string")
 
 
 def write_pcm(rows: DataFrame) -> DataFrame:
-    """(doc_id, sample, pcm): the PCM blocks of every stream with their sample offsets; a null stream has none."""
+    """(doc_id, sample, pcm): a row for each PCM block of every stream; a null stream has none."""
     ready(rows.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "media", 1 << 21):
             for doc, stream in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
-                found = pcm_blocks(stream) if stream is not None else []
+                found = decode_blocks([stream])[0] if stream is not None else []
                 yield pa.record_batch([pa.array([doc] * len(found), pa.int64()), pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], ["doc_id", "sample", "pcm"])
 
     return rows.select("doc_id", "media").mapInArrow(work, "doc_id long, sample long, pcm binary")

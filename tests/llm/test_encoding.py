@@ -302,12 +302,121 @@ def test_frame_numbers_of_all_lengths():
         assert all(b & 0xC0 == 0x80 for b in text[1:])
 
 
+def scalar_decode(stream):
+    """An independent decoder: bit by bit, frame after frame without the seek table; (samples, MD5 of the header)."""
+    assert stream[:4] == b"fLaC"
+    at, last, tables = 4, False, 0
+    while not last:
+        last, kind, size = stream[at] >> 7, stream[at] & 127, int.from_bytes(stream[at + 1 : at + 4], "big")
+        if kind == 0:
+            total, md5 = int.from_bytes(stream[at + 4 + 10 : at + 4 + 18], "big") & (2**36 - 1), stream[at + 22 : at + 38]
+        tables += kind == 3
+        at += 4 + size
+    assert tables == 1
+    bits = "".join(f"{x:08b}" for x in stream[at:])
+    place, out = 0, []
+
+    def read(n):
+        nonlocal place
+        place += n
+        return int(bits[place - n : place], 2) if n else 0
+
+    def signed(n):
+        v = read(n)
+        return v - (1 << n) if n and v >> (n - 1) else v
+
+    while len(out) < total:
+        assert read(14) == 0b11111111111110 and read(2) == 0
+        assert read(8) == 0x20 and read(8) == 0x02
+        lead = read(8)
+        extra = 0 if lead < 128 else f"{lead:08b}".index("0") - 1
+        read(8 * extra + 8)
+        read(1)
+        kind, wasted = read(6), read(1)
+        assert not wasted
+        x = []
+        if kind == 0:
+            x = [signed(8)] * 576
+        elif kind == 1:
+            x = [signed(8) for _ in range(576)]
+        else:
+            order = kind - 8 if kind < 32 else kind - 31
+            x = [signed(8) for _ in range(order)]
+            shift, weights = 0, [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]][order] if kind < 32 else None
+            if kind >= 32:
+                precision = read(4) + 1
+                shift = signed(5)
+                weights = [signed(precision) for _ in range(order)]
+            wide, parts = read(2), read(4)
+            for j in range(1 << parts):
+                k = read(5 if wide else 4)
+                raw = read(5) if k == (31 if wide else 15) else None
+                for _ in range((576 >> parts) - (order if j == 0 else 0)):
+                    if raw is not None:
+                        e = signed(raw)
+                    else:
+                        q = bits.index("1", place) - place
+                        place += q + 1
+                        u = q << k | read(k)
+                        e = u >> 1 if u % 2 == 0 else -(u >> 1) - 1
+                    x.append(e + (sum(w * v for w, v in zip(weights, x[: -order - 1 : -1], strict=True)) >> shift if order else 0))
+        out += x
+        place += -place % 8 + 16
+    assert place == len(bits)
+    return out, md5
+
+
+def test_an_independent_decoder_reads_the_streams(spark):
+    texts = [(r["text"] or "").encode()[:20000] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(25).collect()]
+    for p in payloads() + [media.pad(t) for t in texts]:
+        samples, md5 = scalar_decode(media.encode([p])[0])
+        assert bytes(v + 128 for v in samples) == p and hashlib.md5(np.array(samples, np.int8).tobytes()).digest() == md5
+
+
 def test_blocks_are_seekable():
-    p = payloads()[3]
+    p = payloads()[3] * 8
     s = media.encode([p])[0]
-    assert b"".join(b for _, b in media.pcm_blocks(s)) == p
-    got = media.pcm_blocks(s, 1000, 2000)
-    assert [a for a, _ in got] == [576, 1152, 1728] and b"".join(b for _, b in got) == p[576:2304] and media.pcm_blocks(s, 5, 5) == []
+    found = media.pcm_blocks(s)
+    assert b"".join(b for _, b in found) == p and found == media.decode_blocks([s])[0] and [a for a, _ in found] == list(range(0, len(p), 576 * 64))
+    got = media.pcm_blocks(s, 40000, 80000)
+    assert [a for a, _ in got] == [36864, 73728] and b"".join(b for _, b in got) == p[36864:110592] and media.pcm_blocks(s, 5, 5) == []
+
+
+def test_a_seek_table_that_cannot_list_every_frame(monkeypatch):
+    """One table with every k-th frame; those between are found by their headers."""
+    monkeypatch.setattr(media, "POINTS", 5)
+    monkeypatch.setattr(media, "FRAMES", 7)
+    all_ = payloads()
+    streams = media.encode(all_)
+    assert media.decode(streams) == all_
+    assert all(s[4 + 38] == 0x83 and int.from_bytes(s[43:46], "big") <= 5 * 18 for s in streams)
+    assert bytes(v + 128 for v in scalar_decode(streams[3])[0]) == all_[3]
+
+
+def hand_written(order_bits, x, parts):
+    """A frame of 576 samples, fixed order 1, with residual partitions (values, k or None for escaped, bits)."""
+    bits = f"{0xFF:08b}{0xF8:08b}{0x20:08b}{0x02:08b}{0:08b}"
+    crc = media._crc(np.array([0xFF, 0xF8, 0x20, 0x02, 0], np.uint8), np.array([0]), np.array([5]), 8)[0]
+    bits += f"{crc:08b}{9 << 1:08b}{int(x[0]) & 255:08b}" + "00" + order_bits
+    for part, k, raw in parts:
+        bits += f"{15 if k is None else k:04b}" + (f"{raw:05b}" if k is None else "")
+        for v in part.tolist():
+            u = 2 * v if v >= 0 else -2 * v - 1
+            bits += (f"{v & ((1 << raw) - 1):0{raw}b}" if raw else "") if k is None else "0" * (u >> k) + "1" + (f"{u & ((1 << k) - 1):0{k}b}" if k else "")
+    bits += "0" * (-len(bits) % 8)
+    body = int(bits, 2).to_bytes(len(bits) // 8, "big")
+    return body + int(media._crc(np.frombuffer(body, np.uint8), np.array([0]), np.array([len(body)]), 16)[0]).to_bytes(2, "big")
+
+
+def test_escaped_partitions_decode():
+    x = np.cumsum(np.random.default_rng(4).integers(-3, 4, 576)).clip(-100, 100)
+    x[300:] = x[300]  # a partition of zeros, escaped with no bits
+    e = np.diff(x)
+    frames = [hand_written("0010", x, [(e[:143], None, 4), (e[143:287], 1, 0), (e[287:431], None, 4), (e[431:], None, 0)]), hand_written("0000", x, [(e, 2, 0)])]
+    data = np.frombuffer(b"".join(frames), np.uint8)
+    ends = np.cumsum([len(f) for f in frames])
+    got = media.decode_frames(data, np.array([0, ends[0]]), ends, np.array([0, 0]))
+    assert (got == x).all()
 
 
 def test_partitioned_residuals_decode():
@@ -359,3 +468,6 @@ def test_media_of_odd_rows(spark):
     assert all(bytes(r["payload"]) == media.pad((t or "").encode()) for r, t in zip(rows.where("doc_id is not null").orderBy("doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect(), ODD, strict=True))
     assert rows.count() == odd_docs(spark).count() and media.write_pcm(rows).where("sample = 0").count() == rows.count()
     assert media.read_media(media.media(empty_docs(spark))).count() == 0
+    nulls = spark.createDataFrame([(1, None, None), (2, 3, bytearray(media.encode([media.pad(b"abc")])[0]))], "doc_id long, n_bytes long, media binary")
+    a, b = media.read_media(nulls).orderBy("doc_id").collect()
+    assert a["payload"] is None and a["feature"] is None and a["blocks"] is None and bytes(b["payload"][:3]) == b"abc" and b["blocks"] == [0]
