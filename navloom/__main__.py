@@ -7,13 +7,12 @@ from __future__ import annotations
 
 import argparse
 
-import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from navloom.functions import geometry as g
-from navloom.operators import kernel
-from navloom.operators.routes import build_mesh
+from navloom.operators import mesh
+from navloom.operators.routes import routes
 from navloom.operators.terrain import heights
 from navloom.operators.tiles import cover
 from navloom.session import ready
@@ -34,52 +33,18 @@ def find(spark: SparkSession, folder: str, map_id: int, x1: float, y1: float, x2
     z = {r["event_id"]: r["height"] for r in heights(ends, binary.terrain(spark, folder, names(".map"))).collect()}
     if z[0] is None or z[1] is None:
         return g.NO_PATH, []
-    polys = binary.polygons(spark, folder, names(".mmtile"))
-    ref = F.struct("x", "y", "layer", "pid")
-    polys = polys.withColumn("ref", ref).checkpoint()
-    numbers = polys.select("ref").distinct().orderBy("ref").toArrow()["ref"].to_pylist()
-    number = {tuple(r.values()): i for i, r in enumerate(numbers)}
-    links = binary.tile_links(polys.drop("ref")).toArrow()
-    p = polys.toArrow()
-    p = p.append_column("id", pa.array([number[tuple(r.values())] for r in p["ref"].to_pylist()], pa.int64())).drop_columns(["pid", "ref"]).rename_columns({"id": "pid"})
-    ends_of = {c: pa.array([number[tuple(r.values())] for r in links[c].to_pylist()], pa.int64()) for c in ("src", "dst")}
-    mesh = build_mesh(p.select(["pid", "corners", "flags", "area", "ptype"]), pa.table({**ends_of, **{c: links[c] for c in ("edge", "side", "bmin", "bmax")}}))
-    climb = max(p["climb"].to_pylist(), default=0.0)
-    a, b = (snap(mesh, (y, h, x), climb) for x, y, h in ((x1, y1, z[0]), (x2, y2, z[1])))
-    if a is None or b is None:
+    polys = binary.polygons(spark, folder, names(".mmtile")).withColumn("tile", F.struct("x", "y", "layer", "pid")).checkpoint()
+    number = polys.select("tile").distinct().select("tile", (F.row_number().over(Window.orderBy("tile")) - 1).cast("long").alias("ref")).checkpoint()  # the tiles of one rectangle
+    polys = polys.join(number, "tile").withColumn("idx", F.col("pid")).drop("tile", "pid")
+    climb = polys.agg(F.max("climb")).first()[0] or 0.0
+    at = spark.createDataFrame([(i, y, float(z[i]), x) for i, (x, y) in enumerate(((x1, y1), (x2, y2)))], "event_id long, px double, py double, pz double")
+    near = {r["event_id"]: r for r in mesh.nearest_polygon(at, polys.where("flags <> 0"), g.SNAP, climb, cell=g.TILE / 16).collect()}
+    if len(near) < 2:
         return g.NO_PATH, []
-    d, points, _, _ = kernel.route(mesh, a[0], b[0], a[1], b[1], kernel.Filter())
-    return d, [(w[2], w[0]) for w, _, _ in points]
-
-
-def snap(mesh: kernel.Mesh, p: kernel.Point, climb: float) -> tuple[int, kernel.Point] | None:
-    """The nearest polygon whose box overlaps the box around p, and p on it."""
-    half, best = g.SNAP, None
-    for i, corners in enumerate(mesh.corners):
-        box = [(min(c[k] for c in corners), max(c[k] for c in corners)) for k in range(3)]
-        if not mesh.flags[i] or any(low > p[k] + half[k] or high < p[k] - half[k] for k, (low, high) in enumerate(box)):
-            continue
-        q = kernel.clamp_to(mesh, i, p)
-        height = _height(corners, q)
-        on = (q[0], height, q[2])
-        gap = max(0.0, abs(height - p[1]) - climb)
-        d = gap * gap if q == p else sum((u - v) ** 2 for u, v in zip(on, p, strict=True))
-        if best is None or d < best[0]:
-            best = (d, i, on)
-    return best and best[1:]
-
-
-def _height(corners: list[kernel.Point], p: kernel.Point) -> float:
-    """The height of a polygon at a point, by the fan of triangles from its first corner; of its nearest corner outside all."""
-    a = corners[0]
-    for b, c in zip(corners[1:], corners[2:], strict=False):
-        ux, uz, vx, vz, wx, wz = c[0] - a[0], c[2] - a[2], b[0] - a[0], b[2] - a[2], p[0] - a[0], p[2] - a[2]
-        area = ux * vz - uz * vx
-        if abs(area) >= 1e-6:
-            u, v = (vz * wx - vx * wz) / area, (ux * wz - uz * wx) / area
-            if u >= -1e-6 and v >= -1e-6 and u + v <= 1 + 1e-6:
-                return a[1] + u * (c[1] - a[1]) + v * (b[1] - a[1])
-    return min(corners, key=lambda c: (c[0] - p[0]) ** 2 + (c[2] - p[2]) ** 2)[1]
+    ends = [v for i in (0, 1) for v in (near[i]["ref"], near[i]["x"], near[i]["y"], near[i]["z"])]
+    pairs = spark.createDataFrame([(0, *ends)], "pair_id long, sp long, sx double, sy double, sz double, gp long, gx double, gy double, gz double")
+    (found,) = routes(pairs, polys.drop("map_id"), mesh.all_links(polys.drop("map_id"))).collect()
+    return found["distance"], [(w["z"], w["x"]) for w in found["waypoints"] or ()]
 
 
 def main() -> None:

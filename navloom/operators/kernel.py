@@ -29,6 +29,7 @@ class Mesh:
     kind: list[int]
     links: list[list[tuple[int, int, int, int, int]]]
     ids: list[int] = field(default_factory=list)
+    tile: list[tuple[int, int]] = field(default_factory=list)
 
     def __post_init__(self):
         self.ids = self.ids or list(range(len(self.corners)))
@@ -101,12 +102,13 @@ def portal(mesh: Mesh, a: int, b: int) -> tuple[Point, Point] | None:
     return left, right
 
 
-def find_corridor(mesh: Mesh, start: int, goal: int, p: Point, q: Point, rules: Filter, most: int = 4096, most_nodes: int = 65535, most_expansions: int | None = None) -> tuple[int, list[int]]:
+def find_corridor(mesh: Mesh, start: int, goal: int, p: Point, q: Point, rules: Filter, most: int = 4096, most_nodes: int = 65535, most_expansions: int | None = None, within: tuple[int, int, int, int] | None = None) -> tuple[int, list[int]]:
     """(status, polygons from start towards goal): A* over links with the straight distance as estimate.
 
     A node is a polygon and the border side it was entered by. Its position is the middle of the edge
     by which it was first reached, and stays so; its cost may still improve, also after it was expanded.
-    Without a way the corridor leads to the node nearest to the goal by the estimate (PARTIAL).
+    Without a way the corridor leads to the node nearest to the goal by the estimate (PARTIAL). `within` keeps the
+    search to the tiles of a rectangle (first x, first y, last x, last y).
     """
     n = len(mesh.corners)
     if not (0 <= start < n and 0 <= goal < n and all(map(math.isfinite, (*p, *q))) and most > 0):
@@ -136,6 +138,8 @@ def find_corridor(mesh: Mesh, start: int, goal: int, p: Point, q: Point, rules:
         for to, _edge, side, _low, _high in mesh.links[here]:
             if to == came_from or not rules.passes(mesh.flags[to]):
                 continue
+            if within is not None and not (within[0] <= mesh.tile[to][0] <= within[2] and within[1] <= mesh.tile[to][1] <= within[3]):
+                continue
             key = (to, 0 if side == INTERNAL else side >> 1)
             other = number.get(key)
             if other is None:
@@ -181,17 +185,18 @@ def straighten(mesh: Mesh, corridor: list[int], p: Point, q: Point, most: int =
     """(status, waypoints (point, flags, polygon id or 0)): the tight string through a corridor from p to q.
 
     `crossings` adds the points where the string crosses from polygon to polygon: none, area (where the
-    area changes) or all. Ends outside their polygons are moved to the border.
+    area changes) or all. Ends outside their polygons are moved to the border. Where two polygons of the corridor have no
+    passage, the string goes from its last corner straight to the border of the first of them, without the END flag.
     """
     if not corridor:
         return st.FAILURE | st.INVALID_PARAM, []
     start, end = clamp_to(mesh, corridor[0], p), clamp_to(mesh, corridor[-1], q)
     doors: list[tuple[Point, Point]] = []
-    status = st.SUCCESS
+    status, broken = st.SUCCESS, False
     for i in range(len(corridor) - 1):
         door = portal(mesh, corridor[i], corridor[i + 1])
-        if door is None:  # the corridor is broken here: go to the border and stop
-            end, corridor, status = clamp_to(mesh, corridor[i], q), corridor[: i + 1], status | st.PARTIAL
+        if door is None:  # the corridor ends here
+            end, corridor, status, broken = clamp_to(mesh, corridor[i], q), corridor[: i + 1], status | st.PARTIAL, True
             break
         doors.append(door)
     out: list[tuple[Point, int, int]] = []
@@ -243,6 +248,8 @@ def straighten(mesh: Mesh, corridor: list[int], p: Point, q: Point, most: int =
             if i == 0 and _near_segment(apex, left, right):
                 i += 1
                 continue
+        elif broken:
+            break
         else:
             left = right = end
             poly, flags = None, END
@@ -271,7 +278,10 @@ def straighten(mesh: Mesh, corridor: list[int], p: Point, q: Point, most: int =
         i += 1
     if doors and not add_crossings(apex_i, len(doors), end):
         return status, out
-    add(end, END, None)
+    if broken:
+        add(end, 0, corridor[-1])
+    else:
+        add(end, END, None)
     return status, out
 
 

@@ -15,34 +15,36 @@ from navloom.session import ready
 def relax(links: DataFrame, sources: DataFrame, steps: int, within: Column | None = None) -> DataFrame:
     """(source, node, cost, parent): the cheapest way from each source (source, node) within `steps` links (src, dst, cost).
 
-    `within` is a condition on (source, node) that reached nodes must meet, such as a circle or a shape
-    around the source. Ties: the smallest parent. Stops early when nothing improves.
+    `within` is a condition on (source, node, cost) that reached nodes must meet, such as a circle or a shape
+    around the source. Ties: the smallest parent. Stops early when nothing improves. Links with a null end or cost
+    lead nowhere; repeated links and sources count once.
     """
     ready(links.sparkSession)
-    best = sources.select("source", "node", F.lit(0).cast("double").alias("cost"), F.lit(None).cast("long").alias("parent"))
+    best = sources.select("source", "node", F.lit(0).cast("double").alias("cost"), F.lit(None).cast("long").alias("parent")).distinct()
     frontier = best
     links = links.select(F.col("src").alias("node"), "dst", F.col("cost").cast("double").alias("step")).checkpoint()
+    least = lambda t: t.groupBy("source", "node").agg(F.min(F.struct("cost", "parent")).alias("b")).select("source", "node", "b.*")
     for _ in range(steps):
         reached = frontier.join(links, "node").select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.col("node").alias("parent"))
-        reached = reached if within is None else reached.where(within)
-        reached = reached.groupBy("source", "node").agg(F.min(F.struct("cost", "parent")).alias("b")).select("source", "node", "b.*")
-        old = best.select("source", "node", F.col("cost").alias("__old"), F.col("parent").alias("__parent"))
-        both = old.join(reached, ["source", "node"], "full_outer")
-        better = F.col("__old").isNull() | (F.col("cost") < F.col("__old"))
-        merged = both.select("source", "node", F.when(better, F.col("cost")).otherwise(F.col("__old")).alias("cost"), F.when(better, F.col("parent")).otherwise(F.col("__parent")).alias("parent"), F.coalesce(better, F.lit(False)).alias("__new")).checkpoint()
-        best, frontier = merged.drop("__new"), merged.where("__new").drop("__new")
+        reached = least(reached if within is None else reached.where(within))
+        known = best.groupBy("source", "node").agg(F.min("cost").alias("__old"))
+        # Only what improved is written; what is known stays a union of such tables, of which the least cost counts.
+        frontier = reached.join(known, ["source", "node"], "left").where(F.col("__old").isNull() | (F.col("cost") < F.col("__old"))).drop("__old").checkpoint()
         if frontier.isEmpty():
             break
-    return best
+        best = best.union(frontier)
+    return least(best)
 
 
 def chains(best: DataFrame, most: int) -> DataFrame:
-    """(source, node, path): the nodes from the source to each node, following parents; at most `most` long, cut at its end."""
+    """(source, node, path): the nodes from the source to each node, following parents; at most `most` long, cut at its end.
+
+    Parents must lead to a source, as those of `relax` do; a parent that is not there ends the chain.
+    """
     ready(best.sparkSession)
-    step = best.select("source", F.col("node").alias("at"), "parent")
+    # Each round joins the chains to themselves: after n rounds they are 2**n long, so a few rounds do for any length.
     t = best.select("source", "node", F.array("node").alias("path"), F.col("parent").alias("at")).checkpoint()
-    done = t.where(F.col("at").isNull())
-    while not (t := t.where(F.col("at").isNotNull())).isEmpty():
-        t = t.join(step, ["source", "at"]).select("source", "node", F.concat(F.array("at"), "path").alias("path"), F.col("parent").alias("at")).checkpoint()
-        done = done.union(t.where(F.col("at").isNull()))
-    return done.select("source", "node", F.slice("path", 1, most).alias("path"))
+    while not t.where(F.col("at").isNotNull()).isEmpty():
+        up = t.select("source", F.col("node").alias("at"), F.col("path").alias("__above"), F.col("at").alias("__next"))
+        t = t.join(up, ["source", "at"], "left").select("source", "node", F.concat(F.coalesce("__above", F.array().cast("array<long>")), "path").alias("path"), F.col("__next").alias("at")).checkpoint()
+    return t.select("source", "node", F.slice("path", 1, most).alias("path"))

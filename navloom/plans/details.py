@@ -9,9 +9,9 @@ from navloom.operators import mesh as m
 from navloom.operators.polygons import corners, edge_distances
 from navloom.plans.base import query, r6
 from navloom.plans.geometry import _EDGES, _QUAD, on_cells
-from navloom.plans.mesh import _AT, _WALL, at_cells
+from navloom.plans.mesh import _AT, WALL, WORLD, at_cells
 from navloom.session import table
-from navloom.sources.world import polys
+from navloom.sources.world import mesh, polys
 
 # Two detail triangles a cell, over its moved corners, with heights by corner.
 _TRIS = f"""{_EDGES}, base AS (SELECT DISTINCT event_id, px, pz, pid FROM k),
@@ -59,13 +59,13 @@ def detail_edges(spark, d):
 
 
 @query(
-    f"WITH {_AT}, {_WALL}, n AS (SELECT event_id, pid, e, ax, az, bx, bz, px, pz, greatest(0.0, least(1.0, ((bx-ax)*(px-ax)+(bz-az)*(pz-az)) / ((bx-ax)*(bx-ax)+(bz-az)*(bz-az))::DOUBLE)) AS t FROM at_ JOIN wall ON px BETWEEN least(ax, bx) - 1.5 AND greatest(ax, bx) + 1.5 AND pz BETWEEN least(az, bz) - 1.5 AND greatest(az, bz) + 1.5), "
-    "x AS (SELECT event_id, pid, e, (ax+t*(bx-ax)-px)*(ax+t*(bx-ax)-px) + (az+t*(bz-az)-pz)*(az+t*(bz-az)-pz) AS dd FROM n) SELECT event_id, round(sqrt(min(dd)), 6) AS wall_dist FROM x WHERE dd <= 2.25 GROUP BY 1",
-    ("points", "polys"),
+    f"WITH {_AT}, {WALL}, n AS (SELECT event_id, ref, edge, ax, az, bx, bz, px, pz, greatest(0.0, least(1.0, ((bx-ax)*(px-ax)+(bz-az)*(pz-az)) / ((bx-ax)*(bx-ax)+(bz-az)*(bz-az))::DOUBLE)) AS t FROM at_ JOIN wall ON px BETWEEN least(ax, bx) - 1.5 AND greatest(ax, bx) + 1.5 AND pz BETWEEN least(az, bz) - 1.5 AND greatest(az, bz) + 1.5), "
+    "x AS (SELECT event_id, ref, edge, (ax+t*(bx-ax)-px)*(ax+t*(bx-ax)-px) + (az+t*(bz-az)-pz)*(az+t*(bz-az)-pz) AS dd FROM n) SELECT event_id, round(sqrt(min(dd)), 6) AS wall_dist FROM x WHERE dd <= 2.25 GROUP BY 1",
+    WORLD,
 )
 def distance_to_wall(spark, d):
-    p = polys(spark, d).where("ptype = 0")
-    walls = m.wall_segments(p, m.all_links(p, climb=1.5))
+    p = mesh(spark, d)
+    walls = m.wall_segments(p, m.all_links(p)).withColumnRenamed("ref", "pid")
     return dt.distance_to_wall(at_cells(spark, d), walls, 1.5).select("event_id", F.round("wall_dist", 6).alias("wall_dist"))
 
 

@@ -11,10 +11,10 @@ from navloom.functions import geometry as g
 from navloom.operators import mesh as m
 from navloom.operators import search, store
 from navloom.plans.base import query
-from navloom.plans.mesh import _INNER, _PORTAL
+from navloom.plans.mesh import LINKS
 from navloom.plans.tiles import nav_tiles
 from navloom.session import ready, table
-from navloom.sources.world import polys, width
+from navloom.sources.world import mesh, width
 
 _WAY = """way AS (SELECT o_custkey AS path_id, o_orderkey AS seq, o_orderkey * 7919 % 34133 / 10.0 AS x, o_totalprice / 1000 AS y, o_orderkey * 104729 % 34133 / 10.0 AS z FROM orders)"""
 
@@ -106,53 +106,56 @@ def byte_diff(spark, d):
     return store.differences(a, b, ["doc_id"])
 
 
-_LINKS = f"{_INNER}, {_PORTAL}, l AS (SELECT src, dst, 1.0 + p.area AS cost FROM (SELECT src, dst FROM inner_ UNION ALL SELECT src, dst FROM portal) JOIN polys p ON p.pid = dst)"
+_COSTED = f"{LINKS}, l AS (SELECT DISTINCT src, dst, 1.0 + p.area AS cost FROM links JOIN mesh p ON p.ref = dst)"
 
 
 def costed_links(spark, d) -> DataFrame:
-    p = polys(spark, d)
-    links = m.all_links(p.where("ptype = 0"), climb=1.5)
-    return links.join(p.select(F.col("pid").alias("dst"), "area"), "dst").select("src", "dst", (F.col("area") + 1.0).alias("cost"))
+    p = mesh(spark, d)
+    links = m.all_links(p)
+    return links.join(p.select(F.col("ref").alias("dst"), "area"), "dst").select("src", "dst", (F.col("area") + 1.0).alias("cost"))
 
 
-def _corners(spark, d) -> DataFrame:
-    p = polys(spark, d).where("ptype = 0 AND q % 8 = 0 AND r % 8 = 0")
-    return p.select(F.col("pid").alias("source"), F.col("pid").alias("node"))
+def _everywhere(spark, d) -> DataFrame:
+    return mesh(spark, d).select(F.col("ref").alias("source"), F.col("ref").alias("node"))
 
 
-_START = "SELECT pid AS source, pid AS node, 0.0::DOUBLE AS cost, 0 AS n FROM polys WHERE ptype = 0 AND q % 8 = 0 AND r % 8 = 0"
+_START = "SELECT ref AS source, ref AS node, 0.0::DOUBLE AS cost FROM mesh"
+_FAR = 4.0
 
 
-@query(f"WITH RECURSIVE {{world}}, {_LINKS}, t AS ({_START} UNION SELECT source, dst, t.cost + l.cost, n + 1 FROM t JOIN l ON src = node WHERE n < 6) SELECT source, node, min(cost) AS cost FROM t GROUP BY 1, 2", ("polys",))
+@query(f"WITH RECURSIVE {{world}}, {_COSTED}, t AS ({_START} UNION SELECT source, dst, t.cost + l.cost FROM t JOIN l ON src = node WHERE t.cost + l.cost <= {_FAR}) SELECT source, node, min(cost) AS cost FROM t GROUP BY 1, 2", ("polys", "mesh"))
 def dijkstra_bounded(spark, d):
-    return search.relax(costed_links(spark, d), _corners(spark, d), 6).select("source", "node", "cost")
+    """What can be reached from every polygon at a cost of at most four, and at what cost."""
+    return search.relax(costed_links(spark, d), _everywhere(spark, d), 64, F.col("cost") <= _FAR).select("source", "node", "cost")
 
 
-@query(f"WITH RECURSIVE {{world}}, {_LINKS}, t AS ({_START} UNION SELECT source, dst, t.cost + l.cost, n + 1 FROM t JOIN l ON src = node, size WHERE n < 6 AND pow(dst % w - source % w, 2) + pow(dst // w - source // w, 2) <= 10.0) SELECT source, node, min(cost) AS cost FROM t GROUP BY 1, 2", ("polys",))
+@query(f"WITH RECURSIVE {{world}}, {_COSTED}, t AS ({_START} UNION SELECT source, dst, t.cost + l.cost FROM t JOIN l ON src = node, size WHERE t.cost + l.cost <= 5.0 AND pow((dst // 2) % w - (source // 2) % w, 2) + pow((dst // 2) // w - (source // 2) // w, 2) <= 4.0) SELECT source, node, min(cost) AS cost FROM t GROUP BY 1, 2", ("polys", "mesh"))
 def polygons_around(spark, d):
-    """Polygons that can be reached inside a circle around the source, and at what cost."""
+    """Polygons that can be reached inside a circle around the source at a cost of at most five, and at what cost."""
     w = width(spark, d)
-    row = lambda c: F.floor(F.col(c) / w)
-    near = g.sqr((F.col("node") % w - F.col("source") % w).cast("double")) + g.sqr((row("node") - row("source")).cast("double")) <= 10.0
-    return search.relax(costed_links(spark, d), _corners(spark, d), 6, near).select("source", "node", "cost")
+    cell = lambda c: F.floor(F.col(c) / 2)
+    row = lambda c: F.floor(cell(c) / w)
+    near = g.sqr((cell("node") % w - cell("source") % w).cast("double")) + g.sqr((row("node") - row("source")).cast("double")) <= 4.0
+    return search.relax(costed_links(spark, d), _everywhere(spark, d), 64, near & (F.col("cost") <= 5.0)).select("source", "node", "cost")
 
 
-@query(f"WITH RECURSIVE {{world}}, {_LINKS}, t AS (SELECT pid AS source, pid AS node, 0 AS n FROM polys WHERE ptype = 0 UNION SELECT source, dst, n + 1 FROM t JOIN l ON src = node WHERE n < 3) SELECT source, node, min(n)::DOUBLE AS hops FROM t GROUP BY 1, 2", ("polys",))
+@query(f"WITH RECURSIVE {{world}}, {_COSTED}, t AS (SELECT ref AS source, ref AS node, 0 AS n FROM mesh UNION SELECT source, dst, n + 1 FROM t JOIN l ON src = node WHERE n < 3) SELECT source, node, min(n)::DOUBLE AS hops FROM t GROUP BY 1, 2", ("polys", "mesh"))
 def reachability(spark, d):
-    p = polys(spark, d).where("ptype = 0").select(F.col("pid").alias("source"), F.col("pid").alias("node"))
     links = costed_links(spark, d).select("src", "dst", F.lit(1.0).alias("cost"))
-    return search.relax(links, p, 3).select("source", "node", F.col("cost").alias("hops"))
+    return search.relax(links, _everywhere(spark, d), 3).select("source", "node", F.col("cost").alias("hops"))
 
 
-@query(f"WITH RECURSIVE {{world}}, {_LINKS}, t AS ({_START} UNION SELECT source, dst, t.cost + l.cost, n + 1 FROM t JOIN l ON src = node WHERE n < 6) SELECT source, node, min(cost) AS cost, true AS ok FROM t GROUP BY 1, 2", ("polys",))
+@query(f"WITH RECURSIVE {{world}}, {_COSTED}, t AS ({_START} UNION SELECT source, dst, t.cost + l.cost FROM t JOIN l ON src = node WHERE t.cost + l.cost <= {_FAR}) SELECT source, node, source AS first, node AS last, min(cost) AS cost FROM t GROUP BY 1, 2", ("polys", "mesh"))
 def path_chain(spark, d):
-    """ok: the chain of parents leads from the source to the node and costs no more than the search says (a parent may have improved later)."""
-    best = search.relax(costed_links(spark, d), _corners(spark, d), 6).checkpoint()
-    steps = search.chains(best, 4096).select("source", "node", F.col("path")[0].alias("first"), F.explode("path").alias("pid"))
-    area = polys(spark, d).select("pid", "area")
-    cost = steps.join(area, "pid").groupBy("source", "node", "first").agg(F.sum(F.when(F.col("pid") != F.col("source"), F.col("area") + 1.0).otherwise(0.0)).alias("chain"))
-    both = best.join(cost, ["source", "node"], "left")
-    return both.select("source", "node", "cost", F.coalesce((F.col("first") == F.col("source")) & (F.col("chain") <= F.col("cost")), F.lit(False)).alias("ok"))
+    """The chain of parents from every polygon to all that it reaches at a cost of at most four: its ends, and what it costs step by step."""
+    best = search.relax(costed_links(spark, d), _everywhere(spark, d), 64, F.col("cost") <= _FAR)
+    chain = search.chains(best, 4096).select("source", "node", F.col("path")[0].alias("first"), F.element_at("path", -1).alias("last"), F.posexplode("path").alias("n", "ref"))
+    step = Window.partitionBy("source", "node").orderBy("n")
+    links = costed_links(spark, d).groupBy("src", "dst").agg(F.min("cost").alias("step"))
+    steps = chain.withColumn("src", F.lag("ref").over(step)).join(links.withColumnRenamed("dst", "ref"), ["src", "ref"], "left")
+    # A step without a link would leave the cost null.
+    total = F.sum(F.when(F.col("n") > 0, F.col("step")).otherwise(0.0))
+    return steps.groupBy("source", "node", "first", "last").agg(F.when(F.count_if((F.col("n") > 0) & F.col("step").isNull()) == 0, total).alias("cost"))
 
 
 @query("SELECT 1::BIGINT AS map_id, tx, ty, octet_length(encode(repeat(chr((65 + tx % 26)::INT), (ty + 1)::INT)))::BIGINT AS size, sha256(repeat(chr((65 + tx % 26)::INT), (ty + 1)::INT)) AS digest FROM (SELECT DISTINCT (p_partkey * 7) % 64 AS tx, (p_partkey * 13 + p_size) % 64 AS ty FROM part)")

@@ -11,47 +11,38 @@ from navloom.operators.filters import RouteFilter
 from navloom.operators.routes import rays, routes
 from navloom.plans.base import query, r6
 from navloom.session import table
-from navloom.sources.world import polys, width
+from navloom.sources.world import mesh, width
 
 RULES = RouteFilter(include=0xFFFF, exclude=1 << 12, area_cost={1: 1.5, 2: 2.0})
+TILE = (0.0, 0.0, 8.0)
 
 
-def mesh_polys(spark, d) -> DataFrame:
-    """The lattice as flat polygons at height 0, corners in order."""
-    q, r = F.col("q").cast("double"), F.col("r").cast("double")
-    at = lambda x, z: F.struct(x.alias("x"), F.lit(0.0).alias("y"), z.alias("z"))
-    p = polys(spark, d).where("ptype = 0")
-    return p.withColumn("corners", F.array(at(q, r), at(q, r + 1), at(q + 1, r + 1), at(q + 1, r)))
-
-
-def mesh_links(spark, d) -> DataFrame:
-    """Links of the lattice: inside tiles, and across all four borders of tiles where both cells are there."""
-    p = polys(spark, d).where("ptype = 0")
-    inner = m.internal_links(p)
-    across = F.inline(F.array(*(F.struct(F.lit(e).cast("long").alias("edge"), F.lit(s).cast("long").alias("side"), F.lit(dq).cast("long").alias("dq"), F.lit(dr).cast("long").alias("dr")) for (e, dq, dr), s in zip(m.ACROSS, (4, 2, 0, 6), strict=True))))
-    own = p.select(F.col("pid").alias("src"), "q", "r", across).select("src", "edge", "side", (F.col("q") + F.col("dq")).alias("q"), (F.col("r") + F.col("dr")).alias("r"), F.floor(F.col("q") / m.TILE).alias("tq"), F.floor(F.col("r") / m.TILE).alias("tr"))
-    own = own.where((F.floor(F.col("q") / m.TILE) != F.col("tq")) | (F.floor(F.col("r") / m.TILE) != F.col("tr")))
-    outer = own.join(p.select(F.col("pid").alias("dst"), "q", "r"), ["q", "r"]).select("src", "dst", "edge", "side")
-    return inner.union(outer).withColumns({"bmin": F.lit(0).cast("long"), "bmax": F.lit(255).cast("long")})
-
-
-def od_pairs(spark, d) -> DataFrame:
-    """(pair_id, sp, sx, sy, sz, gp, gx, gy, gz) of all orders: from the customer's cell to one at most twelve cells away, by customer and day of the month."""
+def requests(spark, d) -> DataFrame:
+    """(pair_id, sx, sz, gx, gz) of all orders: from the customer's cell to one at most twelve cells away, by customer and day of the month, and for every 64th order to a cell anywhere."""
     w = width(spark, d)
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("pair_id"), F.col("o_custkey").alias("c"), F.dayofmonth("o_orderdate").alias("day"))
-    a, shift = F.col("c") * 7 % (w * w), F.col("c") * 13 + F.col("day")
+    a, shift, far = F.col("c") * 7 % (w * w), F.col("c") * 13 + F.col("day"), F.col("c") * 31 + F.col("day") * 97
     near = lambda c, f: g.clamp(F.col(c) + (shift * f) % 25 - 12, F.lit(0).cast("long"), F.lit(w - 1).cast("long"))
-    o = o.select("pair_id", "c", "day", (a % w).alias("aq"), F.floor(a / w).cast("long").alias("ar"))
-    o = o.select("pair_id", "aq", "ar", near("aq", 1).alias("bq"), near("ar", 7).alias("br"))
+    end = lambda c, f: F.when(F.col("pair_id") % 64 == 0, far * f % w).otherwise(near(c, f))
+    o = o.select("pair_id", "c", "day", (a % w).alias("aq"), F.floor(a / w).cast("long").alias("ar")).select("pair_id", "aq", "ar", end("aq", 1).alias("bq"), end("ar", 7).alias("br"))
     inner = lambda c, k: (F.col(c) + 0.25 + (F.col(k) % 3) / 8.0).cast("double")
-    o = o.select("pair_id", (F.col("ar") * w + F.col("aq")).alias("a"), (F.col("br") * w + F.col("bq")).alias("b"), inner("aq", "ar").alias("sx"), F.lit(0.0).alias("sy"), inner("ar", "aq").alias("sz"), inner("bq", "br").alias("gx"), F.lit(0.0).alias("gy"), inner("br", "bq").alias("gz"))
-    p = polys(spark, d).where((F.col("ptype") == 0) & RULES.passes()).select("pid")
-    o = o.join(p.select(F.col("pid").alias("sp")), F.col("a") == F.col("sp"), "left").join(p.select(F.col("pid").alias("gp")), F.col("b") == F.col("gp"), "left")
+    return o.select("pair_id", inner("aq", "ar").alias("sx"), inner("ar", "aq").alias("sz"), inner("bq", "br").alias("gx"), inner("br", "bq").alias("gz"))
+
+
+def od_pairs(spark, d) -> DataFrame:
+    """(pair_id, sp, sx, sy, sz, gp, gx, gy, gz): the requests with both ends on the nearest polygon that passes."""
+    o = requests(spark, d)
+    ends = o.select(F.col("sx").alias("px"), F.col("sz").alias("pz")).union(o.select("gx", "gz")).distinct().withColumn("py", F.lit(1.0))
+    near = m.nearest_polygon(ends, mesh(spark, d).where(RULES.passes()), (0.3, 4.0, 0.3), climb=0.5, by=("px", "pz")).checkpoint()
+    for p, x, z in (("s", "sx", "sz"), ("g", "gx", "gz")):
+        own = near.select(F.col("px").alias(x), F.col("pz").alias(z), F.col("ref").alias(f"{p}p"), F.col("x").alias(f"__{x}"), F.col("y").alias(f"{p}y"), F.col("z").alias(f"__{z}"))
+        o = o.join(own, [x, z], "left").withColumns({x: F.coalesce(f"__{x}", x), z: F.coalesce(f"__{z}", z)}).drop(f"__{x}", f"__{z}")
     return o.select("pair_id", "sp", "sx", "sy", "sz", "gp", "gx", "gy", "gz")
 
 
-def _routes(spark, d) -> DataFrame:
-    return routes(od_pairs(spark, d), mesh_polys(spark, d), mesh_links(spark, d), RULES)
+def _routes(spark, d, pairs: DataFrame | None = None) -> DataFrame:
+    p = mesh(spark, d)
+    return routes(od_pairs(spark, d) if pairs is None else pairs, p, m.all_links(p), RULES, TILE)
 
 
 @query()
@@ -70,7 +61,8 @@ def route_path(spark, d):
 @query()
 def ray(spark, d):
     """How far one can walk straight towards the destination."""
-    t = rays(od_pairs(spark, d), mesh_polys(spark, d), mesh_links(spark, d), RULES)
+    p = mesh(spark, d)
+    t = rays(od_pairs(spark, d), p, m.all_links(p), RULES, TILE)
     return t.select("pair_id", F.round("t", 6).alias("t"), "hit", "n_polygons", F.round("cost", 6).alias("cost"))
 
 
@@ -79,4 +71,4 @@ def stream_routes(spark, d):
     """Routes of all pairs as a stream of requests, run to its end: the same as the batch."""
     from navloom.streaming.requests import run_to_end
 
-    return run_to_end(spark, od_pairs(spark, d), lambda batch: routes(batch, mesh_polys(spark, d), mesh_links(spark, d), RULES).select("pair_id", r6(F.col("distance")).alias("distance"), "is_partial"))
+    return run_to_end(spark, od_pairs(spark, d), lambda batch: _routes(spark, d, batch).select("pair_id", r6(F.col("distance")).alias("distance"), "is_partial"))

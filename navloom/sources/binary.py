@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navloom.functions import geometry as g
+from navloom.operators.mesh import all_links
 from navloom.session import ready
 
 # Fixed values of the formats: magic numbers, versions, record layouts.
@@ -32,7 +32,6 @@ DETAIL = np.dtype([("vert_base", "<u4"), ("tri_base", "<u4"), ("verts", "u1"), (
 NODE = np.dtype([("bmin", "<u2", 3), ("bmax", "<u2", 3), ("i", "<i4")])
 OFFMESH = np.dtype([("pos", "<f4", 6), ("rad", "<f4"), ("poly", "<u2"), ("flags", "u1"), ("side", "u1"), ("user", "<u4")])
 LINK_BYTES = 16
-PORTAL = 0x8000
 TERRAIN_MAGIC, TERRAIN_VERSION, HEIGHT_MAGIC = 0x5350414D, 0x342E3173, 0x5447484D
 FLAT, AS_U16, AS_U8 = 1, 2, 4
 MASKS = 256
@@ -229,36 +228,20 @@ def terrain(spark: SparkSession, folder: str, glob: str = "*.map") -> DataFrame:
 # --- links between decoded tiles --------------------------------------------------------------
 
 
-def tile_links(polys: DataFrame, margin: float = 0.01, most: int = 4) -> DataFrame:
-    """(map_id, src, dst, edge, side, bmin, bmax) between decoded polygons; src and dst are structs (x, y, layer, pid).
-
-    Inside a tile a neighbour is its number plus one. A border edge looks for edges of the tile on its
-    side that look back, at the same coordinate and with overlapping slabs: an equi-join on the tile
-    and side, the rest as residuals. An edge has at most `most` such neighbours, first by number.
-    """
-    from pyspark.sql import Window
-
-    ref = lambda p="": F.struct(*(F.col(f"{p}{n}").alias(n) for n in ("x", "y", "layer", "pid")))
-    e = polys.where("ptype = 0").select("map_id", "x", "y", "layer", "pid", "climb", "corners", F.posexplode("neis").alias("edge", "nei")).where("nei <> 0")
-    at = lambda i: F.element_at("corners", (i % F.size("corners") + 1).cast("int"))
-    e = e.select("map_id", "x", "y", "layer", "pid", "climb", "edge", "nei", at(F.col("edge")).alias("a"), at(F.col("edge") + 1).alias("b"))
-    inner = e.where(F.col("nei").bitwiseAND(PORTAL) == 0).select("map_id", ref().alias("src"), F.struct("x", "y", "layer", (F.col("nei") - 1).cast("long").alias("pid")).alias("dst"), F.col("edge").cast("long").alias("edge"), F.lit(255).cast("long").alias("side"), F.lit(0).cast("long").alias("bmin"), F.lit(255).cast("long").alias("bmax"))
-    o = e.where(F.col("nei").bitwiseAND(PORTAL) != 0).withColumn("side", F.col("nei").bitwiseAND(0xFF).cast("long"))
-    dx = F.element_at(F.array(*(F.lit(s[1]) for s in g.SIDES)), (F.col("side") + 1).cast("int"))
-    dy = F.element_at(F.array(*(F.lit(s[2]) for s in g.SIDES)), (F.col("side") + 1).cast("int"))
-    along_z = F.col("side").isin(0, 4)
-    low_first = F.when(along_z, F.col("a.z") < F.col("b.z")).otherwise(F.col("a.x") < F.col("b.x"))
-    p, q = F.when(low_first, F.col("a")).otherwise(F.col("b")), F.when(low_first, F.col("b")).otherwise(F.col("a"))
-    u = lambda v: F.when(along_z, v["z"]).otherwise(v["x"])
-    o = o.select("map_id", "x", "y", "layer", "pid", "climb", F.col("edge").cast("long").alias("edge"), "side", F.when(along_z, F.col("a.x")).otherwise(F.col("a.z")).alias("at"), u(p).alias("u0"), p["y"].alias("y0"), u(q).alias("u1"), q["y"].alias("y1"), low_first.alias("forward"), (F.col("x") + dx).cast("long").alias("nx"), (F.col("y") + dy).cast("long").alias("ny"), g.opposite("side").alias("back"))
-    t = o.select(*(F.col(c).alias(f"t_{c}") for c in ("map_id", "x", "y", "layer", "pid", "side", "at", "u0", "y0", "u1", "y1")))
-    on = (F.col("map_id") == F.col("t_map_id")) & (F.col("nx") == F.col("t_x")) & (F.col("ny") == F.col("t_y")) & (F.col("back") == F.col("t_side"))
-    met = o.join(t, on).where(F.abs(F.col("at") - F.col("t_at")) <= margin).where(g.slabs_meet(("u0", "y0", "u1", "y1"), ("t_u0", "t_y0", "t_u1", "t_y1"), F.col("climb"), margin))
-    n = F.row_number().over(Window.partitionBy("map_id", "x", "y", "layer", "pid", "edge").orderBy("t_layer", "t_pid"))
-    span = F.col("u1") - F.col("u0")
-    share = lambda v: F.try_divide(v - F.col("u0"), span)
-    t0, t1 = share(F.greatest("u0", "t_u0")), share(F.least("u1", "t_u1"))
-    low, high = F.when(F.col("forward"), t0).otherwise(1 - t1), F.when(F.col("forward"), t1).otherwise(1 - t0)
-    met = met.withColumn("n", n).where(F.col("n") <= most)
-    outer = met.select("map_id", ref().alias("src"), ref("t_").alias("dst"), "edge", "side", g.portal_byte(low).alias("bmin"), g.portal_byte(high).alias("bmax"))
-    return inner.union(outer)
+def tile_links(polys: DataFrame) -> DataFrame:
+    """(map_id, src, dst, edge, side, bmin, bmax) between decoded polygons; src and dst are structs (x, y, layer, pid)."""
+    return all_links(polys.withColumn("ref", F.struct("x", "y", "layer", "pid")).withColumn("idx", F.col("pid")))
+
+
+NODES = "map_id long, x long, y long, layer long, bmin array<int>, bmax array<int>, i long"
+
+
+def _node_rows(m: int, t: dict) -> Iterator[tuple]:
+    h = t["header"]
+    for n in t["nodes"]:
+        yield m, int(h["x"]), int(h["y"]), int(h["layer"]), n["bmin"].astype(int).tolist(), n["bmax"].astype(int).tolist(), int(n["i"])
+
+
+def nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """NODES of all mesh tile files: the box tree in pre-order; i is the polygon of a leaf, or minus how many nodes to skip."""
+    return _tiles(spark, folder, NODES, _node_rows, [_I] * 4 + [pa.list_(pa.int32())] * 2 + [_I])

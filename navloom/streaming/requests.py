@@ -27,11 +27,11 @@ def answer_requests(requests: DataFrame, operator: Operator, out: str, state: st
     return requests.writeStream.foreachBatch(answer).option("checkpointLocation", state).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def run_to_end(spark: SparkSession, requests: DataFrame, operator: Operator, files_a_batch: int = 2) -> DataFrame:
-    """Write a table of requests as files in the shared folder, stream them in micro-batches to the end, and read the answers."""
+def run_to_end(spark: SparkSession, requests: DataFrame, operator: Operator, files: int = 4, files_a_batch: int = 2) -> DataFrame:
+    """Write a table of requests as `files` files in the shared folder, stream them in micro-batches to the end, and read the answers."""
     ready(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/requests-{uuid.uuid4().hex}"
-    requests.repartition(4, "pair_id").write.parquet(f"{base}/in")
+    requests.repartition(files, "pair_id").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", files_a_batch).parquet(f"{base}/in")
     query = answer_requests(stream, operator, f"{base}/out", f"{base}/state")
     query.awaitTermination()
@@ -39,7 +39,7 @@ def run_to_end(spark: SparkSession, requests: DataFrame, operator: Operator, fil
 
 
 def grow_mesh(arrivals: DataFrame, links_of: Operator, out: str, state: str) -> StreamingQuery:
-    """Append the links that each micro-batch of arriving tiles brings; `links_of` maps new tiles (tq, tr) to links."""
+    """Append the links that each micro-batch of arriving tiles brings; `links_of` maps new tiles (x, y) to links."""
 
     def append(batch: DataFrame, number: int) -> None:
         links_of(batch.distinct()).write.mode("overwrite").parquet(f"{out}/batch={number}")

@@ -19,7 +19,7 @@ def test_entry_has_rows_and_stream_equals_batch(spark):
     assert batch and batch == stream
 
 
-@pytest.mark.parametrize("name", ["box_query", "nearest_poly", "link_portal", "terrain_f32", "tile_load"])
+@pytest.mark.parametrize("name", ["box_query", "tree_query", "nearest_poly", "link_portal", "offmesh_links", "terrain_f32", "tile_load"])
 def test_no_nested_loops(name, spark):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -6,14 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from navloom.operators import kernel, search, store
 from navloom.operators import mesh as m
-from navloom.operators import search, store
-from navloom.operators.routes import routes
+from navloom.operators.routes import build_mesh, rays, routes
 from navloom.operators.terrain import heights
-from navloom.plans.mesh import polys
-from navloom.plans.routes import mesh_links, mesh_polys, od_pairs
+from navloom.plans.routes import od_pairs
 from navloom.sources import binary as b
 from navloom.sources import blobs, workload
+from navloom.sources.world import mesh
 from navloom.streaming.requests import grow_mesh
 from tests.conftest import SF
 
@@ -131,71 +131,54 @@ def test_workload(spark, tmp_path):
 
 
 def test_growing_mesh_equals_whole(spark, tmp_path):
-    p = polys(spark, SF).where("ptype = 0").cache()
-    tiles = [(q, r) for q in range(2) for r in range(2)]
-    for n, some in enumerate((tiles[:2], tiles[2:])):
-        spark.createDataFrame(some, "tq long, tr long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    p = mesh(spark, SF).cache()
+    tiles = sorted(tuple(r) for r in p.select("x", "y").distinct().collect())
+    for some in (tiles[:2], tiles[2:]):
+        spark.createDataFrame(some, "x long, y long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     seen: list = []
 
     def links_of(new):
         seen.extend(tuple(r) for r in new.collect())
-        there = spark.createDataFrame(seen, "tq long, tr long")
-        known = p.withColumns({"tq": F.floor(F.col("q") / 8), "tr": F.floor(F.col("r") / 8)}).join(there, ["tq", "tr"], "left_semi").drop("tq", "tr")
-        return m.links_of_new_tiles(known, new, 1.5)
+        return m.links_of_new_tiles(p.join(spark.createDataFrame(seen, "x long, y long"), ["x", "y"], "left_semi"), new)
 
-    stream = spark.readStream.schema("tq long, tr long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("x long, y long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     grow_mesh(stream, links_of, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("src", "dst", "edge", "side").collect()}
-    assert got == {tuple(r) for r in m.all_links(p, 1.5).select("src", "dst", "edge", "side").collect()}
-
-
-def test_routes_by_map_equal_broadcast(spark):
-    pairs, p, links = od_pairs(spark, SF).limit(60).cache(), mesh_polys(spark, SF), mesh_links(spark, SF)
+    assert len(tiles) > 2 and got == {tuple(r) for r in m.all_links(p).select("src", "dst", "edge", "side").collect()}
+
+
+def test_routes_by_blocks_equal_one_search_each(spark):
+    """Blocks, lots and maps change where a pair is searched, not the result; the rectangle keeps a route to its tiles."""
+    pairs, p = od_pairs(spark, SF).limit(80).cache(), mesh(spark, SF).cache()
+    links = m.all_links(p).cache()
+    own = build_mesh(p.select("ref", "corners", "flags", "area", "ptype", "x", "y").toArrow(), links.toArrow())
+    for tile, padding in ((None, 0), ((0.0, 0.0, 8.0), 0), ((0.0, 0.0, 8.0), 1)):
+        expected = {}
+        for r in pairs.collect():
+            if r["sp"] is None or r["gp"] is None:
+                expected[r["pair_id"]] = -1.0
+                continue
+            x, z = sorted((r["sx"] // 8, r["gx"] // 8)), sorted((r["sz"] // 8, r["gz"] // 8))
+            within = None if tile is None else (x[0] - padding, z[0] - padding, x[1] + padding, z[1] + padding)
+            a, b = own.index[r["sp"]], own.index[r["gp"]]
+            expected[r["pair_id"]] = kernel.route(own, a, b, (r["sx"], r["sy"], r["sz"]), (r["gx"], r["gy"], r["gz"]), kernel.Filter(), within=within)[0]
+        got = {r["pair_id"]: r["distance"] for r in routes(pairs, p, links, tile=tile, padding=padding, most_pairs=7).collect()}
+        assert got == pytest.approx(expected) and len(got) == 80 and any(v > 0 for v in got.values())
     one = F.lit(7).cast("long").alias("map_id")
-    a = {r["pair_id"]: round(r["distance"], 9) for r in routes(pairs, p, links).collect()}
-    c = {r["pair_id"]: round(r["distance"], 9) for r in routes(pairs.select("*", one), p.select("*", one), links.select("*", one)).collect()}
-    assert a == c and len(a) == 60 and any(v > 0 for v in a.values())
-    with pytest.raises(ValueError):
-        routes(pairs, p, links, most_broadcast=10)
-
-
-def test_relax_against_brute_force(spark):
-    edges = [(0, 1, 4.0), (0, 2, 1.0), (2, 1, 2.0), (1, 3, 5.0), (3, 0, 1.0), (4, 5, 1.0)]
-    links = spark.createDataFrame(edges, "src long, dst long, cost double")
-    sources = spark.createDataFrame([(0, 0)], "source long, node long")
-    best = search.relax(links, sources, 10)
-    assert {r["node"]: r["cost"] for r in best.collect()} == {0: 0.0, 1: 3.0, 2: 1.0, 3: 8.0}
-    assert {r["node"]: r["path"] for r in search.chains(best, 10).collect()}[3] == [0, 2, 1, 3]
-
-
-def test_command_line_route(spark, tmp_path):
-    """Two cells of ten units joined by an edge, flat ground; world x is mesh z."""
-    from navloom.__main__ import find
-
-    big = lambda x: [(x, 0, -10), (x, 0, 0), (x + 10, 0, 0), (x + 10, 0, -10)]
-    (tmp_path / "0003232.mmtile").write_bytes(tile(0, 0, [(big(-20), [0, 0, 2, 0], 1), (big(-10), [1, 0, 0, 0], 1)]))
-    head = np.array([b.TERRAIN_MAGIC, b.TERRAIN_VERSION, 0, 0, 40, 0, 0, 0, 0, 0], "<u4")
-    (tmp_path / "0003232.map").write_bytes(head.tobytes() + np.array([b.HEIGHT_MAGIC, 1], "<u4").tobytes() + np.zeros(2, "<f4").tobytes())
-    d, way = find(spark, str(tmp_path), 0, -2.0, -18.0, -8.0, -2.0)
-    assert d == pytest.approx((36 + 256) ** 0.5) and way == [(-2.0, -18.0), (-8.0, -2.0)]
-    assert find(spark, str(tmp_path), 0, -2.0, -18.0, 20000.0, 0.0) == (-1.0, [])  # out of the world
-    assert find(spark, str(tmp_path), 0, -2.0, -18.0, 900.0, 0.0) == (-1.0, [])  # no terrain there
-    assert find(spark, str(tmp_path), 0, -2.0, -18.0, -200.0, -200.0) == (-1.0, [])  # no polygon near
-
-
-def test_sources_are_interchangeable(spark, folder, tmp_path):
-    from navloom.operators.tiles import inventory
-    from navloom.sources.protocol import FolderSource, RecordingSource, StoreSource, write_manifest
-
-    files = FolderSource(spark, folder)
-    wanted = spark.createDataFrame([(0, x, 0) for x in (0, 1, 9)], "map_id long, tx long, ty long")
-    blobs_ = files.blobs(wanted, "nav")
-    store.write_store(blobs_.withColumn("kind", F.lit("nav")), str(tmp_path / "store"))
-    kept = StoreSource(store.read_store(spark, str(tmp_path / "store")).withColumn("map_id", F.col("map_id").cast("long")), files.params())
-    assert {r["status"] for r in store.differences(blobs_, kept.blobs(wanted, "nav"), ["map_id", "tx", "ty"]).collect()} == {"equal"}
-    assert kept.params().count() == 1
-    for source in (files, kept):
-        assert {(r["tx"], r["present"]) for r in RecordingSource(source).record(wanted, "nav").collect()} == {(0, True), (1, True), (9, False)}
-    write_manifest(wanted.select(F.format_string("mmaps/%03d%02d%02d.mmtile", "map_id", "tx", "ty").alias("path")), str(tmp_path / "manifest"))
-    lines = spark.read.text(str(tmp_path / "manifest"))
-    assert {(r["kind"], r["map_id"], r["tx"], r["ty"]) for r in inventory(lines).collect()} == {("nav", 0, x, 0) for x in (0, 1, 9)}
+    two = routes(pairs.select("*", one), p.select("*", one), links.select("*", one), tile=tile, padding=padding)
+    assert {r["pair_id"]: r["distance"] for r in two.collect()} == pytest.approx(expected)
+
+
+def test_routes_and_rays_of_odd_rows(spark):
+    p = mesh(spark, SF)
+    links = m.all_links(p)
+    some = od_pairs(spark, SF).where("sp is not null and gp is not null").limit(3).cache()
+    rows = [tuple(r) for r in some.collect()]
+    odd = [rows[0], rows[0], (None, *rows[1][1:]), (7, None, *rows[1][2:]), (8, 10**12, *rows[1][2:]), (9, *rows[1][1:5], None, *rows[1][6:])]
+    pairs = spark.createDataFrame(odd, some.schema)
+    got = sorted(((r["pair_id"] or 0, r["distance"], r["n_waypoints"]) for r in routes(pairs, p, links, tile=(0.0, 0.0, 8.0)).collect()), key=str)
+    assert len(got) == 6 and sum(d == -1.0 for i, d, _ in got if i in (7, 8, 9)) == 3
+    walks = rays(pairs, p, links, tile=(0.0, 0.0, 8.0)).collect()
+    assert len(walks) == 6 and {r["t"] for r in walks if r["pair_id"] in (7, 8)} == {None}
+    nothing = routes(pairs, p.where("false"), links)
+    assert {r["distance"] for r in nothing.collect()} == {-1.0} and routes(pairs.where("false"), p, links).count() == 0
