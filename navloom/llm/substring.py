@@ -1,28 +1,32 @@
 """Substring deduplication by recompression.
 
-Rounds of recompression parse every document into phrases. Words get 64-bit names; a token run
-(neighbours with one name) is named as a run and its members keep their borders; then, round by
-round, names are split into left and right ones by one bit, and each left name followed by a right
+Rounds of recompression parse every document into phrases, level by level. Words get 64-bit names; a
+token run (neighbours with one name) is named as a run and its members keep their borders; then, round
+by round, names are split into left and right ones by one bit, and each left name followed by a right
 one becomes a pair with a new name, a hash of the two. A name is a function of what it stands for,
-so equal pairs get equal names in all documents and partitions without exchanging a dictionary, and
-equal substrings get equal phrases inside: a border between phrases after `rounds` rounds depends
-on 2**(rounds-1) + 1 words on each side, and a phrase has at most 2**rounds words.
-
-That makes the borders (anchors) a locally consistent sample of positions: every window of `size`
-words has an anchor in a middle zone, and two equal windows have it at the same place. So
-
-1. reveal: at each anchor the words around it (inside any window that has the anchor in its zone)
-   get one name; names that occur twice or more are shared. Only names with one partial count for
-   each block of documents are shuffled, so a passage in a third of all documents is one row a block;
-2. verify: a window all of whose zone anchors are shared is a candidate; its whole `size` words get
-   a 96-bit name, and equal names are compared by (doc_id, start): all but the earliest are repeats;
+so equal runs and pairs get equal names in all documents and partitions: the naming is global without
+exchanging a dictionary. Equal substrings get equal symbols inside: whether a border stands after r
+rounds depends on 2**(r-1) + 1 words on each side, and a phrase of r rounds has at most 2**r words.
+
+Every span of words is named by its symbols: the phrases of the highest level but one that lie surely
+inside (those far enough from the rim), and the words at the rims that are left. Spans with equal words
+have equal phrases there, so they have equal names; the symbols of a whole block are kept as sums, from
+which any span's name is read in one step.
+
+1. reveal: every border of the highest level (anchor) names the span around it. These names meet in a
+   Spark round that tells which are shared. Only names with one partial count for each block of documents
+   are shuffled, so a passage in a third of all documents is one row a block. Every window of `size` words
+   has an anchor in a middle zone, equal windows at the same place, and the span lies inside the window;
+2. verify: a window all of whose zone anchors are shared is a candidate; the 96-bit name of its symbols
+   and rims meets its equals in a second Spark round, and equal names are compared by (doc_id, start): all
+   but the earliest are repeats. The rims give the exact edges;
 3. cut: the words covered by a repeat are removed.
 
 Shuffled rows are packed: one row for each block or partition that sends and partition that gets.
 The texts are shuffled once, by document, for steps 2 and 3 together. Nothing is collected.
 
 Defined results: a null or empty text has no words and keeps none. Rows without an id count as one
-document after all others; rows that share an id count as one document, and of equal windows at the
+document with the largest id, 2**63 - 1, and keep their null; rows that share an id count as one document, and of equal windows at the
 same start neither is earlier, so repeated rows get the same result. Documents with fewer than
 `size` words lose nothing. An empty table gives an empty result.
 """
@@ -44,7 +48,8 @@ from navloom.session import ready, shuffle_partitions
 _ID = "__navloom_id"
 _MARKS = "__navloom_marks"
 _RUN = U64(0x5851F42D4C957F2D)
-_SECOND = 0xD1342543DE82EF95
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_LEFT, _MIDDLE, _RIGHT = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3)
 
 
 def zone(size: int) -> tuple[int, int, int]:
@@ -60,8 +65,8 @@ def zone(size: int) -> tuple[int, int, int]:
     return rounds, before, size + 1 - 2**rounds - before
 
 
-def anchors(names: np.ndarray, first: np.ndarray, rounds: int) -> np.ndarray:
-    """Positions of the phrase borders of documents whose words have these names, after `rounds` rounds."""
+def levels(names: np.ndarray, first: np.ndarray, rounds: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(start, symbol) of the phrases of documents whose words have these names, after 0, 1 ... `rounds` rounds."""
     n = len(names)
     border = np.zeros(n + 1, bool)  # never crossed: between documents and inside runs
     border[first] = True
@@ -71,30 +76,80 @@ def anchors(names: np.ndarray, first: np.ndarray, rounds: int) -> np.ndarray:
     symbols = np.where(inside[:n] | inside[1:], mix(names ^ _RUN), names)
     border |= inside
     start = np.arange(n)
+    out = [(start, names)]
     for r in range(rounds):
         left = (symbols >> U64(11 + r)) & U64(1) == 1
         pair = left[:-1] & ~left[1:] & ~border[start[1:]]
         at = np.flatnonzero(pair)
+        symbols = symbols.copy()
         symbols[at] = mix(symbols[at] * U64(0x9E3779B97F4A7C15) + symbols[at + 1] + U64(r))
         keep = np.ones(len(start), bool)
         keep[at + 1] = False
         start, symbols = start[keep], symbols[keep]
-    return start
+        out.append((start, symbols))
+    return out
+
+
+def anchors(names: np.ndarray, first: np.ndarray, rounds: int) -> np.ndarray:
+    """Positions of the phrase borders of the highest level."""
+    return levels(names, first, rounds)[-1][0]
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2**64, and of its inverse."""
+    known = _POWERS.get(base)
+    if known is None or len(known[0]) < n:
+        size = max(n, 1 << 16)
+        up = np.full(size, base, U64)
+        down = np.full(size, pow(base, -1, 1 << 64), U64)
+        up[0] = down[0] = 1
+        _POWERS[base] = known = (np.cumprod(up), np.cumprod(down))
+    return known
 
 
-def _hash_at(names: np.ndarray, at: np.ndarray, n: int, factor: int) -> np.ndarray:
-    """A hash of names[i:i+n] for each i of `at`."""
-    out = names[at]
-    for k in range(1, n):
-        out = out * U64(factor | 1) + names[at + k]
-    return mix(out)
+class Sums:
+    """Sums over a sequence of names, from which a hash of any part is read in one step."""
 
+    def __init__(self, names: np.ndarray, base: int):
+        up, self.down = _powers(base, len(names) + 1)
+        self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(names * up[: len(names)], dtype=U64)])
 
-def _parse(text: pa.Array, rounds: int) -> tuple[Words, np.ndarray, np.ndarray]:
+    def part(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """A hash of names[low:high] for each low and high; equal parts have equal hashes wherever they stand."""
+        return mix((self.sums[high] - self.sums[low]) * self.down[low] + (high - low).astype(U64))
+
+
+class Spans:
+    """Names of spans of words by the symbols of one level inside and the words at the rims."""
+
+    def __init__(self, names: np.ndarray, parsed: list[tuple[np.ndarray, np.ndarray]], base: int):
+        level = max(0, len(parsed) - 2)
+        start, symbols = parsed[level]
+        self.rim = 2 ** (level - 1) + 1 if level else 0  # borders and symbols that far inside are the span's own
+        borders = np.zeros(len(names) + 2, np.int64)
+        borders[start + 1] = 1
+        self.rank = np.cumsum(borders)  # phrases that start before a position
+        self.start = start
+        self.words, self.symbols = Sums(names, base), Sums(symbols, base)
+
+    def name(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        a, b = self.rank[low + self.rim], self.rank[high - self.rim + 1] - 1 if self.rim else self.rank[high]
+        if not self.rim:
+            return self.words.part(low, high)
+        # Spans have a border between their rims: phrases of the level are shorter than that.
+        b = np.maximum(b, a)
+        first, last = self.start[a], self.start[b]
+        return mix(self.words.part(low, first) * _LEFT + self.symbols.part(a, b) * _MIDDLE + self.words.part(last, high) * _RIGHT)
+
+
+def _parse(text: pa.Array, rounds: int) -> tuple[Words, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     data, offsets = string_buffer(text)
     words = find_words(data, offsets)
     names = hash_words(words, 5)
-    return words, names, anchors(names, words.first, rounds) if len(names) else np.zeros(0, np.int64)
+    return words, names, levels(names, words.first, rounds) if len(names) else [(np.zeros(0, np.int64), names)] * (rounds + 1)
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -171,7 +226,7 @@ def gathered(packed: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(ids[i : i + 1024]), pa.array(marks, pa.binary())], [_ID, _MARKS])
 
     parts = shuffle_partitions(packed.sparkSession)
-    return packed.repartition(parts, "part").mapInArrow(merge, f"{_ID} long, {_MARKS} binary")
+    return packed.repartitionById(parts, "part").mapInArrow(merge, f"{_ID} long, {_MARKS} binary")
 
 
 def _marked(column: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,6 +243,11 @@ def _marked(column: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(places), np.concatenate(checks)
 
 
+def _check(names: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """16 bits of the words of each window, by which a mark is told from those of other rows with its id."""
+    return Sums(names, _BASES[1]).part(at, at + size) & U64(0xFFFF)
+
+
 def _starts(doc_of: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
     return at - first[doc_of[at]]
 
@@ -195,7 +255,7 @@ def _starts(doc_of: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray
 def repeats(docs: DataFrame, size: int) -> DataFrame:
     """(_ID, marks): for each document with repeats, the packed starts of its repeated windows.
 
-    docs: (_ID, text), already partitioned by _ID for the second step.
+    docs: (_ID, text) and other columns; the second step shuffles them by _ID.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
@@ -203,12 +263,12 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
 
     def reveal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            words, names, at = _parse(block.column(1), rounds)
-            doc_of = words.doc
+            words, names, parsed = _parse(block.column(1), rounds)
+            doc_of, at = words.doc, parsed[-1][0]
             at = at[(at >= words.first[doc_of[at]] + before) & (at + after <= words.first[1:][doc_of[at]])] if len(at) else at
             if not len(at):
                 continue
-            key = _hash_at(names, at - before, before + after, 0x9E3779B97F4A7C15)
+            key = Spans(names, parsed, _BASES[0]).name(at - before, at + after)
             ids, starts = np.asarray(block.column(0))[doc_of[at]], _starts(doc_of, words.first, at)
             _, one, back, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
             rows = list(_by_part((mix(key[one]) % U64(parts)).astype(np.int32), parts, ids[one], starts[one], [key[one].astype(np.uint32), (key[one] >> U64(32)).astype(np.uint8)]))
@@ -238,10 +298,10 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            words, names, at = _parse(block.column(1), rounds)
+            words, names, parsed = _parse(block.column(1), rounds)
             if len(names) < size:
                 continue
-            doc_of = words.doc
+            doc_of, at = words.doc, parsed[-1][0]
             missing = np.zeros(len(names) + 1, np.int64)
             missing[at] = 1
             missing[_marked(block.column(2), words.first)[0]] = 0
@@ -251,7 +311,8 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
             p = p[whole & (missing[p + size - after + 1] == missing[p + before])]
             if not len(p):
                 continue
-            one, two = _hash_at(names, p, size, 0x9E3779B97F4A7C15), _hash_at(names, p, size, _SECOND).astype(np.uint32)
+            one, two = (Spans(names, parsed, base).name(p, p + size) for base in _BASES)
+            one, two = (one & ~U64(0xFFFF)) | _check(names, p, size), two.astype(np.uint32)
             doc, start = np.asarray(block.column(0))[doc_of[p]], _starts(doc_of, words.first, p)
             lead, later = _earliest(one, two, doc, start)
             rows = list(_by_part((mix(one[lead]) % U64(parts)).astype(np.int32), parts, doc[lead], start[lead], [one[lead], two[lead]]))
@@ -273,9 +334,10 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
             if len(later):
                 yield _packed(_marks(parts, doc[later], start[later], one[later]))
 
-    found = docs.select(_ID, "text").mapInArrow(reveal, _PACKED).repartition(parts, "part").mapInArrow(shared, _PACKED)
-    marked = by_document(docs.select(_ID, "text")).join(gathered(found).hint("shuffle_hash"), _ID)
-    return gathered(marked.select(_ID, "text", _MARKS).mapInArrow(windows, _PACKED).repartition(parts, "part").mapInArrow(compare, _PACKED))
+    found = docs.select(_ID, "text").mapInArrow(reveal, _PACKED).repartitionById(parts, "part").mapInArrow(shared, _PACKED)
+    # All columns go along, so that the cut reads the same shuffled texts.
+    marked = by_document(docs).join(gathered(found).hint("shuffle_hash"), _ID)
+    return gathered(marked.select(_ID, "text", _MARKS, *(c for c in docs.columns if c not in (_ID, "text"))).mapInArrow(windows, _PACKED).repartitionById(parts, "part").mapInArrow(compare, _PACKED))
 
 
 def by_document(docs: DataFrame) -> DataFrame:
@@ -301,9 +363,8 @@ def substring_dedup(docs: DataFrame, size: int = 20) -> DataFrame:
     ready(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed", "kept")
     names = docs.columns
-    docs = docs.withColumn(_ID, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
-    pairs = docs.select(_ID, F.col("text").cast("string").alias("text"))
-    marks = repeats(pairs, size)
+    docs = docs.withColumns({_ID: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "text": F.col("text").cast("string")})
+    marks = repeats(docs, size)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -324,12 +385,7 @@ def substring_dedup(docs: DataFrame, size: int = 20) -> DataFrame:
             yield pa.record_batch([*out, pa.array(n_words), pa.array(n_removed), pa.array(kept, pa.binary()).cast(pa.string())], [*names, "n_words", "n_removed", "kept"])
 
     schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != _ID), "n_words long, n_removed long, kept string"])
-    whole = pairs if names == ["doc_id", "text"] else docs
-    if whole is pairs:
-        joined = by_document(pairs).join(marks.hint("shuffle_hash"), _ID, "left")
-        joined = joined.withColumn("doc_id", F.when(F.col(_ID) != F.lit((1 << 63) - 1), F.col(_ID)))
-    else:
-        joined = by_document(docs).join(marks.hint("shuffle_hash"), _ID, "left")
+    joined = by_document(docs).join(marks.hint("shuffle_hash"), _ID, "left")
     return joined.drop(_ID).mapInArrow(cut, schema)
 
 
@@ -347,7 +403,7 @@ def _removed(words: Words, marks: pa.Array, size: int) -> np.ndarray:
     only = Words(words.data, words.start[some], words.end[some], words.first)
     names = np.zeros(n, U64)
     names[some] = hash_words(only, 5)
-    true = (_hash_at(names, at, size, 0x9E3779B97F4A7C15).astype(np.uint16) == check) & (doc[at] == doc[at + size - 1])
+    true = (_check(names, at, size) == check) & (doc[at] == doc[at + size - 1])
     steps = np.zeros(n + 1, np.int32)
     np.add.at(steps, at[true], 1)
     np.add.at(steps, at[true] + size, -1)

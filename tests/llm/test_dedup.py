@@ -75,6 +75,35 @@ def test_windows_have_consistent_anchors(size):
             assert own.any() and seen.setdefault(base[p : p + size].tobytes(), own.tobytes()) == own.tobytes()
 
 
+@pytest.mark.parametrize("size", [20, 9, 5, 3])
+def test_equal_spans_have_equal_names(size):
+    """Names by symbols: equal for equal words wherever they stand, different for others, for windows and for the spans around anchors."""
+    rng = np.random.default_rng(size)
+    rounds, before, after = substring.zone(size)
+    for letters in (1, 2, 3, 50):
+        base = rng.integers(0, letters, 700).astype(np.uint64)
+        base[400:460] = base[100:160]
+        names, first = mix(base + np.uint64(1)), np.array([0, 300, 700])
+        parsed = substring.levels(names, first, rounds)
+        assert len(parsed) == rounds + 1 and all(len(a) == len(b) for a, b in parsed)
+        spans = [(p, p + size) for p in [*range(300 - size + 1), *range(300, 700 - size + 1)]]
+        spans += [(b - before, b + after) for b in parsed[-1][0].tolist() if any(x <= b - before and b + after <= y for x, y in ((0, 300), (300, 700)))]
+        low, high = np.array(spans).T
+        name = substring.Spans(names, parsed, substring._BASES[0]).name(low, high)
+        seen = {}
+        for (a, b), n in zip(spans, name.tolist(), strict=True):
+            assert seen.setdefault(base[a:b].tobytes(), n) == n
+        assert len(set(seen.values())) == len(seen)
+
+
+def test_the_largest_id_and_no_id(spark):
+    """Both keep their ids and texts; they count as one document."""
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(2**63 - 1, "x " + text), (None, "other " * 3), (5, text)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in substring.substring_dedup(docs).collect()}
+    assert got == {2**63 - 1: (30, "x"), None: (0, "other other other"), 5: (0, text)}
+
+
 # --- SimHash ---
 
 
