@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from navloom.functions import geometry as g
 
 
-def detail_heights(rows: DataFrame, triangles: str, px: str = "px", pz: str = "pz") -> DataFrame:
+def detail_heights(rows: DataFrame, triangles: str, px: str = "px", pz: str = "pz", boundary: bool = False) -> DataFrame:
     """`rows` and height, edge_height, edge_dist_sqr.
 
     triangles: an array of (a, b, c), each (x, y, z), in order. height is that of the first triangle
     above or below the point, else that of the nearest point on any triangle's edges (first edge wins).
+    With `boundary` only edges on the mesh's boundary count for edge_height and edge_dist_sqr: those of triangles with
+    flags whose two bits for the edge (ab, bc, ca from the lowest) are 1; a polygon without such an edge has nulls.
     """
 
     def inside(t):
@@ -23,7 +25,13 @@ def detail_heights(rows: DataFrame, triangles: str, px: str = "px", pz: str = "p
         s, dd = g.nearest_on_segment((px, pz), (a["x"], a["z"]), (b["x"], b["z"]))
         return F.struct(dd.alias("dd"), (i * 3 + n).alias("n"), (a["y"] + (b["y"] - a["y"]) * s).alias("h"))
 
-    edges = F.flatten(F.transform(triangles, lambda t, i: F.array(edge(t, i, "c", "a", 0), edge(t, i, "a", "b", 1), edge(t, i, "b", "c", 2))))
+    def edges_of(t, i):
+        own = [(edge(t, i, "c", "a", 0), 2), (edge(t, i, "a", "b", 1), 0), (edge(t, i, "b", "c", 2), 1)]
+        if not boundary:
+            return F.array(*(e for e, _ in own))
+        return F.array(*(F.when(F.shiftright(t["flags"].cast("long"), 2 * k).bitwiseAND(3) == 1, e) for e, k in own))
+
+    edges = F.array_compact(F.flatten(F.transform(triangles, edges_of)))
     t = rows.withColumn("__in", F.filter(F.transform(triangles, inside), lambda h: h.isNotNull())).withColumn("__edge", F.array_min(edges))
     first = F.when(F.size("__in") > 0, F.get("__in", F.lit(0))).otherwise(F.col("__edge.h"))
     return t.select(*rows.columns, first.alias("height"), F.col("__edge.h").alias("edge_height"), F.col("__edge.dd").alias("edge_dist_sqr"))

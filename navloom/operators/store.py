@@ -6,6 +6,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from navloom.functions import geometry as g
+from navloom.session import ready
+
+
+def numbered(rows: DataFrame, order: str, name: str = "place") -> DataFrame:
+    """`rows` and their place (from 1) in the order of a column, nulls first; equal values in any order.
+
+    Rows are sorted by ranges in parallel; a range's rows are numbered in their task after the sum of the ranges before,
+    of which there is one number each.
+    """
+    ready(rows.sparkSession)
+    t = rows.orderBy(order).withColumn("__range", F.spark_partition_id()).checkpoint()
+    sizes = t.groupBy("__range").agg(F.count("*").alias("n"))
+    before = sizes.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("__before"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(order))
+    return t.join(F.broadcast(before), "__range").withColumn(name, (own + F.col("__before")).cast("long")).drop("__range", "__before")
 
 
 def with_offsets(blobs: DataFrame, size: str = "size") -> DataFrame:

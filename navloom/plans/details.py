@@ -9,7 +9,7 @@ from navloom.operators import mesh as m
 from navloom.operators.polygons import corners, edge_distances
 from navloom.plans.base import query, r6
 from navloom.plans.geometry import _EDGES, _QUAD, on_cells
-from navloom.plans.mesh import _AT, WALL, WORLD, at_cells
+from navloom.plans.mesh import _AT, _CON, WALL, WORLD, at_cells, connections
 from navloom.session import table
 from navloom.sources.world import mesh, polys
 
@@ -27,13 +27,14 @@ _TRIS = f"""{_EDGES}, base AS (SELECT DISTINCT event_id, px, pz, pid FROM k),
     fi AS (SELECT event_id, pid, arg_min(h, i) FILTER (h IS NOT NULL) AS inside FROM hh GROUP BY 1, 2), ed AS (SELECT event_id, pid, arg_min(h, (dd, n)) AS eh, min(dd) AS dd FROM se GROUP BY 1, 2)"""
 
 
-def _details(spark, d):
+def _details(spark, d, boundary: bool = False):
     pid = F.col("pid")
     c = on_cells(spark, d)
     height = [(pid % k) / 2.0 for k in (11, 7, 5, 3)]
     at = lambda i: F.struct(F.col("quad")[i]["x"].alias("x"), height[i].alias("y"), F.col("quad")[i]["z"].alias("z"))
-    tri = lambda i, j, k: F.struct(at(i).alias("a"), at(j).alias("b"), at(k).alias("c"))
-    return dt.detail_heights(c.withColumn("tris", F.array(tri(0, 1, 2), tri(0, 2, 3))), "tris")
+    tri = lambda i, j, k, flags: F.struct(at(i).alias("a"), at(j).alias("b"), at(k).alias("c"), F.lit(flags).alias("flags"))
+    # Flags: of the first triangle ab and bc are border, of the second bc and ca.
+    return dt.detail_heights(c.withColumn("tris", F.array(tri(0, 1, 2, 0b000101), tri(0, 2, 3, 0b010100))), "tris", boundary=boundary)
 
 
 @query(f"WITH {_TRIS} SELECT event_id, pid, round(coalesce(inside, eh), 6) + 0.0 AS height FROM fi JOIN ed USING (event_id, pid)", ("points", "polys"))
@@ -58,6 +59,20 @@ def detail_edges(spark, d):
     return _details(spark, d).select("event_id", "pid", r6(F.col("edge_height")).alias("edge_height"), F.round("edge_dist_sqr", 6).alias("edge_dist_sqr"))
 
 
+@query(f"WITH {_TRIS} SELECT event_id, pid, round(arg_min(h, (dd, n)), 6) + 0.0 AS edge_height, round(min(dd), 6) AS edge_dist_sqr FROM se WHERE n NOT IN (0, 4) GROUP BY 1, 2", ("points", "polys"))
+def detail_boundary_edges(spark, d):
+    """The nearest point on the border of the detail mesh: the edge between the two triangles does not count."""
+    return _details(spark, d, True).select("event_id", "pid", r6(F.col("edge_height")).alias("edge_height"), F.round("edge_dist_sqr", 6).alias("edge_dist_sqr"))
+
+
+@query(f"WITH {_CON}, m AS (SELECT con, (ax + bx) / 2 + 0.25e0 AS px, (az + bz) / 2 - 0.5e0 AS pz, ax, ay, az, bx, by_, bz, (bx-ax)*(bx-ax) + (bz-az)*(bz-az) AS len FROM con), t AS (SELECT *, CASE WHEN len > 0 THEN greatest(0.0, least(1.0, ((bx-ax)*(px-ax) + (bz-az)*(pz-az)) / len)) ELSE 0.0 END AS t FROM m) SELECT con, round(ay + (by_ - ay) * t, 6) + 0.0 AS height FROM t", ("polys",))
+def connection_height(spark, d):
+    """The height of every off-mesh connection beside its middle."""
+    c = connections(spark, d).withColumns({"px": (F.col("ax") + F.col("bx")) / 2 + 0.25, "pz": (F.col("az") + F.col("bz")) / 2 - 0.5})
+    end = lambda n: tuple(F.col(f"{n}{k}") for k in "xyz")
+    return c.select("con", r6(dt.connection_height(F.col("px"), F.col("pz"), end("a"), end("b"))).alias("height"))
+
+
 @query(
     f"WITH {_AT}, {WALL}, n AS (SELECT event_id, ref, edge, ax, az, bx, bz, px, pz, greatest(0.0, least(1.0, ((bx-ax)*(px-ax)+(bz-az)*(pz-az)) / ((bx-ax)*(bx-ax)+(bz-az)*(bz-az))::DOUBLE)) AS t FROM at_ JOIN wall ON px BETWEEN least(ax, bx) - 1.5 AND greatest(ax, bx) + 1.5 AND pz BETWEEN least(az, bz) - 1.5 AND greatest(az, bz) + 1.5), "
     "x AS (SELECT event_id, ref, edge, (ax+t*(bx-ax)-px)*(ax+t*(bx-ax)-px) + (az+t*(bz-az)-pz)*(az+t*(bz-az)-pz) AS dd FROM n) SELECT event_id, round(sqrt(min(dd)), 6) AS wall_dist FROM x WHERE dd <= 2.25 GROUP BY 1",

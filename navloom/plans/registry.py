@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from navloom.plans.base import QUERIES, SQL
 from navloom.session import ready
 
-for _module in ("tiles", "geometry", "mesh", "terrain", "details", "results", "routes"):
+for _module in ("tiles", "geometry", "mesh", "terrain", "details", "results", "routes", "files"):
     importlib.import_module(f"navloom.plans.{_module}")
 
 

@@ -183,12 +183,11 @@ def sample_tiles(spark, d):
     return nav_tiles(spark, d).orderBy(order, "tx", "ty").limit(40)
 
 
-@query(f"WITH {_NAV} SELECT row_number() OVER (ORDER BY path) AS place, path FROM (SELECT DISTINCT printf('maps/000%02d%02d.map', tx, ty) AS path FROM nav) ORDER BY path LIMIT 1000")
+@query(f"WITH {_NAV} SELECT row_number() OVER (ORDER BY path) AS place, path FROM (SELECT DISTINCT printf('maps/000%02d%02d.map', tx, ty) AS path FROM nav)")
 def sorted_paths(spark, d):
-    from pyspark.sql import Window
+    from navloom.operators.store import numbered
 
-    paths = nav_tiles(spark, d).select(F.format_string("maps/000%02d%02d.map", "tx", "ty").alias("path")).distinct().orderBy("path").limit(1000)
-    return paths.select(F.row_number().over(Window.orderBy("path")).cast("long").alias("place"), "path")
+    return numbered(nav_tiles(spark, d).select(F.format_string("maps/000%02d%02d.map", "tx", "ty").alias("path")).distinct(), "path")
 
 
 @query("""SELECT event_id, replace('C:\\data\\' || event_type || '\\' || event_id, '\\', '/') AS norm, substr(replace('C:\\data\\' || event_type || '\\' || event_id, '\\', '/'), 9) AS rel,

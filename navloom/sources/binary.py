@@ -113,6 +113,76 @@ def decode_terrain(data: bytes) -> dict | None:
         return None
 
 
+def encode_params(orig: tuple[float, float, float], tile_w: float, tile_h: float, max_tiles: int, max_polys: int) -> bytes:
+    """The bytes of a mesh parameter file."""
+    p = np.zeros(1, PARAMS)
+    p["orig"], p["tile_w"], p["tile_h"], p["max_tiles"], p["max_polys"] = orig, tile_w, tile_h, max_tiles, max_polys
+    return p.tobytes()
+
+
+def _section(records: np.ndarray) -> bytes:
+    data = records.tobytes()
+    return data + b"\0" * (-len(data) % 4)
+
+
+def encode_tile(x: int, y: int, layer: int, climb: float, polys: list[dict]) -> bytes:
+    """The bytes of a mesh tile file of polygons (corners, neis, flags, area, ptype) by number; numbers that are left out are polygons without corners."""
+    h, p = np.zeros(1, HEADER), np.zeros(1 + max((r["idx"] for r in polys), default=-1), POLY)
+    verts: list[tuple[float, float, float]] = []
+    for r in polys:
+        n = len(r["corners"])
+        own = p[r["idx"]]
+        own["verts"][:n], own["neis"][:n], own["n"] = range(len(verts), len(verts) + n), r["neis"], n
+        own["flags"], own["area_type"] = r["flags"], r["area"] | r["ptype"] << 6
+        verts += [(c["x"], c["y"], c["z"]) for c in r["corners"]]
+    v = np.array(verts, "<f4").reshape(-1, 3)
+    h["magic"], h["version"], h["x"], h["y"], h["layer"], h["climb"] = MESH_MAGIC, MESH_VERSION, x, y, layer, climb
+    h["poly_count"], h["vert_count"], h["max_links"] = len(p), len(v), 1
+    if len(v):
+        h["bmin"], h["bmax"] = v.min(0), v.max(0)
+    body = _section(h) + _section(v) + _section(p) + b"\0" * LINK_BYTES
+    outer = np.zeros(1, OUTER)
+    outer["magic"], outer["dt_version"], outer["version"], outer["size"] = OUTER_MAGIC, MESH_VERSION, OUTER_VERSION, len(body)
+    return outer.tobytes() + body
+
+
+def encode_tiles(polys: DataFrame) -> DataFrame:
+    """(map_id, x, y, layer, content): a mesh tile file for each tile of polygons with idx; one task holds one tile, at most 65,536 corners."""
+    ready(polys.sparkSession)
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        m, x, y, layer = (k.as_py() for k in key)
+        content = encode_tile(x, y, layer, rows["climb"][0].as_py(), rows.select(["idx", "corners", "neis", "flags", "area", "ptype"]).to_pylist())
+        return pa.table([[m], [x], [y], [layer], pa.array([content], pa.binary())], schema=pa.schema([("map_id", _I), ("x", _I), ("y", _I), ("layer", _I), ("content", pa.binary())]))
+
+    polys = polys if "map_id" in polys.columns else polys.withColumn("map_id", F.lit(0).cast("long"))
+    return polys.groupBy("map_id", "x", "y", "layer").applyInArrow(pack, "map_id long, x long, y long, layer long, content binary")
+
+
+def encode_terrain(mode: str, low: float, high: float, v9: np.ndarray, v8: np.ndarray, holes: np.ndarray) -> bytes:
+    """The bytes of a terrain file; heights are given as the mode stores them (none if flat)."""
+    kind, flags = {"flat": ("u1", FLAT), "f32": ("<f4", 0), "u16": ("<u2", AS_U16), "u8": ("u1", AS_U8)}[mode]
+    body = np.array([HEIGHT_MAGIC, flags], "<u4").tobytes() + np.array([low, high], "<f4").tobytes()
+    if mode != "flat":
+        body += v9.astype(kind).tobytes() + v8.astype(kind).tobytes()
+    head = np.array([TERRAIN_MAGIC, TERRAIN_VERSION, 0, 0, 40, len(body), 0, 0, 40 + len(body), 2 * MASKS], "<u4")
+    return head.tobytes() + body + holes.astype("<u2").tobytes()
+
+
+def number(content, at: int, size: int, signed: bool = False):
+    """A little-endian number of up to eight bytes at a place (from 0) of a binary column, as a column; null beyond the end.
+
+    Eight bytes give the 64 bits as a signed number.
+    """
+    out, bad = F.lit(0).cast("long"), F.octet_length(content) < at + size
+    for i in range(size):
+        byte = F.conv(F.hex(F.substring(content, at + i + 1, 1)), 16, 10).cast("long")
+        out = out.bitwiseOR(F.shiftleft(byte, 8 * i))
+    if signed and size < 8:
+        out = F.shiftright(F.shiftleft(out, 64 - 8 * size), 64 - 8 * size)
+    return F.when(~bad, out)
+
+
 def _files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     """(path, map_id, tx, ty, content) of the files whose names match; tx and ty are null for map-wide files."""
     ready(spark)
@@ -127,12 +197,17 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mesh_params(spark: SparkSession, folder: str) -> DataFrame:
-    """(map_id, orig, tile_w, tile_h, max_tiles, max_polys)."""
+    """(map_id, orig, tile_w, tile_h, max_tiles, max_polys) of the parameter files below a folder."""
+    return decode_params_rows(_files(spark, folder, "*.mmap").select("map_id", "content"))
+
+
+def decode_params_rows(files: DataFrame) -> DataFrame:
+    """The same of files (map_id, content). A null content has no row."""
     schema = "map_id long, orig array<double>, tile_w double, tile_h double, max_tiles long, max_polys long"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(m, p) for m, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (p := decode_params(c)) is not None]
+            rows = [(m, p) for m, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if c is not None and (p := decode_params(c)) is not None]
             yield pa.record_batch(
                 [pa.array([m for m, _ in rows], pa.int64()), pa.array([p["orig"].astype(float).tolist() for _, p in rows], pa.list_(pa.float64()))]
                 + [pa.array([float(p[n]) for _, p in rows], pa.float64()) for n in ("tile_w", "tile_h")]
@@ -140,7 +215,7 @@ def mesh_params(spark: SparkSession, folder: str) -> DataFrame:
                 ["map_id", "orig", "tile_w", "tile_h", "max_tiles", "max_polys"],
             )
 
-    return _files(spark, folder, "*.mmap").select("map_id", "content").mapInArrow(work, schema)
+    return files.select("map_id", "content").mapInArrow(work, schema)
 
 
 _CORNER = pa.struct([("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64())])
@@ -178,18 +253,18 @@ def _detail_rows(m: int, t: dict) -> Iterator[tuple]:
             yield m, int(h["x"]), int(h["y"]), int(h["layer"]), i, k, *_points(at), flags
 
 
-def _tiles(spark: SparkSession, folder: str, schema: str, rows_of, kinds: list, glob: str = "*.mmtile") -> DataFrame:
+def _tiles(files: DataFrame, schema: str, rows_of, kinds: list) -> DataFrame:
     names = [x.strip().split()[0] for x in schema.replace("<x:double,y:double,z:double>", "").split(",")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for m, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                t = decode_tile_file(content)
+                t = decode_tile_file(content) if content is not None else None
                 rows = list(rows_of(m, t)) if t is not None else []
                 if rows:
                     yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return _files(spark, folder, glob).select("map_id", "content").mapInArrow(work, schema)
+    return files.select("map_id", "content").mapInArrow(work, schema)
 
 
 _I, _F = pa.int64(), pa.float64()
@@ -197,32 +272,42 @@ _I, _F = pa.int64(), pa.float64()
 
 def polygons(spark: SparkSession, folder: str, glob: str = "*.mmtile") -> DataFrame:
     """POLYS of the mesh tile files whose names match."""
-    return _tiles(spark, folder, POLYS, _poly_rows, [_I] * 5 + [_F, pa.list_(_CORNER), pa.list_(pa.int32()), _I, _I, _I], glob)
+    return decode_polygons(_files(spark, folder, glob))
+
+
+def decode_polygons(files: DataFrame) -> DataFrame:
+    """POLYS of mesh tile files (map_id, content). A null content has no rows."""
+    return _tiles(files, POLYS, _poly_rows, [_I] * 5 + [_F, pa.list_(_CORNER), pa.list_(pa.int32()), _I, _I, _I])
 
 
 def connections(spark: SparkSession, folder: str) -> DataFrame:
     """CONNECTIONS of all mesh tile files."""
-    return _tiles(spark, folder, CONNECTIONS, _connection_rows, [_I] * 6 + [_F] * 7 + [pa.bool_(), _I, _I])
+    return _tiles(_files(spark, folder, "*.mmtile"), CONNECTIONS, _connection_rows, [_I] * 6 + [_F] * 7 + [pa.bool_(), _I, _I])
 
 
 def details(spark: SparkSession, folder: str) -> DataFrame:
     """DETAILS of all mesh tile files."""
-    return _tiles(spark, folder, DETAILS, _detail_rows, [_I] * 6 + [_CORNER] * 3 + [_I])
+    return _tiles(_files(spark, folder, "*.mmtile"), DETAILS, _detail_rows, [_I] * 6 + [_CORNER] * 3 + [_I])
 
 
 def terrain(spark: SparkSession, folder: str, glob: str = "*.map") -> DataFrame:
     """(map_id, tx, ty, mode, base, scale, v9, v8, holes) of the terrain files whose names match."""
+    return decode_terrain_rows(_files(spark, folder, glob))
+
+
+def decode_terrain_rows(files: DataFrame) -> DataFrame:
+    """The same of files (map_id, tx, ty, content). A null content has no row."""
     schema = "map_id long, tx long, ty long, mode string, base double, scale double, v9 array<double>, v8 array<double>, holes array<int>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for m, x, y, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t = decode_terrain(content)
+                t = decode_terrain(content) if content is not None else None
                 if t is not None:
                     kinds = (_I, _I, _I, pa.string(), _F, _F, pa.list_(_F), pa.list_(_F), pa.list_(pa.int32()))
                     yield pa.record_batch([pa.array([v], k) for v, k in zip((m, x, y, *t.values()), kinds, strict=True)], ["map_id", "tx", "ty", *t])
 
-    return _files(spark, folder, glob).select("map_id", "tx", "ty", "content").mapInArrow(work, schema)
+    return files.select("map_id", "tx", "ty", "content").mapInArrow(work, schema)
 
 
 # --- links between decoded tiles --------------------------------------------------------------
@@ -244,4 +329,4 @@ def _node_rows(m: int, t: dict) -> Iterator[tuple]:
 
 def nodes(spark: SparkSession, folder: str) -> DataFrame:
     """NODES of all mesh tile files: the box tree in pre-order; i is the polygon of a leaf, or minus how many nodes to skip."""
-    return _tiles(spark, folder, NODES, _node_rows, [_I] * 4 + [pa.list_(pa.int32())] * 2 + [_I])
+    return _tiles(_files(spark, folder, "*.mmtile"), NODES, _node_rows, [_I] * 4 + [pa.list_(pa.int32())] * 2 + [_I])

@@ -130,6 +130,34 @@ def export_shards(tiles: DataFrame, level: int = 9) -> DataFrame:
     return tiles.groupBy("map_id", "sx", "sy", "kind").applyInPandas(pack, "map_id long, sx long, sy long, kind string, index binary, data binary, n long")
 
 
+def indexes(entries: DataFrame, shard: list[str]) -> DataFrame:
+    """(shard, index): an index for each shard of entries (shard, tile_key, place, size). One task holds one shard's keys."""
+    ready(entries.sparkSession)
+
+    def pack(key: tuple, t: pa.Table) -> pa.Table:
+        own = sorted(zip(*(t[c].to_pylist() for c in ("tile_key", "place", "size")), strict=True))
+        return pa.table([[k.as_py()] for k in key] + [pa.array([build_index(own)], pa.binary())], names=[*shard, "index"])
+
+    return entries.groupBy(*shard).applyInArrow(pack, ", ".join([*(f"{c} long" for c in shard), "index binary"]))
+
+
+def look_up_all(indexed: DataFrame, shard: list[str], width: int, row: int = 64) -> DataFrame:
+    """(shard, tile_key, place, length) for every key of shards (sx, sy) of width x width tiles; null where the index lacks the key."""
+    ready(indexed.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for sx, sy, index in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for x in range(sx * width, (sx + 1) * width):
+                    for y in range(sy * width, (sy + 1) * width):
+                        rows.append((sx, sy, x * row + y + 1, *(search_index(index, x * row + y + 1) or (None, None))))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.record_batch([pa.array(list(c), pa.int64()) for c in columns], [*shard, "tile_key", "place", "length"])
+
+    return indexed.select(*shard, "index").mapInArrow(work, ", ".join([*(f"{c} long" for c in shard), "tile_key long, place long, length long"]))
+
+
 def import_shards(shards: DataFrame) -> DataFrame:
     """(map_id, sx, sy, kind, tile_key, blob) from exported shards. A null index or data has no tiles."""
     ready(shards.sparkSession)
