@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from navloom.progress import report
 from navloom.session import ready
 
 
@@ -24,12 +25,13 @@ def relax(links: DataFrame, sources: DataFrame, steps: int, within: Column | Non
     frontier = best
     links = links.select(F.col("src").alias("node"), "dst", F.col("cost").cast("double").alias("step")).checkpoint()
     least = lambda t: t.groupBy("source", "node").agg(F.min(F.struct("cost", "parent")).alias("b")).select("source", "node", "b.*")
-    for _ in range(steps):
+    for step in range(steps):
         reached = frontier.join(links, "node").select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.col("node").alias("parent"))
         reached = least(reached if within is None else reached.where(within))
         known = best.groupBy("source", "node").agg(F.min("cost").alias("__old"))
         # Only what improved is written; what is known stays a union of such tables, of which the least cost counts.
         frontier = reached.join(known, ["source", "node"], "left").where(F.col("__old").isNull() | (F.col("cost") < F.col("__old"))).drop("__old").checkpoint()
+        report("relax", step=step + 1, of=steps)
         if frontier.isEmpty():
             break
         best = best.union(frontier)

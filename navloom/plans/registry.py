@@ -13,9 +13,9 @@ for _module in ("tiles", "geometry", "mesh", "terrain", "details", "results", "r
     importlib.import_module(f"navloom.plans.{_module}")
 
 
-def entry(spark: SparkSession) -> DataFrame:
-    """Route distances over the synthetic world at the smallest scale."""
-    return QUERIES["route_distance"](ready(spark), "/root/testdata/sf0.001")
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Route distances over the synthetic world."""
+    return QUERIES["route_distance"](ready(spark), sf_dir)
 
 
 def queries() -> dict:

@@ -6,8 +6,10 @@ session's settings and fall back to values that suit a local test run.
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -37,7 +39,7 @@ def ready(spark: SparkSession) -> SparkSession:
     The workers get the folder this package was imported from in PYTHONPATH; a cluster
     that ships the package with --py-files needs nothing more. The checkpoint folder is the
     one named in spark.checkpoint.dir. Where that is unset it lies in the warehouse, which a cluster
-    shares, and for a local master (tests) in a fresh temporary folder.
+    shares, and for a local master (tests, one machine) in a fresh temporary folder that is removed at exit.
     """
     sc = spark.sparkContext
     paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -47,6 +49,7 @@ def ready(spark: SparkSession) -> SparkSession:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and re.fullmatch(r"local(\[[^,]*\])?", sc.master):
             folder = tempfile.mkdtemp(prefix="navloom-checkpoint-")
+            atexit.register(shutil.rmtree, folder, True)
         sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return spark
 

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from navloom.progress import report
 from navloom.session import ready
 
 Operator = Callable[[DataFrame], DataFrame]
@@ -23,6 +24,7 @@ def answer_requests(requests: DataFrame, operator: Operator, out: str, state: st
 
     def answer(batch: DataFrame, number: int) -> None:
         operator(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        report("requests", batch=number)
 
     return requests.writeStream.foreachBatch(answer).option("checkpointLocation", state).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -43,5 +45,6 @@ def grow_mesh(arrivals: DataFrame, links_of: Operator, out: str, state: str) ->
 
     def append(batch: DataFrame, number: int) -> None:
         links_of(batch.distinct()).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        report("tiles", batch=number)
 
     return arrivals.writeStream.foreachBatch(append).option("checkpointLocation", state).trigger(availableNow=True).start()

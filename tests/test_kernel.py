@@ -155,3 +155,20 @@ def test_off_mesh_connection():
     mesh.links[1].append((2, 0, k.INTERNAL, 0, 255))
     d, points, n, short = k.route(mesh, 0, 1, (0.2, 0.0, 0.5), (2.8, 0.0, 0.5), k.Filter())
     assert not short and n == 3 and math.isclose(d, 2.6) and any(f & k.CONNECTION for _, f, _ in points)
+
+
+def test_a_broken_corridor_ends_without_the_end_flag():
+    """The string goes straight from its last corner to the border of the last polygon that can be reached."""
+    mesh, ids = lattice(4, 1, blocked={(2, 0)})
+    corridor = [ids[0, 0], ids[1, 0], ids[3, 0]]
+    status, points = k.straighten(mesh, corridor, (0.5, 0.0, 0.5), (3.5, 0.0, 0.5))
+    assert status & st.PARTIAL and [(p, f) for p, f, _ in points] == [((0.5, 0.0, 0.5), k.START), ((2.0, 0.0, 0.5), 0)] and points[-1][2] == ids[1, 0]
+
+
+def test_a_search_keeps_to_its_tiles():
+    mesh, ids = lattice(3, 3, blocked={(1, 0), (1, 1)})
+    mesh.tile = [(int(c[0][0]), int(c[0][2])) for c in mesh.corners]
+    ends = (0.5, 0.0, 0.5), (2.5, 0.0, 0.5)
+    assert k.find_corridor(mesh, ids[0, 0], ids[2, 0], *ends, k.Filter(), within=(0, 0, 2, 2))[1][-1] == ids[2, 0]
+    status, corridor = k.find_corridor(mesh, ids[0, 0], ids[2, 0], *ends, k.Filter(), within=(0, 0, 2, 1))
+    assert status & st.PARTIAL and corridor[-1] != ids[2, 0]

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from navloom import progress
 from navloom.operators import kernel, search, store
 from navloom.operators import mesh as m
 from navloom.operators.routes import build_mesh, rays, routes
@@ -182,3 +183,51 @@ def test_routes_and_rays_of_odd_rows(spark):
     assert len(walks) == 6 and {r["t"] for r in walks if r["pair_id"] in (7, 8)} == {None}
     nothing = routes(pairs, p.where("false"), links)
     assert {r["distance"] for r in nothing.collect()} == {-1.0} and routes(pairs.where("false"), p, links).count() == 0
+
+
+def test_progress_is_told(spark):
+    told = []
+    hook = lambda what, **numbers: told.append((what, numbers))
+    progress.hooks.append(hook)
+    try:
+        links = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (2, 3, 1.0), (None, 3, 1.0)], "src long, dst long, cost double")
+        sources = spark.createDataFrame([(1, 1), (1, 1)], "source long, node long")
+        best = search.relax(links, sources, 9)
+    finally:
+        progress.hooks.remove(hook)
+    assert [w for w, _ in told] == ["relax"] * 3 and told[0][1] == {"step": 1, "of": 9}
+    assert sorted(map(tuple, best.collect())) == [(1, 1, 0.0, None), (1, 2, 1.0, 1), (1, 3, 2.0, 2)]
+    assert {r["node"]: r["path"] for r in search.chains(best, 2).collect()} == {1: [1], 2: [1, 2], 3: [1, 2]}
+    assert search.relax(links, sources.where("false"), 3).count() == 0
+
+
+def test_mesh_operators_on_odd_rows(spark):
+    p = mesh(spark, SF)
+    at = spark.createDataFrame([(1, 2.5, 1.0, 2.5), (1, 2.5, 1.0, 2.5), (2, None, 1.0, 1.0), (3, 1e6, 0.0, 1e6)], "event_id long, px double, py double, pz double")
+    bad = p.withColumn("corners", F.when(F.col("ref") % 2 == 0, F.col("corners")))
+    for polys in (p, bad):
+        near = m.nearest_polygon(at, polys, (1.0, 4.0, 1.0), 0.5).collect()
+        assert [r["event_id"] for r in near] == [1]
+        listed = m.box_query(at, polys, (1.0, 4.0, 1.0)).groupBy("event_id").count().collect()
+        assert [(r["event_id"], r["count"] % 2) for r in listed] == [(1, 0)]
+    none = p.where("false")
+    assert m.all_links(none).count() == 0 and m.nearest_polygon(at, none, (1.0, 1.0, 1.0), 0.5).count() == 0 and m.wall_segments(none, m.all_links(none)).count() == 0
+    assert m.all_links(p.union(p)).distinct().count() == m.all_links(p).count()
+    gone = p.withColumn("neis", F.transform("neis", lambda n: F.when(n == 1, F.lit(9999)).otherwise(n)))
+    assert m.internal_links(gone).where("dst is null").count() == 0
+
+
+def test_whole_tables_are_numbered(spark):
+    rows = spark.createDataFrame([(x,) for x in ["b", "a", None, "b", *map(str, range(500))]], "v string").repartition(5)
+    got = [(r["place"], r["v"]) for r in store.numbered(rows, "v").orderBy("place").collect()]
+    expected = sorted(["b", "a", "b", *map(str, range(500))])
+    assert [p for p, _ in got] == list(range(1, 505)) and [v for _, v in got] == [None, *expected] and store.numbered(rows.where("false"), "v").count() == 0
+
+
+def test_tiles_of_bytes(spark):
+    p = mesh(spark, SF).where("x = 0")
+    files = b.encode_tiles(p).cache()
+    assert files.select("x", "y", "layer").distinct().count() == files.count()
+    back = b.decode_polygons(files.union(spark.createDataFrame([(0, 9, 9, 0, None), (0, 8, 8, 0, bytearray(b"x"))], files.schema))).where("size(corners) > 0")
+    assert back.count() == p.count()
+    assert m.all_links(back.withColumn("ref", F.struct("x", "y", "layer", "pid")).withColumn("idx", F.col("pid"))).count() == m.all_links(p).count()
