@@ -165,7 +165,7 @@ def pages_of(archive: bytes) -> Iterator[tuple]:
 def owners(pages: DataFrame, least_bytes: int) -> DataFrame:
     """`pages` (page_id, url, html as binary) and owner: the largest id with the same payload, null where no other row has it."""
     keyed = pages.select("page_id", "url", "html", F.sha1("html").alias("sha1"), F.length("html").alias("size"))
-    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     groups = keyed.where(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return keyed.join(groups, ["sha1", "size", "salt"], "left").select("page_id", "url", "html", "owner")
