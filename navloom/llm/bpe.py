@@ -25,6 +25,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 from typing import NamedTuple
 
 import ahocorasick
@@ -65,25 +66,25 @@ class Classes(NamedTuple):
 def classes(path: str) -> Classes:
     """The classes of code points of a tokenizer file's pre-tokenizer, by asking it about every code point.
 
-    All code points in order are split once: a piece is a run of one class, whose first member is then asked for its
-    class by what it is joined to: "a", "1" and "!" stay in one piece with a letter, a number and any other character.
+    All code points in order are split, a few thousand at a time: a piece is a run of one class, whose first member is
+    then asked for its class by what it is joined to: "a", "1" and "!" stay in one piece with a letter, a number and
+    any other character.
     """
     from tokenizers import Tokenizer
 
-    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-    points = np.array([*range(0xD800), *range(0xE000, 0x110000)])
-    text = "".join(map(chr, points.tolist()))
-    first = sorted({*range(257), *(a for _, (a, _) in split(text))})  # the first 256 one by one: a space joins what follows
-    asked = [next((k for k, c in enumerate("a1!") if len(split(c + text[a])) == 1), 3) for a in first]
+    with open(path, encoding="utf-8") as f:
+        own = {**json.load(f), "model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}
+    split = Tokenizer.from_str(json.dumps(own)).pre_tokenizer.pre_tokenize_str
     out: dict[int, list[tuple[int, int]]] = {0: [], 1: [], 2: [], 3: []}
-    for a, b, kind in zip(first, [*first[1:], len(text)], asked, strict=True):
-        run = points[a:b]
-        for part in np.split(run, np.flatnonzero(np.diff(run) > 1) + 1):
-            own, low, high = out[kind], int(part[0]), int(part[-1])
-            if own and own[-1][1] == low - 1:
-                own[-1] = (own[-1][0], high)
+    for low in (x for x in range(0, 0x110000, 0x800) if not 0xD800 <= x < 0xE000):
+        text = "".join(map(chr, range(low, low + 0x800)))
+        first = {a for _, (a, _) in split(text)} | (set() if low else set(range(257)))  # the first 256 one by one: a space joins what follows
+        for a, b in pairwise(sorted(first | {len(text)})):
+            runs = out[next((k for k, c in enumerate("a1!") if len(split(c + text[a])) == 1), 3)]
+            if runs and runs[-1][1] == low + a - 1:
+                runs[-1] = (runs[-1][0], low + b - 1)
             else:
-                own.append((low, high))
+                runs.append((low + a, low + b - 1))
     return Classes(tuple(out[0]), tuple(out[1]), tuple(out[3]))
 
 
