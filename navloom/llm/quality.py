@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from navloom.llm.sample import fold, labelled_sample
+from navloom.llm.sample import fold, give_back, labelled_sample
 from navloom.llm.text import IS_SEPARATOR, U64, Words, blocks, code_points, find_words, hash_words, mix, run_sums, sequence_hash, string_buffer
 from navloom.session import ready
 
@@ -206,11 +206,14 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, test_folds: i
             index[a:b], value[a:b] = np.frombuffer(at.as_buffer(), np.uint32), np.frombuffer(v.as_buffer(), np.float32)
             row += 1
     del table
+    give_back()
     y, held = y[order], held[order]
     n = int((~held).sum())
     weights, bias = fit_logistic(index[: first[n]], value[: first[n]], first[: n + 1], y[:n])
     raw = np.array([weights[index[a:b]] @ value[a:b] for a, b in zip(first[:-1], first[1:], strict=True)])
     scale, shift = platt(raw[held] + bias, y[held])
+    del index, value
+    give_back()
     return QualityModel(weights, bias, scale, shift)
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import ctypes
+import gc
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,3 +33,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_rows: i
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def give_back(spark: SparkSession | None = None) -> None:
+    """Return the memory of freed arrays to the system: a driver that has fitted a model goes on for hours.
+
+    With a session the JVM collects its garbage too; only then does Spark remove the shuffle files of frames that are gone.
+    """
+    gc.collect()
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navloom.llm.sample import fold, labelled_sample
+from navloom.llm.sample import fold, give_back, labelled_sample
 from navloom.llm.text import U64, blocks, find_chars, hash_runs, mix, sequence_hash, string_buffer
 from navloom.session import ready
 
@@ -109,12 +109,16 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12000) -> ToxicityM
             sets = feature_sets(*string_buffer(block.column(2)))
             yield pa.record_batch([block.column(0), block.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "label", "at"])
 
-    table = sample.mapInArrow(rows, "doc_id long, label int, at binary").toArrow().sort_by("doc_id")
-    y = np.array(table["label"], float)
+    table = sample.mapInArrow(rows, "doc_id long, label int, at binary").toArrow()
+    y, order = np.array(table["label"], float), np.argsort(np.array(table["doc_id"], np.int64), kind="stable")
     if not len(y) or not 0 < y.sum() < len(y):
         p = (y.sum() + 1) / (len(y) + 2)
         return ToxicityModel(np.zeros(0, np.uint32), np.zeros(0, np.float32), float(np.log(p / (1 - p))))
-    return ftrl([np.frombuffer(b, np.uint32) for b in table["at"].to_pylist()], y)
+    sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in table["at"]]  # views of the table
+    model = ftrl([sets[i] for i in order], y[order])
+    del table, sets
+    give_back()
+    return model
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
