@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from navloom.llm.components import components
+from navloom.llm.sample import give_back
 from navloom.llm.text import U64, blocks, mix, string_buffer
 from navloom.session import ready, shuffle_partitions
 
@@ -223,19 +224,19 @@ def thin(edges: np.ndarray) -> np.ndarray:
     return np.stack([nodes[label[rest]], nodes[rest]], 1)
 
 
-def links(reps: DataFrame, most_bits: int, cut: list[Segment], known: bool = False, large: int = 64) -> DataFrame:
+def links(reps: DataFrame, most_bits: int, cut: list[Segment], large: int = 64, words: int = 1) -> DataFrame:
     """(a, b), a < b: labels of fingerprints that differ in at most most_bits bits, or fewer edges with the same components.
 
-    reps: (label, fp), each fp once. From groups of `large` fingerprints on, a spanning forest replaces
-    the group's own pairs; that changes the work, not the components. What a task finds is thinned to a forest. With `known`, fingerprints that
-    share a segment's value have been linked before and only those under a neighbouring value are, if
-    their labels differ.
+    reps: (label, fp), each fp once. A fingerprint has `words` words; with a multiple of them reps hold several independent
+    fingerprints, and a segment finds links of the one that its word belongs to. From groups of `large` fingerprints on, a spanning forest replaces
+    the group's own pairs, and a probe of a group that is connected looks for one link only; that changes the work, not
+    the components. What a task finds is thinned to a forest.
     """
     spark = ready(reps.sparkSession)
-    parts, words = shuffle_partitions(spark), 1 + max(s[0] for s in cut)
+    parts = shuffle_partitions(spark)
 
     def fps(column: pa.Array) -> np.ndarray:
-        return np.frombuffer(string_buffer(column)[0].tobytes(), ">u8").astype(U64).reshape(-1, words)
+        return np.frombuffer(string_buffer(column)[0].tobytes(), ">u8").astype(U64).reshape(len(column), -1)
 
     balls = [ball(mask, radius) for _, mask, radius in cut]
     segment_of = np.repeat(np.arange(len(cut)), [len(x) for x in balls])
@@ -257,7 +258,8 @@ def links(reps: DataFrame, most_bits: int, cut: list[Segment], known: bool = Fal
             ends = [*first[1:].tolist(), len(where)]
             blobs: list[list[bytes]] = [[], [], []]
             for a, b in zip(first.tolist(), ends, strict=True):
-                for out, x in zip(blobs, (label[who[a:b]], fp[who[a:b]], code[a:b]), strict=True):
+                own = fp.reshape(len(fp), -1, words)[who[a:b], word_of[code[a:b]] // words]
+                for out, x in zip(blobs, (label[who[a:b]], own, code[a:b]), strict=True):
                     out.append(x.tobytes())
             yield pa.record_batch([pa.array(there), *(pa.array(x, pa.binary()) for x in blobs)], ["part", "label", "fp", "code"])
 
@@ -270,7 +272,7 @@ def links(reps: DataFrame, most_bits: int, cut: list[Segment], known: bool = Fal
         del got
         fp = fp.reshape(-1, words)
         # A clash of keys only adds candidates.
-        key = mix(((fp[np.arange(len(fp)), word_of[code]] & mask_of[code]) ^ flip_of[code]) ^ salt_of[code])
+        key = mix(((fp[np.arange(len(fp)), word_of[code] % words] & mask_of[code]) ^ flip_of[code]) ^ salt_of[code])
         entry, probe = np.flatnonzero(own_of[code]), np.flatnonzero(~own_of[code])
         entry = entry[np.lexsort((label[entry], key[entry]))]
         table = key[entry]
@@ -289,22 +291,42 @@ def links(reps: DataFrame, most_bits: int, cut: list[Segment], known: bool = Fal
             near = _distance(fp, i, j) <= most_bits
             keep(np.stack([label[i[near]], label[j[near]]], 1))
 
-        if not known:
-            start, end = np.searchsorted(table, table, "left"), np.searchsorted(table, table, "right")
-            big = end - start >= large
-            for i, j in _pairs(np.arange(len(entry)) + 1, np.where(big, 0, end)):
-                check(entry[i], entry[j])
-            for a in np.unique(start[big]):
-                group = entry[a : end[a]]
-                mask = ~int(mask_of[code[group[0]]]) & (1 << 64) - 1
-                found = _within(fp[group, 0], most_bits, mask, large) if words == 1 else np.array(_forest(fp[group], most_bits), np.int64).reshape(-1, 2)
-                keep(label[group[found]])
+        start, end = np.searchsorted(table, table, "left"), np.searchsorted(table, table, "right")
+        big = end - start >= large
+        for i, j in _pairs(np.arange(len(entry)) + 1, np.where(big, 0, end)):
+            check(entry[i], entry[j])
+        for a in np.unique(start[big]):
+            group = entry[a : end[a]]
+            mask = ~int(mask_of[code[group[0]]]) & (1 << 64) - 1
+            found = _within(fp[group, 0], most_bits, mask, large) if words == 1 else np.array(_forest(fp[group], most_bits), np.int64).reshape(-1, 2)
+            keep(label[group[found]])
+        # Entries go by their component so far, so one look at a value's first and last shows whether they are connected.
+        edges = [thin(np.concatenate(edges))]
+        part = label.copy()
+        order = np.argsort(edges[0][:, 1])
+        nodes, roots = edges[0][order, 1], edges[0][order, 0]
+        if len(nodes):
+            at = np.minimum(np.searchsorted(nodes, label), len(nodes) - 1)
+            part = np.where(nodes[at] == label, roots[at], label)
+        entry = entry[np.lexsort((part[entry], key[entry]))]
         low, high = np.searchsorted(table, key[probe], "left"), np.searchsorted(table, key[probe], "right")
         hit = high > low
-        # Entries of a value are in order of their labels, so one look shows a group that has the probe's label alone.
-        hit[hit] = (label[entry[low[hit]]] != label[probe[hit]]) | (label[entry[high[hit] - 1]] != label[probe[hit]])
-        for i, j in _pairs(low[hit], high[hit]):
-            check(probe[hit][i], entry[j])
+        probe, low, high = probe[hit], low[hit], high[hit]
+        one = part[entry[low]] == part[entry[high - 1]]
+        for i, j in _pairs(low[~one], high[~one]):
+            check(probe[~one][i], entry[j])
+        one &= part[entry[low]] != part[probe]
+        probe, low, high = probe[one], low[one], high[one]
+        for _ in range(large):  # of a connected value the first link will do
+            if not len(probe):
+                break
+            near = _distance(fp, probe, entry[low]) <= most_bits
+            keep(np.stack([label[probe[near]], label[entry[low[near]]]], 1))
+            low = low + 1
+            left = ~near & (low < high)
+            probe, low, high = probe[left], low[left], high[left]
+        for i, j in _pairs(low, high):
+            check(probe[i], entry[j])
         e = thin(np.concatenate(edges))
         for k in range(0, len(e), 1 << 16):
             yield pa.record_batch([pa.array(e[k : k + (1 << 16), 0]), pa.array(e[k : k + (1 << 16), 1])], ["a", "b"])
@@ -313,24 +335,14 @@ def links(reps: DataFrame, most_bits: int, cut: list[Segment], known: bool = Fal
     return packed.repartitionById(parts, "part").mapInArrow(find, "a long, b long")
 
 
-def near_components(fps: DataFrame, most_bits: int = 4, cut: list[Segment] | None = None, twice: bool = False) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of fps (doc_id, fp).
-
-    Without `cut` the segments are those for the number of distinct fingerprints. `twice` finds the links within equal segment values first and then only those between their
-    components: for wide fingerprints, whose near copies share many segment values.
-    """
+def near_components(fps: DataFrame, most_bits: int = 4, cut: list[Segment] | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of fps (doc_id, fp). Without `cut` the segments are those for the number of distinct fingerprints."""
     ready(fps.sparkSession)
     fps = fps.checkpoint()
     reps = fps.groupBy("fp").agg(F.min("doc_id").alias("node")).checkpoint()
     cut = cut or segments(most_bits, reps.count())
     nodes = reps.where(F.col("node").isNotNull()).select(F.col("node").alias("label"), "fp")
-    if not twice:
-        labels = components(links(nodes, most_bits, cut))
-    else:
-        first = components(links(nodes, most_bits, [(w, mask, 0) for w, mask, _ in cut]))
-        near = nodes.withColumnRenamed("label", "node").join(first, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "fp").checkpoint()
-        second = components(links(near, most_bits, cut, known=True)).select(F.col("node").alias("label"), F.col("label").alias("above"))
-        labels = near.join(second, "label", "left").select("node", F.coalesce("above", "label").alias("label"))
+    labels = components(links(nodes, most_bits, cut, words=1 + max(s[0] for s in cut)))
     owner = reps.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"))
     return fps.join(owner, "fp", "left").select("doc_id", "fp", "component_id")
 
@@ -397,7 +409,7 @@ def verified_links(members: DataFrame, size: int, similarity: float) -> DataFram
     return rows.repartition(parts, "part", "lot").mapInArrow(verify, "a long, b long")
 
 
-def cover(n: int, flips: float, missed: float = 0.005) -> tuple[int, int]:
+def cover(n: int, flips: float, missed: float = 0.0055) -> tuple[int, int]:
     """(bits, segments): the width of the segments for n fingerprints, and how many of radius 1 leave out `missed` of the pairs at most.
 
     The width grows with log2(n), so a value has a bounded number of unrelated entries; the number of segments follows
@@ -435,20 +447,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, blo
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = docs.mapInArrow(work, "doc_id long, key binary, fp binary").checkpoint()
     units = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")).where("doc_id IS NOT NULL").checkpoint()
-    cut = even_segments(2, bits, 1)
-    for known, segment in ((False, [(w, mask, 0) for w, mask, _ in cut]), (True, cut)):
-        met = units.withColumn("part", F.col("doc_id")) if not known else units.join(labels, units["doc_id"] == labels["node"], "left").select(*units.columns, F.coalesce("label", "doc_id").alias("part")).checkpoint()
-        found = None
-        for k in range(tables):
-            half = links(met.select(F.col("part").alias("label"), F.expr(f"substring(fp, {16 * k + 1}, 16)").alias("fp")), most_bits, segment, known)
-            found = half if found is None else found.union(half)
-        labels = components(found)
-    above = labels.withColumnRenamed("node", "part")
-    met = met.join(above, "part", "left").select("key", "doc_id", F.coalesce("label", "part").alias("part")).checkpoint()
+    found = links(units.select(F.col("doc_id").alias("label"), "fp"), most_bits, even_segments(2 * tables, bits, 1), words=2)
+    labels = components(found)
+    give_back(docs.sparkSession)
+    met = units.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("part")).checkpoint()
     sizes = met.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part", F.ceil(F.col("n") / block).cast("int").alias("lots")).checkpoint()
     members = met.join(sizes, "part").withColumn("own", F.pmod(F.xxhash64("key"), F.col("lots")).cast("int")).checkpoint()
     first = F.when(F.col("doc_id") == F.col("part"), F.sequence(F.lit(0), F.col("lots") - 1)).otherwise(F.array("own"))
     edges = verified_links(members.join(docs, "doc_id").withColumn("lot", F.explode(first)), size, similarity).checkpoint()
+    give_back(docs.sparkSession)
     large = members.where("lots > 1")
     if not large.isEmpty():
         labels = components(edges).withColumnRenamed("node", "doc_id")
@@ -457,7 +464,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, blo
         # Lots i < j meet under the number i * lots + j.
         meet = F.expr("transform(filter(sequence(0, lots - 1), x -> x != own), x -> least(x, own) * bigint(lots) + greatest(x, own))")
         again = large.join(split, "part").join(docs, "doc_id").withColumn("lot", F.explode(meet))
-        edges = edges.union(verified_links(again, size, similarity))
+        edges = edges.union(verified_links(again, size, similarity).checkpoint())
+        give_back(docs.sparkSession)
     labels = components(edges).withColumnRenamed("node", "doc_id")
     owner = units.join(labels, "doc_id", "left").select("key", F.coalesce("label", "doc_id").alias("component_id"))
     return rows.join(owner, "key", "left").select("doc_id", "component_id")

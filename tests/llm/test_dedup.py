@@ -223,7 +223,9 @@ def test_recall_of_the_cover_holds_at_every_size():
         assert (differ <= 1).any(1).mean() > 0.99
 
 
-def test_two_passes_equal_one(spark):
+@pytest.mark.parametrize("large", [64, 3])
+def test_clustered_wide_fingerprints(spark, large):
+    """Groups that share many segment values, with links between neighbouring values only."""
     rng = random.Random(5)
     rows = []
     for c in range(8):
@@ -232,11 +234,10 @@ def test_two_passes_equal_one(spark):
             x = centre
             for _ in range(rng.randrange(0, 14)):
                 x ^= 1 << rng.randrange(128)
-            rows.append((c * 100 + k, bytearray(x.to_bytes(16, "big"))))
-    fps = spark.createDataFrame(rows, "doc_id long, fp binary")
-    cut = simhash.even_segments(2, 16, 1)
-    a, b = ({r["doc_id"]: r["component_id"] for r in simhash.near_components(fps, 12, cut, twice=t).collect()} for t in (True, False))
-    assert a == b == dict(zip([i for i, _ in rows], brute_components([int.from_bytes(x, "big") for _, x in rows], [i for i, _ in rows], 12), strict=True))
+            rows.append((c * 100 + k, x))
+    reps = spark.createDataFrame([(i, bytearray(x.to_bytes(16, "big"))) for i, x in rows], "label long, fp binary")
+    labels = {r["node"]: r["label"] for r in comp.components(simhash.links(reps, 12, simhash.even_segments(2, 16, 1), large=large, words=2)).collect()}
+    assert [labels.get(i, i) for i, _ in rows] == brute_components([x for _, x in rows], [i for i, _ in rows], 12)
 
 
 def test_simhash_of_odd_rows(spark):
