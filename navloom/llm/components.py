@@ -5,6 +5,10 @@ that label, and (3) replaces each label by that label's label, so the number of
 logarithmic in the longest path. The label table and the edges are checkpointed in
 spark.checkpoint.dir, so a round never recomputes those before it and survives lost executors.
 Joins read plain tables on both sides, so adaptive execution can split a hot node's rows.
+
+Before the rounds the edges are turned into stars: every node keeps the edge to its smallest neighbour, and its other
+smaller neighbours get an edge to that one instead. Tasks that each found a forest of the same group then agree on
+most edges, so the rounds carry about one edge a node.
 """
 
 from __future__ import annotations
@@ -18,11 +22,14 @@ from navloom.session import ready
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(node, label) for every node of edges (a, b): label is the smallest node of its component.
 
-    No edges: an empty result. Repeated edges, loops and edges in either direction are allowed.
+    No edges: an empty result. Repeated edges, loops and edges in either direction are allowed; an edge with a null end
+    is none. A round at least halves the roots of a component that still meet, so `most_rounds` of 64 do for 2**64 nodes.
     """
     ready(edges.sparkSession)
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = both.where(F.col("a") != F.col("b")).distinct().checkpoint()
+    edges = edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    least = edges.groupBy("b").agg(F.min("a").alias("least"))
+    star = least.select(F.col("least").alias("a"), "b").union(edges.join(least, "b").where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))).distinct()
+    both = star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
     labels = labels.select("node", F.least("node", "label").alias("label")).checkpoint()
     total = lambda x: x.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
