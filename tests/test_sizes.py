@@ -8,7 +8,7 @@ from tests.conftest import SF
 QUERIES = registry.queries()
 
 
-@pytest.mark.parametrize("name", ["portal_points"])
+@pytest.mark.parametrize("name", ["portal_points", "edge_midpoint"])
 def test_links_are_not_broadcast(name, spark):
     """Spark takes the polygons of a small file for small; at 1.2 million parts they do not fit the driver."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
