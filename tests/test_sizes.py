@@ -1,8 +1,14 @@
 """What keeps queries within the driver's memory on large tables."""
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
+from navloom.operators import mesh as m
+from navloom.operators import packed
+from navloom.operators.routes import rays, routes
 from navloom.plans import registry
+from navloom.sources.world import mesh
 from tests.conftest import SF
 
 QUERIES = registry.queries()
@@ -13,3 +19,52 @@ def test_links_are_not_broadcast(name, spark):
     """Spark takes the polygons of a small file for small; at 1.2 million parts they do not fit the driver."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def checkpointed(name, spark, monkeypatch):
+    """The plans of what a query checkpoints on its way, and its own."""
+    frame = type(spark.range(0))
+    plans, kept = [], frame.checkpoint
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *a, **b: plans.append(text(self)) or kept(self, *a, **b))
+    plans.append(text(QUERIES[name](spark, SF)))
+    return plans
+
+
+@pytest.mark.parametrize("name", ["ray"])
+def test_no_mesh_is_broadcast_on_the_way(name, spark, monkeypatch):
+    plans = [p for p in checkpointed(name, spark, monkeypatch) if "corners" in p]
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_an_end_on_a_border_has_its_polygon(spark):
+    """It is on a polygon of the tile before, which no other point of the pair touches."""
+    p = mesh(spark, SF)
+    at = p.where("x = 0 and y = 0 and layer = 0 and exists(corners, c -> c.x = 8)").orderBy("ref").first()
+    z, y = min((c["z"], c["y"]) for c in at["corners"] if c["x"] == 8)
+    goal = p.where("x = 1 and y = 0 and layer = 0").orderBy("ref").first()
+    far = goal["corners"][0]
+    pairs = spark.createDataFrame([(1, at["ref"], 8.0, y, z + 0.3, goal["ref"], far["x"] + 0.3, far["y"], far["z"] + 0.3)], "pair_id long, sp long, sx double, sy double, sz double, gp long, gx double, gy double, gz double")
+    (walk,) = rays(pairs, p, m.all_links(p), tile=(0.0, 0.0, 8.0)).collect()
+    (way,) = routes(pairs, p, m.all_links(p), tile=(0.0, 0.0, 8.0)).collect()
+    assert walk["t"] is not None and walk["n_polygons"] > 0 and way["n_polygons"] > 0
+
+
+@pytest.mark.parametrize("most", [3, 50_000])
+def test_packed_meshes_are_whole(most, spark, monkeypatch):
+    """A mesh out of many packed tables, with few rows kept as lists, has every corner and link of the tables."""
+    monkeypatch.setattr(packed, "KEPT", most)
+    monkeypatch.setattr(packed, "_AT_ONCE", 2)
+    p = mesh(spark, SF)
+    polys, links = p.select(packed.POLYS.names).toArrow(), m.all_links(p).join(p.selectExpr("ref src", "x", "y"), "src").toArrow()
+    parts = {k: [packed.pack(t.filter((pc.field("x") == x) & (pc.field("y") == y)), k) for x, y in sorted({(r["x"], r["y"]) for r in polys.select(["x", "y"]).to_pylist()})] for k, t in ((packed.POLYS, polys), (packed.LINKS, links))}
+    (a, b) = (packed.unpack(pa.chunked_array([pa.array([*v, None, v[0]], pa.binary())]), k) for k, v in parts.items())
+    own = packed.mesh_of(a, b)
+    rows = {r["ref"]: r for r in polys.to_pylist()}
+    ids = sorted(rows)
+    assert list(own.ids) == ids and len(own.corners) == len(own.links) == len(ids) and [own.index[i] for i in ids] == list(range(len(ids))) and own.index.get(max(ids) + 1) is None
+    assert [own.corners[i] for i in range(len(ids))] == [[(c["x"], c["y"], c["z"]) for c in rows[i]["corners"]] for i in ids]
+    assert [*zip(own.flags, own.area, own.kind, own.tile, strict=True)] == [(r["flags"], r["area"], r["ptype"], (r["x"], r["y"])) for r in (rows[i] for i in ids)]
+    expected = sorted({(r["src"], r["edge"], r["dst"], r["side"], r["bmin"], r["bmax"]) for r in links.to_pylist()})
+    assert [(ids[i], e, ids[to], *rest) for i in range(len(ids)) for to, e, *rest in own.links[i]] == expected
+    assert dict.__len__(own.links) <= most
