@@ -31,7 +31,7 @@ def checkpointed(name, spark, monkeypatch):
     return plans
 
 
-@pytest.mark.parametrize("name", ["ray", "route_distance", "route_path"])
+@pytest.mark.parametrize("name", ["ray", "route_distance", "route_path", "stream_routes"])
 def test_no_mesh_is_broadcast_on_the_way(name, spark, monkeypatch):
     plans = [p for p in checkpointed(name, spark, monkeypatch) if "corners" in p]
     assert plans and not any("Broadcast" in p for p in plans)
