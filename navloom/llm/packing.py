@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from navloom.llm.bpe import Classes, Vocabulary, classes, default_path, encoder
+from navloom.llm.sample import lean
 from navloom.llm.text import blocks
 from navloom.session import ready
 
@@ -290,7 +291,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0, path:
             yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(work, PIECES + ", part int, rank long").checkpoint()
+    return docs.mapInArrow(lean(work), PIECES + ", part int, rank long").checkpoint()
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -318,7 +319,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.record_batch([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
     rows = found.join(counts, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
-    return rows.mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return rows.mapInArrow(lean(place), PIECES + ", sequence_id long, offset long")
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:

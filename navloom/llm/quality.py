@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from navloom.llm.sample import fold, give_back, labelled_sample
+from navloom.llm.sample import fold, give_back, labelled_sample, lean
 from navloom.llm.text import IS_SEPARATOR, U64, Words, blocks, code_points, find_words, hash_words, mix, run_sums, sequence_hash, string_buffer
 from navloom.session import ready
 
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, test_folds: i
             got = features(data, offsets, find_words(data, offsets))
             yield pa.record_batch([block.column(0), block.column(1), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], ["doc_id", "label", "at", "value"])
 
-    table = sample.mapInArrow(rows, "doc_id long, label int, at binary, value binary").toArrow()
+    table = sample.mapInArrow(lean(rows), "doc_id long, label int, at binary, value binary").toArrow()
     y, ids = np.array(table["label"], float), np.array(table["doc_id"], np.int64)
     if not len(y) or not 0 < y.sum() < len(y):
         p = (y.sum() + 1) / (len(y) + 2)
@@ -242,7 +242,7 @@ def quality(docs: DataFrame, model: QualityModel, threshold: float = 0.5, least_
             yield pa.record_batch([*block.columns, *new], [*block.schema.names, *names])
 
     schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields), SCHEMA])
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(lean(score), schema)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

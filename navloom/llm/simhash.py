@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from navloom.llm.components import components
-from navloom.llm.sample import give_back
+from navloom.llm.sample import give_back, lean
 from navloom.llm.text import U64, blocks, mix, string_buffer
 from navloom.session import ready, shuffle_partitions
 
@@ -93,7 +93,7 @@ def fingerprints(docs: DataFrame, size: int = 4, words: int = 1) -> DataFrame:
             yield pa.record_batch([block.column(0), pa.array(got, pa.binary())], ["doc_id", "fp"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(work, "doc_id long, fp binary")
+    return docs.mapInArrow(lean(work), "doc_id long, fp binary")
 
 
 Segment = tuple[int, int, int]  # word, mask of its bits, radius
@@ -331,8 +331,8 @@ def links(reps: DataFrame, most_bits: int, cut: list[Segment], large: int = 64,
         for k in range(0, len(e), 1 << 16):
             yield pa.record_batch([pa.array(e[k : k + (1 << 16), 0]), pa.array(e[k : k + (1 << 16), 1])], ["a", "b"])
 
-    packed = reps.select("label", "fp").mapInArrow(emit, "part int, label binary, fp binary, code binary")
-    return packed.repartitionById(parts, "part").mapInArrow(find, "a long, b long")
+    packed = reps.select("label", "fp").mapInArrow(lean(emit), "part int, label binary, fp binary, code binary")
+    return packed.repartitionById(parts, "part").mapInArrow(lean(find), "a long, b long")
 
 
 def near_components(fps: DataFrame, most_bits: int = 4, cut: list[Segment] | None = None) -> DataFrame:
@@ -406,7 +406,7 @@ def verified_links(members: DataFrame, size: int, similarity: float) -> DataFram
         yield pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     rows = members.select("part", "lot", "doc_id", "key", "text")
-    return rows.repartition(parts, "part", "lot").mapInArrow(verify, "a long, b long")
+    return rows.repartition(parts, "part", "lot").mapInArrow(lean(verify), "a long, b long")
 
 
 def cover(n: int, flips: float, missed: float = 0.0055) -> tuple[int, int]:
@@ -445,7 +445,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, blo
             yield pa.record_batch([batch.column(0), pa.array([_key(t) for t in texts], pa.binary()), pa.array(fps, pa.binary())], ["doc_id", "key", "fp"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = docs.mapInArrow(work, "doc_id long, key binary, fp binary").checkpoint()
+    rows = docs.mapInArrow(lean(work), "doc_id long, key binary, fp binary").checkpoint()
     units = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")).where("doc_id IS NOT NULL").checkpoint()
     found = links(units.select(F.col("doc_id").alias("label"), "fp"), most_bits, even_segments(2 * tables, bits, 1), words=2)
     labels = components(found)

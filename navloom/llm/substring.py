@@ -42,6 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from navloom.llm.sample import lean
 from navloom.llm.text import U64, Words, blocks, find_words, hash_words, mix, string_buffer
 from navloom.session import ready, shuffle_partitions
 
@@ -226,7 +227,7 @@ def gathered(packed: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(ids[i : i + 1024]), pa.array(marks, pa.binary())], [_ID, _MARKS])
 
     parts = shuffle_partitions(packed.sparkSession)
-    return packed.repartitionById(parts, "part").mapInArrow(merge, f"{_ID} long, {_MARKS} binary")
+    return packed.repartitionById(parts, "part").mapInArrow(lean(merge), f"{_ID} long, {_MARKS} binary")
 
 
 def _marked(column: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -334,10 +335,10 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
             if len(later):
                 yield _packed(_marks(parts, doc[later], start[later], one[later]))
 
-    found = docs.select(_ID, "text").mapInArrow(reveal, _PACKED).repartitionById(parts, "part").mapInArrow(shared, _PACKED)
+    found = docs.select(_ID, "text").mapInArrow(lean(reveal), _PACKED).repartitionById(parts, "part").mapInArrow(lean(shared), _PACKED)
     # All columns go along, so that the cut reads the same shuffled texts.
     marked = by_document(docs).join(gathered(found).hint("shuffle_hash"), _ID)
-    return gathered(marked.select(_ID, "text", _MARKS, *(c for c in docs.columns if c not in (_ID, "text"))).mapInArrow(windows, _PACKED).repartitionById(parts, "part").mapInArrow(compare, _PACKED))
+    return gathered(marked.select(_ID, "text", _MARKS, *(c for c in docs.columns if c not in (_ID, "text"))).mapInArrow(lean(windows), _PACKED).repartitionById(parts, "part").mapInArrow(lean(compare), _PACKED))
 
 
 def by_document(docs: DataFrame) -> DataFrame:
@@ -386,7 +387,7 @@ def substring_dedup(docs: DataFrame, size: int = 20) -> DataFrame:
 
     schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != _ID), "n_words long, n_removed long, kept string"])
     joined = by_document(docs).join(marks.hint("shuffle_hash"), _ID, "left")
-    return joined.drop(_ID).mapInArrow(cut, schema)
+    return joined.drop(_ID).mapInArrow(lean(cut), schema)
 
 
 def _removed(words: Words, marks: pa.Array, size: int) -> np.ndarray:

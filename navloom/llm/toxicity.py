@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navloom.llm.sample import fold, give_back, labelled_sample
+from navloom.llm.sample import fold, give_back, labelled_sample, lean
 from navloom.llm.text import U64, blocks, find_chars, hash_runs, mix, sequence_hash, string_buffer
 from navloom.session import ready
 
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12000) -> ToxicityM
             sets = feature_sets(*string_buffer(block.column(2)))
             yield pa.record_batch([block.column(0), block.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "label", "at"])
 
-    table = sample.mapInArrow(rows, "doc_id long, label int, at binary").toArrow()
+    table = sample.mapInArrow(lean(rows), "doc_id long, label int, at binary").toArrow()
     y, order = np.array(table["label"], float), np.argsort(np.array(table["doc_id"], np.int64), kind="stable")
     if not len(y) or not 0 < y.sum() < len(y):
         p = (y.sum() + 1) / (len(y) + 2)
@@ -136,7 +136,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> D
             yield pa.record_batch([*block.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*block.schema.names, "score", "predicted"])
 
     schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields), "score double", "predicted int"])
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(lean(score), schema)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
