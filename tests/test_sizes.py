@@ -5,7 +5,7 @@ import pyarrow.compute as pc
 import pytest
 
 from navloom.operators import mesh as m
-from navloom.operators import packed
+from navloom.operators import kernel, packed
 from navloom.operators.routes import rays, routes
 from navloom.plans import registry
 from navloom.sources.world import mesh
@@ -68,3 +68,25 @@ def test_packed_meshes_are_whole(most, spark, monkeypatch):
     expected = sorted({(r["src"], r["edge"], r["dst"], r["side"], r["bmin"], r["bmax"]) for r in links.to_pylist()})
     assert [(ids[i], e, ids[to], *rest) for i in range(len(ids)) for to, e, *rest in own.links[i]] == expected
     assert dict.__len__(own.links) <= most
+
+
+@pytest.mark.parametrize("name", ["route_distance", "stream_routes"])
+def test_no_waypoints_leave_the_search_where_only_lengths_are_asked_for(name, spark, monkeypatch):
+    from navloom.plans import routes as plan
+
+    seen = []
+    own = plan.routes
+    monkeypatch.setattr(plan, "routes", lambda *a, **b: seen.append(own(*a, **b)) or seen[-1])
+    QUERIES[name](spark, SF)
+    assert seen and not any("waypoints" in t._jdf.queryExecution().executedPlan().toString().replace("n_waypoints", "") for t in seen)
+
+
+def test_the_ways_of_arrays_are_those_of_lists(spark):
+    """Also for partial portals, and for several links to one polygon, of which the first has the passage."""
+    p = mesh(spark, SF)
+    polys, links = p.select(packed.POLYS.names).toArrow(), m.all_links(p).toArrow()
+    twice = links.slice(0, 50)
+    twice = twice.set_column(twice.schema.get_field_index("edge"), "edge", pc.subtract(2, pc.min_element_wise(twice["edge"], 2)))
+    own = packed.mesh_of([polys], [pa.concat_tables([links, twice.cast(links.schema)])])
+    assert own.ways is not None and [own.ways(i) for i in range(len(own.ids))] == [kernel.ways(own, i) for i in range(len(own.ids))]
+    assert any(w[5] for i in range(len(own.ids)) for w in own.ways(i))
