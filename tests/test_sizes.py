@@ -81,7 +81,7 @@ def test_no_waypoints_leave_the_search_where_only_lengths_are_asked_for(name, sp
     assert seen and not any("waypoints" in t._jdf.queryExecution().executedPlan().toString().replace("n_waypoints", "") for t in seen)
 
 
-def test_the_ways_of_arrays_are_those_of_lists(spark):
+def test_the_ways_of_arrays_are_those_of_lists(spark, monkeypatch):
     """Also for partial portals, and for several links to one polygon, of which the first has the passage."""
     p = mesh(spark, SF)
     polys, links = p.select(packed.POLYS.names).toArrow(), m.all_links(p).toArrow()
@@ -90,3 +90,5 @@ def test_the_ways_of_arrays_are_those_of_lists(spark):
     own = packed.mesh_of([polys], [pa.concat_tables([links, twice.cast(links.schema)])])
     assert own.ways is not None and [own.ways(i) for i in range(len(own.ids))] == [kernel.ways(own, i) for i in range(len(own.ids))]
     assert any(w[5] for i in range(len(own.ids)) for w in own.ways(i))
+    monkeypatch.setattr(packed, "WITH_WAYS", 10)
+    assert packed.mesh_of([polys], [links]).ways is None
