@@ -92,3 +92,27 @@ def test_the_ways_of_arrays_are_those_of_lists(spark, monkeypatch):
     assert any(w[5] for i in range(len(own.ids)) for w in own.ways(i))
     monkeypatch.setattr(packed, "WITH_WAYS", 10)
     assert packed.mesh_of([polys], [links]).ways is None
+
+
+def test_steps_of_large_meshes_are_those_of_lists(spark, monkeypatch):
+    """Made for some polygons together they are the same, linked polygons have one group, and so every route is the same."""
+    p = mesh(spark, SF)
+    polys, links = p.select(packed.POLYS.names).toArrow(), m.all_links(p).toArrow()
+    small = packed.mesh_of([polys], [links])
+    monkeypatch.setattr(packed, "WITH_WAYS", 10)
+    monkeypatch.setattr(packed, "SOME", 7)
+    monkeypatch.setattr(kernel, "KEPT", 40)
+    # The links in tables out of order, as tiles come.
+    parts = [links.filter(pc.equal(pc.bit_wise_and(links["src"], 3), k)) for k in (2, 0, 3, 1)]
+    large = packed.mesh_of([polys], parts)
+    assert small.rows is None and large.rows is not None and large.ways is None
+    n = len(large.ids)
+    for rules in (kernel.Filter(), kernel.Filter(include=0b1010, exclude=0b100)):
+        for i in range(n):
+            found = large.rows(i, rules)
+            assert i in found and len(found) <= 7
+            assert found[i] == (small.area[i], [w for w in kernel.ways(small, i) if rules.passes(small.flags[w[0]])])
+    assert all(large.group[i] == large.group[to] for i in range(n) for to, *_ in large.links[i])
+    middle = lambda i: tuple(sum(v) / len(v) for v in zip(*small.corners[i], strict=True))
+    for a, b in [(i * 37 % n, i * 101 % n) for i in range(60)]:
+        assert kernel.route(large, a, b, middle(a), middle(b), kernel.Filter()) == kernel.route(small, a, b, middle(a), middle(b), kernel.Filter())
