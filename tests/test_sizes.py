@@ -1,5 +1,8 @@
 """What keeps queries within the driver's memory on large tables."""
 
+import gc
+import weakref
+
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
@@ -116,3 +119,21 @@ def test_steps_of_large_meshes_are_those_of_lists(spark, monkeypatch):
     middle = lambda i: tuple(sum(v) / len(v) for v in zip(*small.corners[i], strict=True))
     for a, b in [(i * 37 % n, i * 101 % n) for i in range(60)]:
         assert kernel.route(large, a, b, middle(a), middle(b), kernel.Filter()) == kernel.route(small, a, b, middle(a), middle(b), kernel.Filter())
+
+
+@pytest.mark.parametrize("most", [10, 400_000])
+def test_a_mesh_goes_when_its_search_is_over(most, spark, monkeypatch):
+    """A task has one mesh after the other; whole maps that wait for Python's collector add up."""
+    monkeypatch.setattr(packed, "WITH_WAYS", most)
+    p = mesh(spark, SF)
+    own = packed.mesh_of([p.select(packed.POLYS.names).toArrow()], [m.all_links(p).toArrow()])
+    at = own.corners[0][0]
+    kernel.route(own, 0, len(own.ids) - 1, at, own.corners[len(own.ids) - 1][0], kernel.Filter())
+    seen = weakref.ref(own)
+    gc.collect()
+    gc.disable()
+    try:
+        del own
+        assert seen() is None
+    finally:
+        gc.enable()
