@@ -137,3 +137,18 @@ def test_a_mesh_goes_when_its_search_is_over(most, spark, monkeypatch):
         assert seen() is None
     finally:
         gc.enable()
+
+
+def test_a_way_may_leave_the_tiles_of_its_ends(spark):
+    """From tile (0, 0) to (1, 0) through (0, 1) and (1, 1): the tiles around the rectangle count."""
+    at = {1: (0, 0), 2: (0, 1), 3: (1, 1), 4: (1, 0)}
+    corner = lambda x, z: {"x": 8.0 * x, "y": 0.0, "z": 8.0 * z}
+    rows = [(ref, [corner(x, z), corner(x, z + 1), corner(x + 1, z + 1), corner(x + 1, z)], 1, 0, 0, x, z) for ref, (x, z) in at.items()]
+    polys = spark.createDataFrame(rows, "ref long, corners array<struct<x:double,y:double,z:double>>, flags long, area long, ptype long, x long, y long")
+    # Edges: 1 towards z + 1, 2 towards x + 1, 3 towards z - 1.
+    steps = [(1, 2, 1, 2), (2, 1, 3, 6), (2, 3, 2, 0), (3, 2, 0, 4), (3, 4, 3, 6), (4, 3, 1, 2)]
+    links = spark.createDataFrame([(*step, 0, 255) for step in steps], "src long, dst long, edge int, side int, bmin int, bmax int")
+    pairs = spark.createDataFrame([(1, 1, 4.0, 0.0, 4.0, 4, 12.0, 0.0, 4.0)], "pair_id long, sp long, sx double, sy double, sz double, gp long, gx double, gy double, gz double")
+    (way,) = routes(pairs, polys, links, tile=(0.0, 0.0, 8.0)).collect()
+    assert not way["is_partial"] and way["n_polygons"] == 4
+    assert routes(pairs, polys, links, tile=(0.0, 0.0, 8.0), padding=0).first()["is_partial"]
